@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from millrace.llm.bpe import op10_bpe
 from millrace.llm.exact_dedup import op5_exact_dedup
+from millrace.llm.packing import op2_best_fit_packing
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op6_secret_scan
+from millrace.llm.token_files import op1_token_files
 from millrace.llm.url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
