@@ -3,24 +3,48 @@
 from __future__ import annotations
 
 from millrace.llm.bpe import op10_bpe
+from millrace.llm.chat_format import op7_chat_format
 from millrace.llm.exact_dedup import op5_exact_dedup
 from millrace.llm.packing import op2_best_fit_packing
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op6_secret_scan
 from millrace.llm.token_files import op1_token_files
+from millrace.llm.toxicity import op3_toxicity
 from millrace.llm.url_filter import op9_url_filter
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_chat_format": op7_chat_format,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
+    "op7_chat_format": r"""
+        with r as (
+            select cast(floor(conv_id / 2.0) as bigint) as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side,
+                   coalesce(turn, -1) as turn, coalesce(role, 'user') as role, coalesce(text, '') as text
+            from conversations where conv_id is not null),
+        e as (
+            select pair_id, turn,
+                   coalesce(list_sort(list(role || chr(1) || text) filter (side = 'chosen')), [])
+                     = coalesce(list_sort(list(role || chr(1) || text) filter (side = 'rejected')), []) as same
+            from r group by 1, 2),
+        f as (select pair_id, min(turn) filter (not same) as first_different from e group by 1),
+        m as (select r.*, first_different is null or turn < first_different as common from r join f using (pair_id)),
+        s as (
+            select pair_id, case when common then 'prompt' else side end as segment, turn, role,
+                   '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) as rendered, not common and role = 'assistant' as train
+            from m where not common or side = 'chosen')
+        select pair_id, segment, turn, role, rendered, case when train then cast(length(role) + 5 as bigint) else 0 end as train_start,
+               case when train then cast(length(rendered) as bigint) else 0 end as train_stop
+        from s
+    """,
     "op5_exact_dedup": r"""
         with n as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id is not distinct from min(doc_id) over w as kept, text_sha256
