@@ -1,34 +1,57 @@
 """Training-data pipeline: toxicity, exact dedup, n-gram Jaccard join, secret scans, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and
-reads again as the next stage's docs.
+reads again as the next stage's docs. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, secrets
+from millrace.llm import exact_dedup, ngram_join, packing, secrets, toxicity
 from millrace.llm.common import materialize, table
 
+TOKENIZER, END_ID, CAPACITY = public_tokenizers.path("word_bpe_49k.json"), 1, 4096
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an expected severity of a half grade or more go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("not toxic").select(*docs.columns)
+
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the smallest doc_id."""
     return exact_dedup.deduplicate(docs)
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of links stays, the one with the smallest doc_id. Words, five a shingle, and a similarity of 0.8."""
+    return ngram_join.deduplicate(docs, percent=80, n=5)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; each secret becomes [secret], and n_chars follows the text."""
     scanned = secrets.scan(docs)
     found = F.size("spans") > 0
     text = F.when(found, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return scanned.withColumn("text", text).withColumn("n_chars", F.when(found, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    changed = scanned.withColumn("__found", found).withColumn("text", text)
+    return changed.withColumn("n_chars", F.when(F.col("__found"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 4096 tokens."""
+    return packing.plan(docs, TOKENIZER, END_ID, CAPACITY)
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("ngram_join", ngram_join_stage),
     ("secret_scans", secret_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: SQL has no trained severity model and no packing search; tests hold the stages against brute force.

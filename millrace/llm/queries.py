@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.llm.bpe import op10_bpe
 from millrace.llm.chat_format import op7_chat_format
 from millrace.llm.exact_dedup import op5_exact_dedup
+from millrace.llm.ngram_join import op8_ngram_join
 from millrace.llm.packing import op2_best_fit_packing
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op6_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_chat_format": op7_chat_format,
+    "op8_ngram_join": op8_ngram_join,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
