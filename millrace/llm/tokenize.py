@@ -22,7 +22,7 @@ WORD_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{bpe.NUMBERS}]|[^{
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    LIMIT = 300_000  # pieces in the memo; it is emptied when full
+    LIMIT = 800_000  # pieces in the memo; it is emptied when full
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -36,25 +36,57 @@ class Encoder:
         special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
         self.whole = re.compile("[^\x00-\xff]" + (f"|{special}" if special else ""))
         self.memo: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin, or with word ends that end, a piece
+        for token, i in vocabulary.items():
+            self.marks[i] = token.endswith("</w>") if self.words else token.startswith("Ġ")
 
     def pack(self, texts: list[str]) -> list[bytes]:
         """Straight through the library."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Packed ids of pieces that the memo lacks.
+
+        Pieces that a space keeps apart go to the library as one text; the token that starts with a space, or that ends
+        a word, tells where each begins or ends. The rest goes as words that are split already."""
+        if self.words:
+            return self._joined(new, " ", 1)
+        apart = [p for p in new if p[0] == " " and p[1:2].strip()]
+        return self._joined(apart, "", 0) | self._presplit([p for p in new if not (p[0] == " " and p[1:2].strip())])
+
+    def _joined(self, new: list[str], glue: str, ends: int) -> dict[str, bytes]:
+        if not new:
+            return {}
+        ids = np.array(self.library.encode_batch_fast([glue.join(new)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.marks[ids]) + ends
+        bounds = [0, *cuts.tolist()] if ends else [*cuts.tolist(), len(ids)]
+        if len(bounds) != len(new) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):
+            return self._presplit(new)
+        packed = ids.tobytes()
+        return {p: packed[4 * i : 4 * j] for p, i, j in zip(new, bounds, bounds[1:])}
+
+    def _presplit(self, new: list[str]) -> dict[str, bytes]:
+        if not new:
+            return {}
+        found = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+        ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        bounds = np.searchsorted(words, np.arange(len(new) + 1)).tolist()
+        packed = ids.tobytes()
+        return {p: packed[4 * i : 4 * j] for p, i, j in zip(new, bounds, bounds[1:])}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.LIMIT:
             self.memo.clear()
-        out: list[bytes] = []
-        for t in texts:
-            if self.whole.search(t):
-                out.append(self.pack([t])[0])
-                continue
-            found = WORD_SPLIT.findall(t.lower()) if self.words else bpe.SPLIT.findall(t)
-            new = list({p for p in found if p not in self.memo})
-            known = dict(zip(new, self.pack(new), strict=True)) if new else {}
-            self.memo.update((p, b) for p, b in known.items() if len(p) <= 48)
-            get = self.memo.__getitem__ if all(len(p) <= 48 for p in new) else lambda p, k=known: k.get(p) or self.memo[p]
-            out.append(b"".join(map(get, found)))
+        split = [None if self.whole.search(t) else WORD_SPLIT.findall(t.lower()) if self.words else bpe.SPLIT.findall(t) for t in texts]
+        new = list(set().union(*(f for f in split if f)).difference(self.memo))
+        if new:
+            self.memo.update(self.learn(new))
+        get = self.memo.__getitem__
+        out = [self.pack([t])[0] if f is None else b"".join(map(get, f)) for t, f in zip(texts, split, strict=True)]
+        for piece in new:
+            if len(piece) > 48:
+                del self.memo[piece]
         return out
 
 
