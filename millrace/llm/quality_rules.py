@@ -15,19 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, table, word_array
+from millrace.llm.common import table, word_array
 
 MAX_TARGET = 16_000  # bound of the trusted sample: labelled rows in the order of a hash
 
 
-def ending_ngrams(words: Column, n: int, tail: int, buckets: int) -> Column:
-    """Bucket of each run of n word endings."""
-    ends = F.transform(words, lambda w: F.xxhash64(F.right(w, F.lit(tail))))
-    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    grams = F.slice(ends, F.lit(1), count)
+def ending_ngrams(df: DataFrame, words: str, n: int, tail: int) -> DataFrame:
+    """df with `__grams`: the hash of each run of n word endings; its bucket is pmod(hash, buckets).
+
+    Each step is a column of its own: an array that one expression names twice would be computed twice."""
+    df = df.withColumn("__ends", F.transform(words, lambda w: F.xxhash64(F.substring(w, -tail, tail))))
+    count = F.greatest(F.size("__ends") - (n - 1), F.lit(0))
+    grams = F.slice("__ends", F.lit(1), count)
     for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(ends, F.lit(k + 1), count), lambda a, b: F.xxhash64(a, b))
-    return F.transform(grams, lambda g: F.pmod(g, F.lit(buckets)).cast("int"))
+        grams = F.zip_with(grams, F.slice("__ends", F.lit(k + 1), count), lambda a, b: F.xxhash64(a, b))
+    return df.withColumn("__grams", grams).drop("__ends")
 
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str, n: int, tail: int, buckets: int, alpha: float) -> DataFrame:
@@ -35,7 +37,9 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: st
 
     Each bucket gets alpha target n-grams more, and as many corpus n-grams more as keep their ratio at one."""
     marked = docs.join(F.broadcast(target_ids.limit(MAX_TARGET).select(F.col("doc_id").alias("__target")).distinct()), F.col(id_col) == F.col("__target"), "left")
-    grams = marked.select(F.col("__target").isNotNull().cast("long").alias("t"), F.explode(ending_ngrams(word_array(F.col(text_col)), n, tail, buckets)).alias("bucket"))
+    marked = marked.select(F.col("__target").isNotNull().cast("long").alias("t"), word_array(F.col(text_col)).alias("__words"))
+    grams = ending_ngrams(marked, "__words", n, tail).select("t", F.explode("__grams").alias("gram"))
+    grams = grams.select("t", F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("c"))
     row = counts.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("t", "c")))).alias("m"), F.sum("t").alias("nt"), F.sum("c").alias("nc"))
     share = F.greatest(F.col("nt"), F.lit(1)) / F.greatest(F.col("nc"), F.lit(1))
@@ -43,15 +47,16 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: st
     return row.withColumn("share", share).select(F.when(F.col("nt") > 0, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), ratio)).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
 
 
-def window_hashes(words: Column, window: int = 8) -> Column:
-    """64-bit hash of the window of `window` words (a power of two) that begins at each word."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def window_hashes(df: DataFrame, words: str, window: int = 8) -> DataFrame:
+    """df with `__windows`: the 64-bit hash of the window of `window` words (a power of two) that begins at each word."""
+    df = df.withColumn("__w1", F.transform(words, lambda w: F.xxhash64(w)))
     k = 1
     while k < window:
-        count = F.greatest(F.size(words) - (2 * k - 1), F.lit(0))
-        hashes = F.zip_with(F.slice(hashes, F.lit(1), count), F.slice(hashes, F.lit(k + 1), count), lambda a, b: F.xxhash64(a, b))
+        h = F.col(f"__w{k}")
+        count = F.greatest(F.size(h) - k, F.lit(0))
+        df = df.withColumn(f"__w{2 * k}", F.zip_with(F.slice(h, F.lit(1), count), F.slice(h, F.lit(k + 1), count), lambda a, b: F.xxhash64(a, b))).drop(f"__w{k}")
         k *= 2
-    return hashes
+    return df.withColumnRenamed(f"__w{window}", "__windows")
 
 
 def covered(windows: Column, window: int = 8) -> Column:
@@ -71,12 +76,12 @@ def base_features(df: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("__words", word_array(text))
-    df = df.withColumn("__windows", window_hashes(F.col("__words")))
+    df = window_hashes(df, "__words")
     repeats = F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), covered(F.col("__windows"))).otherwise(0)
     return df.withColumns({
         "n_words": F.size("__words").cast("long"),
-        "word_chars": F.char_length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": F.when(text.rlike("[#*$%&|<>]"), F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).otherwise(0).cast("long"),
         "n_dup_lines": F.when(text.contains("\n"), F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long"),
         "n_repeat_words": repeats.cast("long"),
     })
@@ -85,14 +90,14 @@ def base_features(df: DataFrame, text_col: str) -> DataFrame:
 def judge(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, tail: int = 2, buckets: int = 1 << 14, alpha: float = 4.0, threshold: float = -0.2) -> DataFrame:
     """docs with the base features, base_failed, score (mean log ratio) and kept."""
     weights = log_ratios(docs.select(id_col, text_col), target_ids, id_col, text_col, n, tail, buckets, alpha)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "__words", "__windows", "__weights"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "__words", "__windows", "__weights", "__grams"]
     df = base_features(docs.drop(*names), text_col)
-    grams = ending_ngrams(F.col("__words"), n, tail, buckets)
+    df = ending_ngrams(df, "__words", n, tail)
     df = df.withColumn("__weights", weights.scalar())  # one row of `buckets` doubles
-    total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(F.col("__weights"), b))
+    total = F.aggregate("__grams", F.lit(0.0), lambda s, b: s + F.get(F.col("__weights"), F.pmod(b, F.lit(buckets)).cast("int")))
     df = df.withColumn("score", F.when(F.size("__words") >= n, total / (F.size("__words") - (n - 1))).otherwise(0.0))
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("__words", "__windows", "__weights")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("__words", "__windows", "__weights", "__grams")
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
