@@ -21,7 +21,7 @@ MAX_TARGET = 16_000  # bound of the trusted sample: labelled rows in the order o
 
 
 def ending_ngrams(df: DataFrame, words: str, n: int, tail: int) -> DataFrame:
-    """df with `__grams`: the hash of each run of n word endings; its bucket is pmod(hash, buckets).
+    """df with `__grams`: the hash of each run of n word endings; its bucket are the lowest bits, so buckets is a power of two.
 
     Each step is a column of its own: an array that one expression names twice would be computed twice."""
     df = df.withColumn("__ends", F.transform(words, lambda w: F.xxhash64(F.substring(w, -tail, tail))))
@@ -38,8 +38,9 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: st
     Each bucket gets alpha target n-grams more, and as many corpus n-grams more as keep their ratio at one."""
     marked = docs.join(F.broadcast(target_ids.limit(MAX_TARGET).select(F.col("doc_id").alias("__target")).distinct()), F.col(id_col) == F.col("__target"), "left")
     marked = marked.select(F.col("__target").isNotNull().cast("long").alias("t"), word_array(F.col(text_col)).alias("__words"))
-    grams = ending_ngrams(marked, "__words", n, tail).select("t", F.explode("__grams").alias("gram"))
-    grams = grams.select("t", F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"))
+    # The buckets are taken inside explode: for a bare column Spark infers a filter on its size, which computes all of it again.
+    bucket = F.transform("__grams", lambda g: g.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int"))
+    grams = ending_ngrams(marked, "__words", n, tail).select("t", F.explode(bucket).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("c"))
     row = counts.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("t", "c")))).alias("m"), F.sum("t").alias("nt"), F.sum("c").alias("nc"))
     share = F.greatest(F.col("nt"), F.lit(1)) / F.greatest(F.col("nc"), F.lit(1))
@@ -48,13 +49,19 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: st
 
 
 def window_hashes(df: DataFrame, words: str, window: int = 8) -> DataFrame:
-    """df with `__windows`: the 64-bit hash of the window of `window` words (a power of two) that begins at each word."""
+    """df with `__windows`: the 64-bit hash of the window of `window` words (a power of two) that begins at each word.
+
+    Windows double in width. Where no window of half the width repeats, none of the full width does, and the array is empty."""
     df = df.withColumn("__w1", F.transform(words, lambda w: F.xxhash64(w)))
     k = 1
     while k < window:
-        h = F.col(f"__w{k}")
-        count = F.greatest(F.size(h) - k, F.lit(0))
-        df = df.withColumn(f"__w{2 * k}", F.zip_with(F.slice(h, F.lit(1), count), F.slice(h, F.lit(k + 1), count), lambda a, b: F.xxhash64(a, b))).drop(f"__w{k}")
+        h, n = F.col(f"__w{k}"), F.size(words)
+        # zip_with fills up with nulls: the last windows are cut short, and dropped once at the end
+        wider = F.zip_with(h, F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        if 2 * k == window:
+            whole = F.slice(h, F.lit(1), F.greatest(n - (k - 1), F.lit(0)))
+            wider = F.when(F.size(F.array_distinct(whole)) < F.size(whole), F.slice(wider, F.lit(1), F.greatest(n - (window - 1), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+        df = df.withColumn(f"__w{2 * k}", wider).drop(f"__w{k}")
         k *= 2
     return df.withColumnRenamed(f"__w{window}", "__windows")
 
@@ -94,7 +101,7 @@ def judge(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     df = base_features(docs.drop(*names), text_col)
     df = ending_ngrams(df, "__words", n, tail)
     df = df.withColumn("__weights", weights.scalar())  # one row of `buckets` doubles
-    total = F.aggregate("__grams", F.lit(0.0), lambda s, b: s + F.get(F.col("__weights"), F.pmod(b, F.lit(buckets)).cast("int")))
+    total = F.aggregate("__grams", F.lit(0.0), lambda s, b: s + F.get(F.col("__weights"), b.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")))
     df = df.withColumn("score", F.when(F.size("__words") >= n, total / (F.size("__words") - (n - 1))).otherwise(0.0))
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("__words", "__windows", "__weights", "__grams")
