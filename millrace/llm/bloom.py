@@ -83,6 +83,7 @@ def repeated_filter(keys: DataFrame, n: int, per_key: int = 16) -> Filter:
     rows = dealt.mapInArrow(lambda it: _planes(it, cells), "block int, bits binary").where(F.col("bits").isNotNull())
     bits = np.zeros(cells >> 3, np.uint8)
     step = 1 << (BLOCK_BITS - 3)
-    for r in rows.collect():  # cells / 4,096 rows of 512 bytes: bounded by MAX_CELLS
-        bits[r[0] * step : (r[0] + 1) * step] = np.frombuffer(r[1], np.uint8)
+    for batch in rows.toArrow().to_batches():  # cells / 4,096 rows of 512 bytes: bounded by MAX_CELLS
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            bits[block * step : (block + 1) * step] = np.frombuffer(data.as_buffer(), np.uint8)
     return Filter(cells, bits)

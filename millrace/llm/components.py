@@ -20,7 +20,7 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     """edges (u, v). Large: every larger neighbour of u goes to u's least neighbour. Small: every smaller one, and u."""
     if large:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("members")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("members"))
     met = lookup(edges, "u", least, 2 * total).select("u", "v", F.least("u", "m").alias("m"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -6,9 +6,12 @@ the threshold asks for: two sets link exactly if they share one. Large sets (hea
 inverted lists, as many as make two linked sets meet in a list, and the lists are scanned. The boundary is the size at
 which enumeration plus scanning costs least, from the sizes of all sets. Every candidate is checked on the whole texts.
 
-No list is expanded into all its pairs. Each is first held against its pivot, the member that meets most others; what
-that links is one component, whose inner pairs need no check. Only pairs of a list that lie in different components are
-left; while they outnumber the postings, the lists are held against further pivots, then the rest is checked.
+No list is expanded into all its pairs. Each is held against its pivot, the member that meets most others. Jaccard
+distance is a metric, so a member that links with the pivot and one that doesn't can link only if their distances to the
+pivot differ by no more than the threshold's: those few pairs are checked unless they are in one component already, and
+the members that link are done with. The others make a shorter list with a pivot of its own, until no more pairs are left
+than there are postings. Two linked sets first meet at a place in both prefixes that leaves room for their overlap; at
+other places a pair is left to that list.
 
 The result has one row a document with its class (component_id, the smallest doc_id reachable by links) and n_shingles.
 Defined cases: null, empty and blank texts have an empty set and link with nothing. A null doc_id links with nothing
@@ -36,26 +39,12 @@ from millrace.llm import bloom
 from millrace.llm.common import lookup, materialize, table
 from millrace.llm.components import components
 
-SKETCH_BITS, SKETCH_BLOCK = 20, 14  # counters of the n-gram frequency sketch, and counters a block
+SKETCH_MAX, SKETCH_BLOCK = 26, 14  # counters of the n-gram frequency sketch at most, and counters a block, as powers of two
 SMALL = 64  # sizes for which enumeration is considered
 SETS = "doc_id long, n int, key binary, tokens array<long>, subsets array<long>"
 CHECK = 8  # cost of checking a candidate, in postings
 
 
-class WordHashes(dict):
-    """64-bit hash by word; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_HASHES = WordHashes()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -69,13 +58,14 @@ def shingles(text: str | None, n: int = 3) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     count = len(h) - n + 1
     with np.errstate(over="ignore"):
         s = np.zeros(count, np.uint64)
         for k in range(n):
             s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + count])
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 class Rule:
@@ -100,10 +90,6 @@ class Rule:
         """Subsets that a set of size a enumerates."""
         return sum(comb(a, self.overlap(a, b)) for b in self.partners(a) if self.overlap(a, b) <= min(a, b) and not a == b == self.overlap(a, b))
 
-    def links(self, x: np.ndarray, y: np.ndarray) -> bool:
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return common > 0 and 100 * common >= self.percent * (len(x) + len(y) - common)
-
     def boundary(self, sizes: dict[int, int], larger: int) -> int:
         """Largest size that enumerates: the one of least cost. sizes: sets by size up to SMALL; larger: cost of the others."""
         enumerate_ = lambda s: sizes.get(s, 0) * self.subsets(s)
@@ -128,24 +114,28 @@ class Rule:
 
 def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], int]:
     """Frequency class of each counter (a logarithm of its count) over all n-grams of all documents, the number of sets
-    by size up to SMALL, and the n-grams of larger ones."""
-    blocks = 1 << (SKETCH_BITS - SKETCH_BLOCK)
+    by size up to SMALL, and the n-grams of larger ones. A counter never is below the frequency of an n-gram it counts, so
+    n-grams with low counters stand in short lists. 64 counters a document, a byte each, 2^SKETCH_MAX at most."""
+    bits = min(SKETCH_MAX, max(SKETCH_BLOCK + 2, (64 * max(1, docs.count()) - 1).bit_length()))
+    blocks = 1 << (bits - SKETCH_BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = np.zeros(1 << SKETCH_BITS, np.uint32), np.zeros(SMALL + 2, np.int64)
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
+        counts, sizes = np.zeros(1 << bits, np.uint32), np.zeros(SMALL + 2, np.int64)
+        mask = np.uint64((1 << bits) - 1)
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = shingles(t, n)
                 counts[(s & mask).astype(np.int64)] += 1  # n-grams of a text that share a counter count once
                 sizes[min(len(s), SMALL + 1)] += 1 if len(s) <= SMALL else len(s)
         zstd = zstandard.ZstdCompressor()
-        rows = [counts[k << SKETCH_BLOCK : (k + 1) << SKETCH_BLOCK].tobytes() for k in range(blocks)] + [sizes.tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array([zstd.compress(r) for r in rows], pa.binary())], ["block", "counts"])
+        rows = [zstd.compress(counts[k << SKETCH_BLOCK : (k + 1) << SKETCH_BLOCK]) for k in range(blocks)] + [zstd.compress(sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd, current, total = zstandard.ZstdDecompressor(), None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
+        # Up to 64 the count itself, above it sixteen steps a doubling: one byte
+        level = lambda c: np.where(c < 64, c, 64 + 16 * np.log2(np.maximum(c, 64) / 64)).clip(0, 255).astype(np.uint8)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([(total if current == blocks else level(total)).tobytes()], pa.binary())], ["block", "counts"])
         for b in batches:
             for block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 part = np.frombuffer(zstd.decompress(data), np.int64 if block == blocks else np.uint32).astype(np.int64)
@@ -160,10 +150,10 @@ def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], int]:
 
     schema = "block int, counts binary"
     merged = docs.select("text").mapInArrow(count, schema).repartition("block").sortWithinPartitions("block").mapInArrow(merge, schema).collect()
-    found = {r[0]: np.frombuffer(r[1], np.int64) for r in merged}  # 2^SKETCH_BITS counters, whatever the input
-    counts = np.concatenate([found.get(k, np.zeros(1 << SKETCH_BLOCK, np.int64)) for k in range(blocks)])
-    sizes = found.get(blocks, np.zeros(SMALL + 2, np.int64))
-    return np.round(8 * np.log2(1 + counts)).astype(np.uint16), {s: int(sizes[s]) for s in range(1, SMALL + 1)}, int(sizes[SMALL + 1])
+    found = {r[0]: r[1] for r in merged}  # 2^SKETCH_MAX bytes at most
+    rank = np.concatenate([np.frombuffer(found[k], np.uint8) if k in found else np.zeros(1 << SKETCH_BLOCK, np.uint8) for k in range(blocks)])
+    sizes = np.frombuffer(found[blocks], np.int64) if blocks in found else np.zeros(SMALL + 2, np.int64)
+    return rank, {s: int(sizes[s]) for s in range(1, SMALL + 1)}, int(sizes[SMALL + 1])
 
 
 def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
@@ -175,7 +165,7 @@ def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     ranks = spark.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
+        mask = np.uint64(len(ranks.value) - 1)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 rows = []
@@ -193,33 +183,36 @@ def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
-    """The pairs (u, v) that link, by their whole texts. Only texts that a Bloom filter of the pairs' ids lets through shuffle."""
+    """The pairs (u, v) with their distance and whether they link, by their whole texts. Only texts that a Bloom filter of the pairs' ids lets through shuffle."""
     spark = docs.sparkSession
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    involved = spark.sparkContext.broadcast(bloom.repeated_filter(ids.select(F.explode(F.array_repeat("id", 2))), 2 * pairs.count()))
+    involved = spark.sparkContext.broadcast(bloom.repeated_filter(ids.select(F.explode(F.array_repeat(F.xxhash64("id"), 2))), 2 * pairs.count()))
 
     @F.pandas_udf("boolean")
     def maybe(s: pd.Series) -> pd.Series:
         return pd.Series(involved.value.maybe(s.to_numpy()))
 
-    @F.pandas_udf("boolean")
-    def links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<d:double,linked:boolean>")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         last, kept = None, None
         for xs, ys in batches:
-            out = []
+            rows = []
             for x, y in zip(xs, ys, strict=True):
                 if x is not last:
                     if x != last:
                         kept = shingles(x, n)
                     last = x
-                out.append(rule.links(kept, shingles(y, n)))
-            yield pd.Series(out, dtype=bool)
+                other = shingles(y, n)
+                common = len(np.intersect1d(kept, other, assume_unique=True))
+                union = len(kept) + len(other) - common
+                rows.append((1 - common / max(1, union), common > 0 and 100 * common >= rule.percent * union))
+            yield pd.DataFrame(rows, columns=["d", "linked"])
 
-    texts = materialize(docs.where(F.col("doc_id").isNotNull()).where(maybe("doc_id")), "texts")
+    texts = materialize(docs.where(F.col("doc_id").isNotNull()).where(maybe(F.xxhash64("doc_id"))), "texts")
     met = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
     met = met.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u")
-    return materialize(met.where(links("x", "y")).select("u", "v"), "links")
+    return materialize(met.select("u", "v", compared("x", "y").alias("c")).groupBy("u", "v").agg(F.min("c.d").alias("d"), F.max("c.linked").alias("linked")), "verified")
 
 
 def _stars(rows: DataFrame, key: str, order: list) -> DataFrame:
@@ -233,6 +226,12 @@ def _fits(rule: Rule, a: str, b: str):
     return (100 * F.col(a) >= rule.percent * F.col(b)) & (100 * F.col(b) >= rule.percent * F.col(a))
 
 
+def _meets(rule: Rule):
+    """Whether a list may be the first that two sets share: what stands before it in either is what that set has alone."""
+    overlap = F.floor((rule.percent * (F.col("n") + F.col("pn")) + 99 + rule.percent) / (100 + rule.percent))
+    return _fits(rule, "n", "pn") & (F.col("pos") <= F.col("n") - overlap) & (F.col("ppos") <= F.col("pn") - overlap)
+
+
 def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     """Stars (u, v) of the components of the classes. sets: one row a class."""
     spark = docs.sparkSession
@@ -240,7 +239,7 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     light_stars = _stars(light, "subset", ["n", "id"]).where(_fits(rule, "n", "pn")).select("u", F.col("id").alias("v"))
 
     total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    posted = sets.select("n", F.col("doc_id").alias("id"), F.explode("tokens").alias("token"))
+    posted = sets.select("n", F.col("doc_id").alias("id"), F.posexplode("tokens").alias("pos", "token"))
     repeated = spark.sparkContext.broadcast(bloom.repeated_filter(posted.select("token"), total, 8))
 
     @F.pandas_udf("boolean")
@@ -252,33 +251,40 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     lists = materialize(lookup(posted, "token", materialize(shared, "lists"), max(1, posted.count())).where("members is not null"), "shared")
     # A pivot that meets many others is likely the original of its copies: members of its lists, all told.
     degree = materialize(lists.groupBy("id").agg(F.sum("members").alias("degree")), "degrees")
-    lists = materialize(lists.join(degree, "id").select("token", "id", "n", "degree"), "ranked")
+    lists = materialize(lists.join(degree, "id").select("token", "id", "n", "pos", "degree"), "ranked")
 
-    order = [(-F.col("degree")).alias("d")]
-    stars = _stars(lists, "token", order)
-    found = _verified(light_stars.unionByName(stars.where(_fits(rule, "n", "pn")).select("u", F.col("id").alias("v"))), docs, rule, n)
-    rest = stars.select("token", "id", "n", "degree")  # the pivots are done with
+    order, most = [(-F.col("degree")).alias("d")], 1 - rule.percent / 100 + 1e-9
+    links = None
     while True:
-        labels = components(found)
-        rest = materialize(rest.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("token", "id", "n", "degree", F.coalesce("label", "id").alias("label")), "rest")
-        by_label = rest.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-        open_ = by_label.groupBy("token").agg(F.sum("k").alias("members"), F.max_by("label", F.struct("k", "label")).alias("top"), F.sum(F.col("k") * F.col("k")).alias("inner"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        open_ = materialize(open_, "open")
-        lists_left, postings, pairs = open_.agg(F.count(F.lit(1)), F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum((F.col("members") * F.col("members") - F.col("inner")) / 2), F.lit(0.0))).first()
-        if not lists_left:
-            return labels
-        rest = materialize(lookup(rest, "token", open_.select("token", "members", "top"), max(1, postings)).where("members is not null").drop("members"), "open_rest")
-        if pairs <= 4 * postings:
+        stars = materialize(_stars(lists, "token", order), "stars")
+        pairs = stars.where(_fits(rule, "n", "pn")).select("u", F.col("id").alias("v"))
+        seen = _verified(pairs if links is not None else pairs.unionByName(light_stars), docs, rule, n)
+        linked = seen.where("linked").select("u", "v")
+        links = linked if links is None else materialize(links.unionByName(linked), "links")
+        # Lists of three or more go on. A pair too unlike in size was not compared: its distance is at least that of the sizes.
+        rows = stars.where("members > 2").join(seen.select("u", F.col("v").alias("id"), "d", "linked"), ["u", "id"], "left")
+        apart = 1 - F.least("n", "pn") / F.greatest("n", "pn")
+        rows = materialize(rows.select("token", "id", "n", "pos", "degree", "u", F.coalesce("d", apart).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked")), "compared")
+        border = rows.where(~F.col("linked") & (F.col("d") <= 2 * most))
+        labels = components(links) if border.limit(1).count() else None
+        close = None
+        if labels is not None:
+            name = labels.select("u", F.col("v").alias("label"))
+            border = border.join(name.withColumnRenamed("u", "id").withColumnRenamed("label", "mine"), "id", "left").join(name, "u", "left")
+            border = materialize(border.where(F.coalesce("mine", "id") != F.coalesce("label", "u")).select("token", F.col("id").alias("x"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("dx")), "border")
+            near = rows.where("linked").select("token", "id", "n", "pos", "d")
+            close = border.join(near, "token").where((F.col("d") >= F.col("dx") - most) & _meets(rule)).select(F.col("x").alias("u"), F.col("id").alias("v"))
+        far = rows.where("not linked")
+        left = materialize(far.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "left")
+        postings, few = left.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum(F.col("members") * (F.col("members") - 1) / 2), F.lit(0.0))).first()
+        lists = materialize(lookup(far.select("token", "id", "n", "pos", "degree"), "token", left, max(1, rows.count())).where("members is not null").drop("members"), "far")
+        if few <= max(4 * postings, total):
             break
-        stars = _stars(rest, "token", order)
-        new = stars.where(_fits(rule, "n", "pn")).select("u", F.col("id").alias("v"))
-        found = materialize(labels.unionByName(_verified(new, docs, rule, n)), "links")
-        rest = stars.select("token", "id", "n", "degree")
-    # Few pairs lie between components: members outside a list's largest component, with all of the list in others.
-    few = rest.where("label <> top").select("token", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("label").alias("mine"))
-    pairs = few.join(rest.select("token", F.col("id").alias("v"), "n", "label"), "token").where("label <> mine").where(_fits(rule, "n", "pn"))
-    last = _verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), docs, rule, n)
-    return components(labels.unionByName(last))
+        if close is not None:
+            links = materialize(links.unionByName(_verified(close, docs, rule, n).where("linked").select("u", "v")), "links")
+    rest = lists.select("token", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos")).join(lists.select("token", F.col("id").alias("v"), "n", "pos"), "token").where("u < v").where(_meets(rule)).select("u", "v")
+    last = _verified(rest if close is None else rest.unionByName(close), docs, rule, n)
+    return components(links.unionByName(last.where("linked").select("u", "v")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, n: int = 3) -> DataFrame:
@@ -302,13 +308,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one document of each component: that with the smallest id. The ids to leave out pass as a Bloom filter, so only rows that it may name shuffle."""
     spark = docs.sparkSession
     gone = materialize(classes(docs, id_col, text_col, percent, n).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    named = spark.sparkContext.broadcast(bloom.repeated_filter(gone.select(F.explode(F.array_repeat("doc_id", 2))), 2 * gone.count()))
+    named = spark.sparkContext.broadcast(bloom.repeated_filter(gone.select(F.explode(F.array_repeat(F.xxhash64("doc_id"), 2))), 2 * gone.count()))
 
     @F.pandas_udf("boolean")
     def maybe(s: pd.Series) -> pd.Series:
-        return pd.Series(named.value.maybe(s.fillna(-1).to_numpy(np.int64)))
+        return pd.Series(named.value.maybe(s.to_numpy()))
 
-    marked = docs.withColumn("__maybe", maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(-1))) & F.col(id_col).isNotNull())
+    marked = docs.withColumn("__maybe", maybe(F.xxhash64(F.col(id_col).cast("long"))) & F.col(id_col).isNotNull())
     kept = marked.where("__maybe").join(gone.select(F.col("doc_id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
     return marked.where("not __maybe").unionByName(kept).select(*docs.columns)
 
