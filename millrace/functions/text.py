@@ -29,7 +29,7 @@ SPANISH = (
     "estudiante estudiantil presupuesto escolar reunión propone suma impuestos misión visión aprendizaje enseñanza logro grados resultados "
     "matemáticas ciencias seguridad edificios votación papeleta comunidad familias maestros programa servicios reflejan mantener excelencia"
 ).split()
-CONTROLS = r"[​-‏‪-‮⁦-⁩﻿\x00-\x08\x0b\x0c\x0e-\x1f]"
+CONTROLS = r"[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff\x00-\x08\x0b\x0c\x0e-\x1f]"
 DATA_TOKEN = r"^[($]?-?[\d,]+(?:\.\d+)*\)?%?$"
 MONEY = r"\$\s?\d"
 WORD_EDGES, TOKEN_EDGES = ".,;:!?\"'()-", ".,;:!?\"'()[]{}*/&%$#=+–—•"
@@ -84,7 +84,7 @@ def _known(word_list: list[str]) -> Column:
 
 def _share_known(tokens: Column, word_list: list[str], edges: str) -> Column:
     bare = F.transform(tokens, lambda w: F.btrim(F.lower(w), F.lit(edges)))
-    return F.size(F.filter(bare, lambda w: w.isin(word_list))) / F.size(tokens)
+    return F.try_divide(F.size(F.filter(bare, lambda w: w.isin(word_list))), F.size(tokens))
 
 
 def letters(text: Column) -> Column:
@@ -100,8 +100,8 @@ def with_quality(df: DataFrame, text: str = "text", word_list: list[str] = ENGLI
     chars = F.aggregate(tokens, F.lit(0), lambda s, w: s + F.char_length(w))
     df = df.withColumns({
         "word_count": n,
-        "non_alpha_ratio": F.when((n > 0) & (F.char_length(bare) > 0), 1 - letters(t) / F.char_length(bare)).otherwise(1.0),
-        "avg_word_len": F.when(n > 0, chars / n).otherwise(0.0),
+        "non_alpha_ratio": F.when((n > 0) & (F.char_length(bare) > 0), 1 - F.try_divide(letters(t), F.char_length(bare))).otherwise(1.0),
+        "avg_word_len": F.when(n > 0, F.try_divide(chars, n)).otherwise(0.0),
         "dict_word_ratio": F.when(n > 0, _share_known(tokens, word_list, WORD_EDGES)).otherwise(0.0),
     })
     return df.withColumn("quality_score", composite()).drop("__tokens")
@@ -134,8 +134,8 @@ def content_class(text: Column, word_list: list[str] = ENGLISH) -> Column:
     tokens = words(t)
     n = F.size(tokens)
     bare = F.char_length(F.replace(t, F.lit(" "), F.lit("")))
-    mean = F.aggregate(tokens, F.lit(0), lambda s, w: s + F.char_length(w)) / n
-    bad = (n == 0) | ((n >= 5) & ((letters(t) / bare < 0.6) | (mean < 2) | (mean > 15) | (_share_known(tokens, word_list, WORD_EDGES) < 0.3)))
+    mean = F.try_divide(F.aggregate(tokens, F.lit(0), lambda s, w: s + F.char_length(w)), n)
+    bad = (n == 0) | ((n >= 5) & ((F.try_divide(letters(t), bare) < 0.6) | (mean < 2) | (mean > 15) | (_share_known(tokens, word_list, WORD_EDGES) < 0.3)))
     ad = ((n < 80) & t.rlike(PRICE)) | t.rlike(AD_KEYWORDS)
     return F.when(bad, BAD_OCR).when(F.regexp_count(t, F.lit(LEGAL)) >= 2, LEGAL_NOTICE).when(ad, AD).otherwise(CONTENT)
 
@@ -146,7 +146,7 @@ def meaningful_fraction(text: Column, word_list: list[str] | None = None) -> Col
     tokens = words(F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, ""))
     bare = lambda w: F.btrim(F.lower(w), F.lit(TOKEN_EDGES))
     good = F.filter(tokens, lambda w: w.rlike(DATA_TOKEN) | ((F.char_length(bare(w)) >= 2) & bare(w).isin(known)))
-    return F.when(F.size(tokens) >= 5, F.size(good) / F.size(tokens))
+    return F.when(F.size(tokens) >= 5, F.try_divide(F.size(good), F.size(tokens)))
 
 
 def families(text: Column) -> Column:
@@ -207,4 +207,4 @@ def embedding_prefix(district: Column, day: Column, section: Column, heading: Co
 
 def normal_form(text: Column) -> Column:
     """For matching quotes: NFKC, no-break spaces as spaces, runs of white space as one, case folded."""
-    return F.trim(F.regexp_replace(nfkc_casefold(F.coalesce(text, F.lit(""))), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(nfkc_casefold(F.coalesce(text, F.lit(""))), r"[\s\u00a0]+", " "))

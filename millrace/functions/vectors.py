@@ -28,7 +28,7 @@ def norm(a: Column) -> Column:
 
 
 def _distance(product: Column, norms: Column) -> Column:
-    return F.when(norms > 0, 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product / norms))).otherwise(1.0)
+    return F.when(norms > 0, 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(product, norms)))).otherwise(1.0)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -57,9 +57,9 @@ def normalised(a: Column) -> Column:
 
 def min_max(x: Column, low: Column, high: Column) -> Column:
     """x on [0, 1]; 0.5 where all values are equal."""
-    return F.when(high > low, (x - low) / (high - low)).otherwise(0.5)
+    return F.when(high > low, F.try_divide(x - low, high - low)).otherwise(0.5)
 
 
 def capped_ratio(num: Column, den: Column, tiny: float = 1e-9) -> Column:
     """num / den, at most 1; null where den is (almost) zero."""
-    return F.when(den > tiny, F.least(F.lit(1.0), num / den))
+    return F.when(den > tiny, F.least(F.lit(1.0), F.try_divide(num, den)))

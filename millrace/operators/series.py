@@ -86,7 +86,7 @@ def seasonal_score(counts: DataFrame, keys: list[str], period: str, year: str, n
     """z-score of each period against the same period of earlier years; null without two of them."""
     w = Window.partitionBy(*keys, period).orderBy(year).rowsBetween(Window.unboundedPreceding, -1)
     spread = F.stddev_samp(n).over(w)
-    return counts.withColumn("z", F.when(spread > 0, (F.col(n) - F.avg(n).over(w)) / spread))
+    return counts.withColumn("z", F.when(spread > 0, F.try_divide(F.col(n) - F.avg(n).over(w), spread)))
 
 
 def shares(counts: DataFrame, group: str, n: str = "n") -> DataFrame:

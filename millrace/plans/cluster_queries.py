@@ -18,12 +18,12 @@ STOPS = "', '".join(series.STOPWORDS)
 @query(f"""
     with m as ({MEMBERS_SQL}), w as (select cluster, {WEEK} as week_start, * exclude (cluster) from m),
     p as (select cluster, week_start, paper, count(*) as n from w group by 1, 2, 3), b as (select cluster, week_start, string_agg(paper || '=' || n, ',' order by paper) as by_paper from p group by 1, 2)
-    select cluster, week_start, cast(count(*) as bigint) as members, any_value(by_paper) as by_paper, round(avg(quality), 6) as mean_quality, round(avg(x), 6) as x, round(avg(y), 6) as y
+    select cluster, week_start, cast(count(*) as bigint) as members, any_value(by_paper) as by_paper, round(avg(quality) + 1e-9, 4) as mean_quality, round(avg(x) + 1e-9, 4) as x, round(avg(y) + 1e-9, 4) as y
     from w join b using (cluster, week_start) group by 1, 2""")
 def weekly_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = series.weekly(members(spark, sf_dir))
     by_paper = F.array_join(F.transform(F.map_entries("by_paper"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return out.select("cluster", "week_start", "members", by_paper.alias("by_paper"), *(F.round(c, 6).alias(c) for c in ("mean_quality", "x", "y")))
+    return out.select("cluster", "week_start", "members", by_paper.alias("by_paper"), *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("mean_quality", "x", "y")))
 
 
 @query(f"with m as ({MEMBERS_SQL}), w as (select cluster, {WEEK} as week_start, count(*) as n from m group by 1, 2) select cluster, round(stddev_pop(n) / avg(n), 6) as burstiness, cast(count(*) as bigint) as n_weeks, cast(sum(n) as bigint) as members from w group by 1")
