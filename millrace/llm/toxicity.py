@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, table
 
-MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_DOCS = 4_000, 6_000, 100_000, 3
+MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_DOCS = 3_000, 7_000, 100_000, 3
 WORD = re.compile(r"\w+")
 
 
@@ -51,25 +51,23 @@ class OrdinalModel:
         return [1 / (1 + np.exp(np.clip(t - margin, -500, 500))) for t in self.thresholds]
 
 
-def sparse(rows: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows as (row, column, value) arrays."""
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    return row, np.array([c for r in rows for c in r], np.int64), np.array([v for r in rows for v in r.values()], float)
+Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]  # row, column and value of each entry
 
 
-def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray], grades: np.ndarray, columns: int, l1: float = 2e-4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by accelerated proximal gradient descent on the cumulative-link log loss."""
+def fit(x: Sparse, grades: np.ndarray, columns: int, l1: float = 3e-5, rounds: int = 300, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by accelerated proximal gradient descent on the cumulative-link log loss; weight: of each row, 1 on average."""
     row, col, val = x
     n, k = len(grades), int(grades.max(initial=0))
+    each = (np.ones(n) if weight is None else weight / weight.mean()) / n
     above = (grades[:, None] > np.arange(k)[None, :]).astype(float)
-    share = above.mean(axis=0).clip(1e-3, 1 - 1e-3)
+    share = (above * each[:, None]).sum(axis=0).clip(1e-3, 1 - 1e-3)
     theta0 = np.log((1 - share) / share)
     # Thresholds are theta_0, theta_0 + exp(g_1), ...: always in order.
     gaps = np.log(np.maximum(np.diff(theta0), 1e-2))
     w, first = np.zeros(columns), float(theta0[0])
-    norm = np.bincount(row, val * val, n).mean()
+    norm = float((np.bincount(row, val * val, n) * each).sum())
     step = 1.0 / (0.25 * max(norm, 1.0))
-    scale = np.bincount(col, val * val, columns) / n  # diagonal step sizes: rare words move as fast as frequent ones
+    scale = np.bincount(col, val * val * each[row], columns)  # diagonal step sizes: rare words move as fast as frequent ones
     steps = np.minimum(1.0 / np.maximum(0.25 * np.sqrt(scale * norm), 1e-4), 200 * step)
     z, z_first, z_gaps, t = w.copy(), first, gaps.copy(), 1.0
     for _ in range(rounds):
@@ -81,10 +79,10 @@ def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray], grades: np.ndarray, column
         lower = np.hstack([p, np.zeros((n, 1))])[np.arange(n), grades]
         mass = np.maximum(upper - lower, 1e-12)
         d_upper, d_lower = upper * (1 - upper), lower * (1 - lower)
-        g_margin = -(d_upper - d_lower) / mass / n
+        g_margin = -(d_upper - d_lower) / mass * each
         g_theta = np.zeros((n, k + 2))
-        g_theta[np.arange(n), grades] += d_upper / mass / n
-        g_theta[np.arange(n), grades + 1] -= d_lower / mass / n
+        g_theta[np.arange(n), grades] += d_upper / mass * each
+        g_theta[np.arange(n), grades + 1] -= d_lower / mass * each
         g_theta = g_theta[:, 1 : k + 1].sum(axis=0)
         g_w = np.bincount(col, val * g_margin[row], columns)
         new = z - steps * g_w
@@ -101,14 +99,14 @@ def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray], grades: np.ndarray, column
     return w, np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
 
 
-def weak_grades(rows: list[dict[int, float]], toxic: np.ndarray, columns: int) -> np.ndarray:
-    """0 for clean texts; 1 to 3 for toxic ones, by thirds of their number of marker words. rows hold counts."""
-    row, col, val = sparse(rows)
+def weak_grades(counts: Sparse, toxic: np.ndarray, columns: int) -> np.ndarray:
+    """0 for clean texts; 1 to 3 for toxic ones, by thirds of their number of marker words. counts: words of each text."""
+    row, col, val = counts
     in_toxic = np.bincount(col, toxic[row], columns)
     in_clean = np.bincount(col, 1 - toxic[row], columns)
     rate = (in_toxic + 0.1) / max(toxic.sum(), 1) / ((in_clean + 0.1) / max((1 - toxic).sum(), 1))
     marker = (rate > 20) & (in_toxic >= MIN_DOCS)
-    strength = np.bincount(row, val * marker[col], len(rows))
+    strength = np.bincount(row, val * marker[col], len(toxic))
     low, high = np.quantile(strength[toxic == 1], [1 / 3, 2 / 3])
     grades = np.where(toxic == 1, 1 + (strength > low) + (strength > high), 0)
     return np.unique(grades, return_inverse=True)[1].reshape(-1)  # a third may be empty
@@ -118,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on a bounded sample of labelled rows; labels: doc_id, toxic."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    totals = dict(known.groupBy((F.col("toxic") > 0).alias("t")).count().collect())  # two rows
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = known.where("toxic > 0").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("toxic <= 0").orderBy(*order).limit(MAX_CLEAN))
     marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
@@ -132,22 +131,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = [r[0] for r in vocabulary.orderBy(F.desc("count"), "word").limit(MAX_WORDS).collect()]
     index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
-    @F.pandas_udf("struct<at:array<int>,n:array<int>>")
+    @F.pandas_udf("struct<at:binary,n:binary>")
     def encode(maps: pd.Series) -> pd.DataFrame:
         rows = [[(index.value[w], n) for w, n in dict(m).items() if w in index.value] for m in maps]
-        return pd.DataFrame({"at": [[a for a, _ in r] for r in rows], "n": [[n for _, n in r] for r in rows]})
+        pack = lambda k: [np.array([r[k] for r in row], "<i4").tobytes() for row in rows]
+        return pd.DataFrame({"at": pack(0), "n": pack(1)})
 
     sampled = found.select("doc_id", "toxic", encode("counts").alias("x")).select("doc_id", "toxic", "x.at", "x.n").toPandas().sort_values("doc_id")
     toxic = (sampled["toxic"].to_numpy() > 0).astype(float)
     if not len(words) or not 0 < toxic.sum() < len(toxic):
         return OrdinalModel()
-    tf = [dict(zip(a, n, strict=True)) for a, n in zip(sampled["at"], sampled["n"], strict=True)]
-    grades = weak_grades(tf, toxic, len(words))
-    w, thresholds = fit(sparse([{c: 1 + np.log(n) for c, n in r.items()} for r in tf]), grades, len(words))
+    col, n = (np.frombuffer(b"".join(sampled[c]), "<i4") for c in ("at", "n"))
+    row = np.repeat(np.arange(len(sampled), dtype=np.int32), [len(a) // 4 for a in sampled["at"]])
+    del sampled
+    grades = weak_grades((row, col, n), toxic, len(words))
+    # Each class weighs as much as it does among all labelled rows, whatever its share of the sample.
+    weight = np.where(toxic == 1, totals[True] / toxic.sum(), totals[False] / (1 - toxic).sum())
+    w, thresholds = fit((row, col, (1 + np.log(n)).astype(np.float32)), grades, len(words), weight=weight)
     return OrdinalModel({words[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-9)}, [float(t) for t in thresholds])
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject: float = 0.4) -> DataFrame:
     """docs with severity (expected grade), grade (thresholds with a chance above a half) and toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_WORDS words at most
 
