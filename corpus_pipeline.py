@@ -17,7 +17,7 @@ TOKENIZER, END_ID, CAPACITY = public_tokenizers.path("word_bpe_49k.json"), 1, 40
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of an expected severity of a half grade or more go."""
+    """Documents that the severity model finds toxic go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("not toxic").select(*docs.columns)
 
@@ -43,7 +43,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of at most 4096 tokens."""
-    return packing.plan(docs, TOKENIZER, END_ID, CAPACITY)
+    return packing.plan(docs, TOKENIZER, END_ID, CAPACITY, memo=150_000)  # workers hold what earlier stages left, too
 
 
 STAGES = [

@@ -22,9 +22,8 @@ WORD_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{bpe.NUMBERS}]|[^{
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    LIMIT = 800_000  # pieces in the memo; it is emptied when full
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int):
+        """limit: pieces in the memo, about 200 bytes each; it is emptied when full."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -36,6 +35,7 @@ class Encoder:
         special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
         self.whole = re.compile("[^\x00-\xff]" + (f"|{special}" if special else ""))
         self.memo: dict[str, bytes] = {}
+        self.limit = limit
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin, or with word ends that end, a piece
         for token, i in vocabulary.items():
@@ -76,7 +76,7 @@ class Encoder:
         return {p: packed[4 * i : 4 * j] for p, i, j in zip(new, bounds, bounds[1:])}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.LIMIT:
+        if len(self.memo) > self.limit:
             self.memo.clear()
         split = [None if self.whole.search(t) else WORD_SPLIT.findall(t.lower()) if self.words else bpe.SPLIT.findall(t) for t in texts]
         new = list(set().union(*(f for f in split if f)).difference(self.memo))
@@ -93,11 +93,12 @@ class Encoder:
 _LOADED: dict[str, Encoder] = {}
 
 
-def load(path: str) -> Encoder:
+def load(path: str, limit: int = 800_000) -> Encoder:
     """The encoder for a tokenizer file, once a Python worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path, limit)
+    _LOADED[path].limit = limit
     return _LOADED[path]
