@@ -10,8 +10,6 @@ from millrace.operators import analytics, structured
 from millrace.plans.models import SCHEDULE_SQL, schedule
 from millrace.plans.registry import load, query
 
-BEST_SQL = "arg_max({v}, (salary, -source))"
-
 
 def _cells(where: str) -> str:
     return f"with s as ({SCHEDULE_SQL}), c as (select grp, school_year, step, max(salary) as salary, arg_max(source, (salary, -source)) as source from s where {where} group by 1, 2, 3)"
@@ -169,7 +167,7 @@ def school_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
     with t as (select o_orderkey, 'Minutes of ' || strftime(o_orderdate, '%B %-d, %Y') || ', file ' || strftime(o_orderdate, '%Y%m%d') as title, o_orderdate, 'Contract ' || year(o_orderdate) + 20 || '–' || year(o_orderdate) + 23 as term from orders)
-    select o_orderkey, cast(o_orderdate as date) as meeting_date, cast(o_orderdate as date) as file_date_90s, (year(o_orderdate) + 20) || '-' || lpad(cast((year(o_orderdate) + 21) % 100 as varchar), 2, '0') as term_year from t""".replace("cast(o_orderdate as date) as file_date_90s", "case when year(o_orderdate) >= 2000 then cast(o_orderdate as date) end as file_date"))
+    select o_orderkey, cast(o_orderdate as date) as meeting_date, case when year(o_orderdate) >= 2000 then cast(o_orderdate as date) end as file_date, (year(o_orderdate) + 20) || '-' || lpad(cast((year(o_orderdate) + 21) % 100 as varchar), 2, '0') as term_year from t""")
 def dates_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates and school years read from titles."""
     d = F.col("o_orderdate")

@@ -50,7 +50,7 @@ def weekly_distinctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DRIFT_SQL = f"""
-    m as (select cast(label % 5 as integer) as cluster, cast(ts as date) as day, embedding::double[] as v from embeddings join events on vec_id = event_id),
+    m as (select cast(label % 5 as integer) as cluster, cast(ts as date) + cast(vec_id % 4 as integer) * 7 as day, embedding::double[] as v from embeddings join events on vec_id = event_id),
     e as (select cluster, {WEEK} as week_start, unnest(v) as x, generate_subscripts(v, 1) as i from m), a as (select cluster, week_start, i, avg(x) as x, count(*) as n from e group by 1, 2, 3),
     c as (select cluster, week_start, list(x order by i) as v, max(n) as n from a group by 1, 2),
     l as (select *, lag(v) over (partition by cluster order by week_start) as before from c),
@@ -65,7 +65,6 @@ def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.drift(series.weekly_centroids(rows.select(F.pmod("label", F.lit(5)).cast("int").alias("cluster"), spread.alias("day"), "embedding")))
 
 
-DRIFT_SQL = DRIFT_SQL.replace("cast(ts as date) as day", "cast(ts as date) + cast(vec_id % 4 as integer) * 7 as day")
 
 
 @query(f"with {DRIFT_SQL} select cluster, round(path, 6) as path, round(net, 6) as net, case when path > 1e-9 then round(least(1, net / path), 6) end as ratio, cast(n_weeks as bigint) as n_weeks, cast(members as bigint) as members from r")
