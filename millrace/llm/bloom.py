@@ -19,14 +19,14 @@ HASHES = 4
 
 
 def cells_for(n: int, per_key: int = 16) -> int:
-    """Cells for n keys: a power of two, one block at least, MAX_CELLS at most."""
-    return min(MAX_CELLS, max(1 << BLOCK_BITS, 1 << int(np.ceil(np.log2(max(1, n) * per_key)))))
+    """Cells for n keys, in whole blocks: one block at least, MAX_CELLS at most. Not rounded further, so the share of false hits is the same at every size."""
+    return min(MAX_CELLS, -(-max(1, n) * per_key >> BLOCK_BITS) << BLOCK_BITS)
 
 
 def positions(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Block of each key, and its HASHES cells in the block (one row a hash)."""
     k = keys.astype(np.int64).view(np.uint64)
-    block = (k >> np.uint64(64 - 30)) & np.uint64((cells >> BLOCK_BITS) - 1)
+    block = (k >> np.uint64(64 - 30)) % np.uint64(cells >> BLOCK_BITS)
     with np.errstate(over="ignore"):
         h = k * np.uint64(0x9E3779B97F4A7C15)
     return block.astype(np.int32), np.stack([(h >> np.uint64(BLOCK_BITS * i)) & np.uint64((1 << BLOCK_BITS) - 1) for i in range(HASHES)]).astype(np.int64)

@@ -39,10 +39,10 @@ from millrace.llm import bloom
 from millrace.llm.common import lookup, materialize, table
 from millrace.llm.components import components
 
-SKETCH_MAX, SKETCH_BLOCK = 26, 14  # counters of the n-gram frequency sketch at most, and counters a block, as powers of two
+SKETCH_MAX, SKETCH_BLOCK = 1 << 26, 1 << 14  # counters of the n-gram frequency sketch at most, and counters a block
 SMALL = 64  # sizes for which enumeration is considered
 SETS = "doc_id long, n int, key binary, tokens array<long>, subsets array<long>"
-CHECK = 8  # cost of checking a candidate, in postings
+CHECK = 20  # cost of checking a candidate, which reads two texts, in postings
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -115,20 +115,19 @@ class Rule:
 def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], int]:
     """Frequency class of each counter (a logarithm of its count) over all n-grams of all documents, the number of sets
     by size up to SMALL, and the n-grams of larger ones. A counter never is below the frequency of an n-gram it counts, so
-    n-grams with low counters stand in short lists. 64 counters a document, a byte each, 2^SKETCH_MAX at most."""
-    bits = min(SKETCH_MAX, max(SKETCH_BLOCK + 2, (64 * max(1, docs.count()) - 1).bit_length()))
-    blocks = 1 << (bits - SKETCH_BLOCK)
+    n-grams with low counters stand in short lists. 64 counters a document, a byte each, SKETCH_MAX at most."""
+    blocks = min(SKETCH_MAX // SKETCH_BLOCK, max(4, -(-64 * docs.count() // SKETCH_BLOCK)))
+    cells = np.uint64(blocks * SKETCH_BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = np.zeros(1 << bits, np.uint32), np.zeros(SMALL + 2, np.int64)
-        mask = np.uint64((1 << bits) - 1)
+        counts, sizes = np.zeros(blocks * SKETCH_BLOCK, np.uint32), np.zeros(SMALL + 2, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = shingles(t, n)
-                counts[(s & mask).astype(np.int64)] += 1  # n-grams of a text that share a counter count once
+                counts[(s % cells).astype(np.int64)] += 1  # n-grams of a text that share a counter count once
                 sizes[min(len(s), SMALL + 1)] += 1 if len(s) <= SMALL else len(s)
         zstd = zstandard.ZstdCompressor()
-        rows = [zstd.compress(counts[k << SKETCH_BLOCK : (k + 1) << SKETCH_BLOCK]) for k in range(blocks)] + [zstd.compress(sizes)]
+        rows = [zstd.compress(counts[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK]) for k in range(blocks)] + [zstd.compress(sizes)]
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +149,8 @@ def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], int]:
 
     schema = "block int, counts binary"
     merged = docs.select("text").mapInArrow(count, schema).repartition("block").sortWithinPartitions("block").mapInArrow(merge, schema).collect()
-    found = {r[0]: r[1] for r in merged}  # 2^SKETCH_MAX bytes at most
-    rank = np.concatenate([np.frombuffer(found[k], np.uint8) if k in found else np.zeros(1 << SKETCH_BLOCK, np.uint8) for k in range(blocks)])
+    found = {r[0]: r[1] for r in merged}  # SKETCH_MAX bytes at most
+    rank = np.concatenate([np.frombuffer(found[k], np.uint8) if k in found else np.zeros(SKETCH_BLOCK, np.uint8) for k in range(blocks)])
     sizes = np.frombuffer(found[blocks], np.int64) if blocks in found else np.zeros(SMALL + 2, np.int64)
     return rank, {s: int(sizes[s]) for s in range(1, SMALL + 1)}, int(sizes[SMALL + 1])
 
@@ -165,7 +164,7 @@ def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     ranks = spark.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(len(ranks.value) - 1)
+        cells = np.uint64(len(ranks.value))
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 rows = []
@@ -173,7 +172,7 @@ def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
                     s = shingles(t, n)
                     tokens: list[int] = []
                     if len(s) >= heavy:
-                        order = np.lexsort((s, ranks.value[(s & mask).astype(np.int64)]))
+                        order = np.lexsort((s, ranks.value[(s % cells).astype(np.int64)]))
                         tokens = s[order[: rule.prefix(len(s))]].astype(np.int64).tolist()
                     rows.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), tokens, rule.keys(s) if 0 < len(s) <= light else []))
                 types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -240,7 +239,7 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
 
     total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     posted = sets.select("n", F.col("doc_id").alias("id"), F.posexplode("tokens").alias("pos", "token"))
-    repeated = spark.sparkContext.broadcast(bloom.repeated_filter(posted.select("token"), total, 8))
+    repeated = spark.sparkContext.broadcast(bloom.repeated_filter(posted.select("token"), total, 10))
 
     @F.pandas_udf("boolean")
     def maybe(s: pd.Series) -> pd.Series:
