@@ -167,7 +167,7 @@ def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int
     return first.where("not loose").unionByName(second).drop("grp", "loose")
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 800_000) -> DataFrame:
     """Pieces of each document's ids: doc_id, piece, start, length, ids_crc32 and ids (packed)."""
     end = struct.pack("<I", end_id)
 
@@ -188,7 +188,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + ", ids binary")
 
 
-def plan(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, memo: int = 400_000) -> DataFrame:
+def plan(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, memo: int = 800_000) -> DataFrame:
     """The packing of docs: a row a piece, with its place and the checksum of its ids."""
     pieces = materialize(cut(docs, tokenizer, end_id, capacity, memo=memo).drop("ids"), "pieces")
     return pack_pieces(pieces, docs.count(), capacity)
