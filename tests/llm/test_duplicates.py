@@ -172,6 +172,6 @@ def test_a_light_boundary_is_used(spark):
     """Texts of few words go by subsets; both ways agree."""
     rows = [(i, " ".join(f"w{k}" for k in range(14) if k != i % 14) + f" t{i // 14}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = ngram_join._sets(df, ngram_join.Rule(80), 3).collect()
+    sets = ngram_join._sets(df, ngram_join.Rule(90), 3).collect()
     assert any(r.subsets for r in sets)
-    assert sorted((tuple(r) for r in ngram_join.classes(df, percent=80).collect()), key=str) == brute_classes(rows, 80, 3)
+    assert sorted((tuple(r) for r in ngram_join.classes(df, percent=90).collect()), key=str) == brute_classes(rows, 90, 3)
