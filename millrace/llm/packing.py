@@ -1,10 +1,10 @@
 """Best-fit packing with swap-based local search.
 
 Pieces of at most `capacity` tokens are dealt into groups by a hash. In each group best-fit decreasing gives the first
-bins; then the emptiest bin is taken apart: its pieces move to bins with room, or are exchanged one for one, or two for
-one, against smaller pieces of fuller bins. Every step increases the sum of squared fill. The search ends when the bins
-meet the lower bound, or no step is left, or after a set number of steps. The emptiest bin of each group then meets
-those of other groups in a second round.
+bins; then the emptiest bin is taken apart: its pieces move to bins with room, or one piece or any two are exchanged
+against a smaller one of another bin. Every step increases the sum of squared fill. The search ends when the bins meet
+the lower bound or no bin has a step left. The emptiest bin of each group then meets those of other groups in a second
+round.
 
 Defined cases: a null text is empty and gives the end id alone. Rows that repeat a doc_id are packed each. Extra
 columns of docs aren't carried; an empty table gives an empty result. Ties go by doc_id, then piece.
@@ -12,6 +12,7 @@ columns of docs aren't carried; an empty table gives an empty result. Ties go by
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -55,85 +56,150 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]
     return bin_of, room
 
 
-def improve(lengths: np.ndarray, bin_of: np.ndarray, room: np.ndarray, capacity: int, steps: int) -> None:
-    """Local search in place; a bin that is emptied keeps the whole capacity as room."""
+def improve(lengths: np.ndarray, bin_of: np.ndarray, room: np.ndarray, capacity: int, steps: int | None = None) -> None:
+    """Local search in place, to its end or for so many steps; a bin that is emptied keeps the whole capacity as room."""
     least = -(-int(lengths.sum()) // capacity)
     used = int((room < capacity).sum())
-    stuck: set[int] = set()
-    while used > least and steps > 0:
-        open_bins = [b for b in np.flatnonzero((room > 0) & (room < capacity)).tolist() if b not in stuck]
-        if not open_bins:
-            return
-        donor = max(open_bins, key=lambda b: (room[b], -b))
-        moved = False
-        while steps > 0 and room[donor] < capacity:
-            own = np.flatnonzero(bin_of == donor)
-            own = own[np.argsort(-lengths[own], kind="stable")]
-            step = _step(lengths, bin_of, room, donor, own)
-            if step is None:
-                break
-            give, take, other = step
-            delta = int(lengths[give].sum() - (lengths[take].sum() if len(take) else 0))
-            bin_of[give], bin_of[take] = other, donor
-            room[other] -= delta
-            room[donor] += delta
-            moved, steps = True, steps - 1
+    left = math.inf if steps is None else steps
+    if used <= least:
+        return
+    search = _Search(lengths, bin_of, room, capacity)
+    free, moved = np.ones(len(room), bool), False  # bins not tried since the last turn, and whether a step was made in it
+    while used > least and left > 0:
+        open_room = np.where(free & (room < capacity), room, 0)
+        donor = int(np.argmax(open_room))
+        if not open_room[donor]:
+            if not moved:
+                return
+            free[:], moved = True, False
+            continue
+        n = search.take_apart(donor, left)
+        left, moved = left - n, moved or n > 0
+        free[donor] = False
         if room[donor] == capacity:
             used -= 1
-            stuck.clear()
-        else:
-            stuck.add(donor)
-            if moved and len(stuck) > 1:
-                stuck = {donor}
-
-
-def _step(lengths: np.ndarray, bin_of: np.ndarray, room: np.ndarray, donor: int, own: np.ndarray):
-    """The move or exchange that adds most to the squared fill: (pieces given, pieces taken, other bin), or None."""
-    fill_gain = lambda d, b: 2 * d * (d + room[donor] - room[b])
-    best, found = 0, None
-    rooms = room.copy()
-    rooms[donor] = 0
-    capacity = rooms.max()
-    for x in own.tolist():  # a move, to the fullest bin with room
-        size = int(lengths[x])
-        fits = np.flatnonzero((rooms >= size) & (room < room[donor] + 1) & (rooms > 0))
-        if len(fits):
-            b = int(fits[np.argmin(rooms[fits])])
-            if fill_gain(size, b) > best:
-                best, found = fill_gain(size, b), (np.array([x]), np.array([], np.int64), b)
-    if found is not None or capacity <= 0:
-        return found
-    others = np.flatnonzero((bin_of != donor) & (rooms[bin_of] > 0))
-    if not len(others):
-        return None
-    size, space, fuller = lengths[others], rooms[bin_of[others]], room[donor] - room[bin_of[others]]
-    single = [(np.array([x]), int(lengths[x])) for x in own.tolist()]
-    largest = own[:48].tolist()
-    double = [(np.array([x, y]), int(lengths[x] + lengths[y])) for i, x in enumerate(largest) for y in largest[i + 1 :]]
-    for given in (single, double):  # one for one, then two for one
-        seen = set()
-        for give, total in given:
-            if total in seen:
-                continue
-            seen.add(total)
-            d = total - size
-            gain = np.where((d > 0) & (d <= space), 2 * d * (d + fuller), 0)
-            k = int(np.argmax(gain))
-            if gain[k] > best:
-                best, found = int(gain[k]), (give, np.array([others[k]]), int(bin_of[others[k]]))
+
+
+class _Search:
+    """Pieces by size and bins by room, so that a step looks at sizes and rooms and not at pieces."""
+
+    def __init__(self, lengths: np.ndarray, bin_of: np.ndarray, room: np.ndarray, capacity: int):
+        self.bin_of, self.room, self.capacity = bin_of, room, capacity
+        self.order = np.argsort(lengths, kind="stable")  # below, a piece is its place in this order
+        self.size = lengths[self.order]
+        self.sizes, self.starts = np.unique(self.size, return_index=True)
+        self.space = room[bin_of[self.order]]  # room of each piece's bin
+        self.members: list[set[int]] = [set() for _ in range(len(room))]
+        for at, b in enumerate(bin_of[self.order].tolist()):
+            self.members[b].add(at)
+        self.at: list[set[int]] = [set() for _ in range(capacity + 1)]  # bins by room
+        self.count = np.zeros(capacity + 1, np.int64)
+        for b, r in enumerate(room.tolist()):
+            self._list(b, r)
+
+    def _list(self, b: int, r: int) -> None:
+        if 0 < r < self.capacity:
+            self.at[r].add(b)
+            self.count[r] += 1
+
+    def _unlist(self, b: int, r: int) -> None:
+        if 0 < r < self.capacity:
+            self.at[r].discard(b)
+            self.count[r] -= 1
+
+    def take_apart(self, donor: int, most: float) -> int:
+        """Steps from the donor until it is empty or no step is left, `most` at most; how many they were."""
+        self._unlist(donor, int(self.room[donor]))
+        n = 0
+        while n < most and self.members[donor]:
+            own = np.array(sorted(self.members[donor]))
+            self.space[own] = 0  # a donor takes nothing from itself
+            step = self._step(int(self.room[donor]), own)
+            if step is None:
+                break
+            self._apply(donor, *step)
+            n += 1
+        self.space[list(self.members[donor])] = self.room[donor]
+        self._list(donor, int(self.room[donor]))
+        return n
+
+    def _apply(self, donor: int, give: list[int], take: list[int], other: int) -> None:
+        delta = int(self.size[give].sum() - self.size[take].sum())
+        self._unlist(other, int(self.room[other]))
+        self.members[donor].difference_update(give)
+        self.members[donor].update(take)
+        self.members[other].difference_update(take)
+        self.members[other].update(give)
+        self.bin_of[self.order[give]] = other
+        self.bin_of[self.order[take]] = donor
+        self.room[other] -= delta
+        self.room[donor] += delta
+        self.space[list(self.members[other])] = self.room[other]
+        self._list(other, int(self.room[other]))
+
+    def _step(self, room: int, own: np.ndarray) -> tuple[list[int], list[int], int] | None:
+        """A move, else an exchange of one, else of any two, that adds to the squared fill: (pieces given, pieces taken, other bin)."""
+        sizes, first, n = np.unique(self.size[own], return_index=True, return_counts=True)
+        rooms = np.flatnonzero(self.count)
+        if not len(rooms):
+            return None
+        k = np.searchsorted(rooms, sizes)  # a move, to the fullest bin with room
+        to = rooms[np.minimum(k, len(rooms) - 1)]
+        gain = np.where(k < len(rooms), sizes * (sizes + room - to), 0)
+        x = int(np.argmax(gain))
+        if gain[x] > 0:
+            return [int(own[first[x]])], [], min(self.at[int(to[x])])
+        near = np.where(self.space <= room, self.space, 0)
+        most = np.maximum.reduceat(near, self.starts)  # largest room with a piece of each size, of bins no emptier than the donor
+        reach = np.maximum.accumulate(self.sizes + most)
+        far = np.flatnonzero(self.space > room)
+        found = self._exchange(sizes, room, near, most, reach, far)
         if found is not None:
-            return found
-    return None
+            x, take = found
+            return [int(own[first[x]])], [take], int(self.bin_of[self.order[take]])
+        i, j = np.triu_indices(len(sizes))
+        both = (i < j) | (n[i] > 1)
+        i, j = i[both], j[both]
+        found = self._exchange(sizes[i] + sizes[j], room, near, most, reach, far)
+        if found is not None:
+            x, take = found
+            return [int(own[first[i[x]]]), int(own[first[j[x]] + (i[x] == j[x])])], [take], int(self.bin_of[self.order[take]])
+        return None
+
+    def _exchange(self, totals: np.ndarray, room: int, near: np.ndarray, most: np.ndarray, reach: np.ndarray, far: np.ndarray) -> tuple[int, int] | None:
+        """Which total goes for which piece. For a total the smallest piece in reach of a bin's room leaves the most to it."""
+        if not len(totals):
+            return None
+        k = np.searchsorted(reach, totals)
+        kept = np.minimum(k, len(reach) - 1)
+        d = totals - self.sizes[kept]
+        gain = np.where((k < len(reach)) & (d > 0), d * (d + room - most[kept]), 0)
+        x = int(np.argmax(gain))
+        if gain[x] > 0:
+            lo = int(self.starts[k[x]])
+            rooms = near[lo : self.starts[k[x] + 1] if k[x] + 1 < len(self.starts) else None]
+            return x, lo + int(np.argmin(np.where(rooms >= d[x], rooms, self.capacity + 1)))
+        if len(far):  # of emptier bins: what goes there must leave less room than the donor has
+            level = self.size[far] + self.space[far]
+            flags = np.zeros(2 * self.capacity + 1, bool)
+            flags[level] = True
+            levels = np.flatnonzero(flags)
+            k = np.searchsorted(levels, totals)
+            lead = np.where(k < len(levels), totals + room - levels[np.minimum(k, len(levels) - 1)], 0)
+            x = int(np.argmax(lead))
+            if lead[x] > 0:
+                return x, int(far[np.argmax(level == levels[k[x]])])
+        return None
 
 
-def pack(lengths: np.ndarray, capacity: int, steps: int = 2000) -> np.ndarray:
+def pack(lengths: np.ndarray, capacity: int, steps: int | None = None) -> np.ndarray:
     """Bin of each piece, numbered without gaps."""
     bin_of, room = best_fit(lengths, capacity)
     improve(lengths, bin_of, room := np.array(room, np.int64), capacity, steps)
     return np.unique(bin_of, return_inverse=True)[1].reshape(-1)
 
 
-def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int = 2000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset. n_docs sets the number of groups."""
     groups = max(1, -(-n_docs // GROUP))
 

@@ -254,3 +254,38 @@ def test_every_step_adds_to_the_squared_fill():
         assert fill >= last
         last = fill
         packing.improve(lengths, bin_of, room, 4096, 1)
+
+
+def improving_steps(lengths, bins, capacity):
+    """Bins from which a move, or an exchange of one or any two pieces, would add to the squared fill."""
+    room, found = capacity - np.bincount(bins, lengths).astype(np.int64), []
+    for donor in np.flatnonzero(room).tolist():
+        own, others = lengths[bins == donor], np.flatnonzero(bins != donor)
+        size, space = np.concatenate([lengths[others], np.zeros(len(room), int)]), np.concatenate([room[bins[others]], np.where(np.arange(len(room)) == donor, 0, room)])
+        totals = {int(x) for x in own} | {int(own[i] + own[j]) for i in range(len(own)) for j in range(i)}
+        for t in totals:
+            d = t - size
+            fits = (d > 0) & (d <= space) & (d + room[donor] - space > 0)
+            if t not in own:  # two pieces need one in return
+                fits[len(others) :] = False
+            if fits.any():
+                found.append((donor, t))
+    return found
+
+
+def test_search_runs_until_no_step_is_left():
+    lengths = np.random.default_rng(0).integers(1200, 1800, 3000)
+    assert not improving_steps(lengths, packing.pack(lengths, 4096), 4096)
+    lengths = np.random.default_rng(0).integers(800, 1301, 4000)
+    assert not improving_steps(lengths, packing.pack(lengths, 4096), 4096)
+
+
+def test_all_pairs_of_the_donor_are_tried():
+    """Only the donor's two smallest pieces of 51 can go for a piece of another bin."""
+    lengths = np.array([40] * 49 + [11] * 2 + [21, 4074] * 2000)
+    bins = np.array([0] * 51 + [k // 2 + 1 for k in range(4000)])
+    room = 4096 - np.bincount(bins, lengths).astype(np.int64)
+    before = int(room[0])
+    packing.improve(lengths, bins, room, 4096, 5)
+    assert room[0] == before + 1 and 0 not in bins[49:51]
+    assert (room == 4096 - np.bincount(bins, lengths)).all()
