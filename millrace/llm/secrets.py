@@ -2,7 +2,9 @@
 
 Spark expressions only. The entropy of a window is kept by incremental counts: moving it by one character takes one
 count down and one up, and changes the sum of c*log2(c) by those two terms. A candidate whose text matches the allow
-list is suppressed; a candidate inside a base span adds nothing new and is left out.
+list is suppressed; a candidate that other spans cover wholly adds nothing new and is left out. One that they cover in
+part is a span of its own, so spans may overlap. What base spans leave of the text is also tested by itself, so that
+the allow list can't suppress a secret for the base span that it is joined to.
 
 Defined cases: a null or empty text has no spans. Repeated rows are scanned alike; extra columns stay, and columns of
 the operator's own names (spans, n_assign, ...) are replaced. An empty table gives an empty result. Offsets count code
@@ -101,23 +103,39 @@ def entropy_spans(text: Column, kind: str, alphabet: str, pattern: str, window:
     return F.when(text.rlike(pattern), _spans(F.filter(matches(text, pattern), secret), kind, rank)).otherwise(F.array().cast(SPAN))
 
 
-def _apart(spans: Column, others: Column) -> Column:
-    """Spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["stop"]) & (o["start"] < s["stop"])))
+def _uncovered(spans: Column, others: Column) -> Column:
+    """Spans that the others, which are in order of start, don't cover wholly."""
+    reach = lambda s: F.aggregate(others, s["start"], lambda at, o: F.when(o["start"] <= at, F.greatest(at, o["stop"])).otherwise(at))
+    return F.filter(spans, lambda s: reach(s) < s["stop"])
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with spaces in place of the spans, so that what is joined to them stands alone at its own offsets."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def cut(s: Column, x: Column) -> Column:
+        start, stop = F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["stop"])
+        out = F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (start - s["at"]).cast("int")), F.repeat(F.lit(" "), (stop - start).cast("int")))
+        return F.struct(stop.alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, zero, cut, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `base_spans` and `spans` (base ones and the method's), arrays of (start, rank, kind, stop, value) by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = {f"__{kind}": base_spans(text, kind, pattern, group, least, rank) for rank, (kind, pattern, group, least) in enumerate(BASE)}
-    raw |= {f"__{kind}": entropy_spans(text, kind, alphabet, pattern, window, least, len(BASE) + i) for i, (kind, alphabet, pattern, window, least) in enumerate(CLASSES)}
-    df = docs.drop("base_spans", "spans", *raw).withColumns(raw)
+    entropy = lambda t, name: {name + kind: entropy_spans(t, kind, alphabet, pattern, window, least, len(BASE) + i) for i, (kind, alphabet, pattern, window, least) in enumerate(CLASSES)}
+    raw |= entropy(text, "__")
+    parts = entropy(F.col("__rest"), "__rest_")
+    df = docs.drop("base_spans", "spans", "__rest", *raw, *parts).withColumns(raw)
     df = df.withColumn("base_spans", F.array_sort(F.concat(*(F.col(f"__{b[0]}") for b in BASE))))
+    df = df.withColumn("__rest", F.when(F.size("base_spans") > 0, _blanked(text, F.col("base_spans")))).withColumns(parts)
     spans = F.col("base_spans")
-    for kind, *_ in CLASSES:
-        df = df.withColumn("spans", F.concat(spans, _apart(F.col(f"__{kind}"), spans)))
+    for name in [f"__{kind}" for kind, *_ in CLASSES] + list(parts):
+        df = df.withColumn("spans", F.array_sort(F.concat(spans, _uncovered(F.col(name), spans))))
         spans = F.col("spans")
-    return df.withColumn("spans", F.array_sort(spans)).drop(*raw)
+    return df.drop("__rest", *raw, *parts)
 
 
 def spans_text(spans: Column) -> Column:
