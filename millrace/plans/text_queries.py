@@ -148,18 +148,22 @@ def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", "word_start", "word_end", F.md5("content").alias("content_md5"))
 
 
-def _agendas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as agendas: each turn a numbered part, its sentences lettered items."""
-    c = load(spark, sf_dir, "conversations").where("turn is not null")
-    lines = F.transform(F.slice(F.split("text", r"(?<=\.)\s"), 1, 5), lambda s, i: F.concat(F.char(i + 65), F.lit(". "), s))
-    part = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.when(F.col("turn") % 2 == 1, "Consent Agenda").otherwise("Reports"), F.lit("\n"), F.array_join(lines, "\n"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda s: s["p"]), "\n\n").alias("text"))
+def _agendas(conversations: DataFrame) -> DataFrame:
+    """Conversations as agendas: each turn a numbered part, all its sentences lettered items; after Z comes A again. Null turns come last, null texts are empty."""
+    turns = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("text", F.lit("")).alias("text"))))
+
+    def part(t, i):
+        lines = F.transform(F.split(t["text"], r"(?<=\.)\s"), lambda s, j: F.concat(F.char(j % 26 + 65), F.lit(". "), s))
+        kind = F.when(t["turn"] % 2 == 1, "Consent Agenda").otherwise("Reports")
+        return F.concat((i + 1).cast("string"), F.lit(". "), kind, F.lit("\n"), F.array_join(lines, "\n"))
+
+    return conversations.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.array_join(F.transform("turns", part), "\n\n").alias("text"))
 
 
 @query()
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline sections of agendas; tests hold them against worked cases."""
-    return chunking.section_chunks(_agendas(spark, sf_dir)).select("conv_id", "chunk_index", "section_path", "section_type", F.md5("content").alias("content_md5"))
+    return chunking.section_chunks(_agendas(load(spark, sf_dir, "conversations"))).select("conv_id", "chunk_index", "section_path", "section_type", F.md5("content").alias("content_md5"))
 
 
 @query("""

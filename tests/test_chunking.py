@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.operators import chunking
+from millrace.plans import text_queries
 
 
 def test_windows_without_sentences():
@@ -82,3 +83,15 @@ def test_frames(spark):
     rows = chunking.window_chunks(df).collect()
     assert [(r.id, r.word_start, r.word_end, r.content) for r in rows] == [(3, 0, 3, "one two. three")]
     assert [r.section_path for r in chunking.section_chunks(df).collect()] == ["header"]
+
+
+def test_agendas_hold_every_sentence_and_turn(spark, tmp_path):
+    long = " ".join(f"Sentence {i} " + "word " * 60 + "ends." for i in range(30))
+    rows = [(1, 0, "One. Two."), (1, 1, long), (1, None, "Without a turn."), (2, None, "Alone."), (3, 0, None), (3, 1, "After a null text.")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = {r.conv_id: r.text for r in text_queries._agendas(spark.read.parquet(f"{tmp_path}/conversations.parquet")).collect()}
+    assert all(f"Sentence {i} word" in text[1] for i in range(30)) and text[1].endswith("3. Reports\nA. Without a turn.")
+    assert text[2] == "1. Reports\nA. Alone." and "2. Consent Agenda\nA. After a null text." in text[3]
+    paths = [r.section_path for r in text_queries.section_chunks(spark, str(tmp_path)).where("conv_id = 1").orderBy("chunk_index").collect()]
+    assert paths == ["P1", *(f"P2.{chr(65 + i % 26)}" for i in range(30)), "P3"]
+    assert {r.conv_id for r in text_queries.section_chunks(spark, str(tmp_path)).collect()} == {1, 2, 3}
