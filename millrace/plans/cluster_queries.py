@@ -296,12 +296,23 @@ def _blobs(n: int = 40, dims: int = 8) -> pd.DataFrame:
     return pd.DataFrame({"id": range(len(points)), "embedding": [[float(v) for v in p] for p in points]})
 
 
+SAMPLE = 1000  # points that HDBSCAN is fitted on
+
+
+def _density_labels(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """Every point (id, embedding) at its nearest density cluster of a sample, the SAMPLE points first by the hash of their id.
+    Noise is what is farther than 0.8 from all centroids, has no vector, or finds no cluster in the sample."""
+    rows = points.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    labels = clusters.hdbscan(np.array([r.embedding for r in rows], np.float64), 15, 5).tolist()
+    fitted = spark.createDataFrame([(label, [float(v) for v in r.embedding]) for label, r in zip(labels, rows, strict=True)], "label int, embedding array<double>")
+    assigned = clusters.assign(points, clusters.centroids(fitted), 0.8)
+    return assigned.select("id", F.when(F.col("distance") <= 0.8, F.col("label")).otherwise(clusters.NOISE).cast("int").alias("label"))
+
+
 @query()
 def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters of a bounded sample; the tables' vectors have no density, so seeded points stand in. Tests check the labels."""
-    pdf = _blobs()
-    labels = clusters.hdbscan(np.array(pdf["embedding"].tolist()), 15, 5)
-    return spark.createDataFrame(pd.DataFrame({"id": pdf["id"], "label": labels.astype("int32")}), "id long, label int")
+    """Density clusters of a bounded sample of the vectors, and every vector's label by the sample's frozen centroids."""
+    return _density_labels(spark, load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
 @query()

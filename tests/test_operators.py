@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import analytics, clusters, incremental, retrieval, series
+from millrace.plans import cluster_queries
 
 
 def schedule(spark, rows):
@@ -117,3 +118,16 @@ def test_changes_and_merges(spark):
     assert {r.id: r.change for r in incremental.changes(old, new, "id", "text").collect()} == {1: "UNCHANGED", 2: "UPDATED", 3: "GONE", 4: "NEW"}
     assert sorted(map(tuple, incremental.upsert(old, new, ["id"]).collect())) == [(1, "a B"), (2, "z"), (3, "y"), (4, None)]
     assert sorted(map(tuple, incremental.replaced(old, new, ["id"]).collect())) == [(1, "a B"), (2, "z"), (3, "y")]
+
+
+def test_density_labels_cover_every_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cluster_queries, "SAMPLE", 100)
+    blobs = cluster_queries._blobs()
+    rows = [(int(i), [float(v) for v in e]) for i, e in zip(blobs["id"], blobs["embedding"], strict=True)]
+    spark.createDataFrame([*rows, (1000, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    labels = {r.id: r.label for r in cluster_queries.hdbscan_labels(spark, str(tmp_path)).collect()}
+    assert sorted(labels) == [*range(140), 1000] and labels[1000] == clusters.NOISE
+    groups = [{labels[i] for i in range(lo, lo + 40)} for lo in (0, 40, 80)]
+    assert all(len(g) == 1 for g in groups) and set.union(*groups) == {0, 1, 2}
+    spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/few/embeddings.parquet")
+    assert [r.label for r in cluster_queries.hdbscan_labels(spark, f"{tmp_path}/few").collect()] == [clusters.NOISE] * 5
