@@ -7,6 +7,7 @@ one space, compared by SHA-256.
 Defined cases: a null text counts as empty, so null and empty texts are one group. A null doc_id is larger
 than any other. Rows that repeat both doc_id and text count as members; `deduplicate` returns one of them, `classes` a row for
 each. Extra columns pass through `deduplicate` unchanged, whatever their names. An empty table gives an empty result.
+Very long texts are hashed whole; only their hashes shuffle in `classes`.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bloom
-from millrace.llm.common import SPACE_RUN, lookup, materialize, table
+from millrace.llm.common import ROW, SPACE_RUN, enclosed, lookup, materialize, released, table
 
-SHA, MAYBE = "__text_sha256", "__maybe_repeated"
+SHA, MAYBE = "sha", "maybe_repeated"
 
 
 def text_sha256(text: Column) -> Column:
@@ -60,13 +61,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies: of equal texts the row with the smallest id stays. Only possibly repeated rows shuffle."""
     _, groups, _, maybe = _split(docs, id_col, text_col)
-    marks = groups.select(F.col(SHA).alias("__sha"), F.col("keep_id").alias("__keep_id"))
-    rows = docs.withColumn(SHA, text_sha256(F.col(text_col)))
+    rows = enclosed(docs).withColumns({"id": F.col(ROW)[id_col], SHA: text_sha256(F.col(ROW)[text_col])})
     rows = rows.withColumn(MAYBE, maybe(F.xxhash64(SHA)))
-    alone = rows.where(~F.col(MAYBE)).select(*docs.columns)
-    met = rows.where(MAYBE).dropDuplicates([SHA, id_col])
-    kept = met.join(marks, (F.col(SHA) == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
-    return alone.unionByName(kept.select(*docs.columns))
+    alone = rows.where(~F.col(MAYBE)).select(ROW)
+    met = rows.where(MAYBE).dropDuplicates([SHA, "id"])
+    marks = groups.select(F.col(SHA).alias("kept_sha"), "keep_id")
+    kept = met.join(marks, (F.col(SHA) == F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return released(alone.unionByName(kept.select(ROW)))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
