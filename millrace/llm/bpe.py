@@ -2,11 +2,14 @@
 
 `sufficient_lookahead` derives from the merge list how many bytes after a token can still change it. MergeTransducer
 holds bytes back only until that many follow, so its memory doesn't grow with the text; StreamEncoder splits text into
-pieces with the same guarantee (special tokens, words, runs of white space) and feeds them. Results equal the tokenizers
-library's on the whole text.
-
-Defined cases: a null text is empty and has no tokens. Rows keep their order, repeated rows and extra columns their
-values; columns named like the operator's own are replaced. An empty table gives an empty result.
+pieces with the same guarantee (special tokens, words, runs of white space). A boundary between pieces settles all bytes
+before it. All ids come from the transducer: pieces that lie whole in a block by its transitions, which are computed when
+they first occur, and the piece that a block leaves open byte by byte. Results equal the tokenizers library's on the
+whole text.
+
+Defined cases: a null text is empty and has no tokens. Very long texts, and texts without any boundary, pass in blocks.
+Rows keep their order, repeated rows and extra columns their values; columns named like the operator's own are replaced.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WH
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 KINDS = [f"[{LETTERS}]+", f"[{NUMBERS}]+", f"[^{WHITE}{LETTERS}{NUMBERS}]+", f"[{WHITE}]+"]
 WORDS, RUNS = [re.compile(" ?" + k) for k in KINDS], [re.compile(k) for k in KINDS]
-CHUNK = 1 << 16  # characters that are split at once
+BLOCK = 1 << 14  # characters that are split at once
 HOLD = 3  # characters after a piece that settle where it ends
 
 
@@ -191,45 +194,54 @@ class MergeTransducer:
         return out
 
 
-class Memo(dict):
-    """Packed ids by piece; emptied when full, so bounded."""
+class Transitions(dict):
+    """Packed ids by whole piece: what the transducer emits from its empty state for the piece and the boundary after it.
+
+    Each is computed by the transducer when it first occurs, as a lazily built automaton has its transitions; emptied when full, so bounded."""
 
-    LIMIT = 300_000
+    LIMIT, LONGEST = 300_000, 48
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.merges.encode(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 48:
+        transducer = MergeTransducer(self.merges)
+        packed = pack(transducer.feed(piece.encode()) + transducer.finish())
+        if len(piece) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
             self[piece] = packed
         return packed
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class StreamEncoder:
-    """Text in by feed(), little-endian unsigned 32-bit ids out; finish() gives the rest. Holds CHUNK characters at most."""
+    """Text in by feed(), little-endian unsigned 32-bit ids out as soon as they are stable; finish() gives the rest.
 
-    def __init__(self, merges: Merges, memo: Memo | None = None):
-        self.merges, self.memo = merges, memo if memo is not None else Memo(merges)
+    Holds a block of text, a few characters that wait for what follows and, for a piece that a block leaves open, the transducer's lookahead."""
+
+    def __init__(self, merges: Merges, transitions: Transitions | None = None, block: int = BLOCK):
+        self.merges, self.transitions, self.block = merges, transitions if transitions is not None else Transitions(merges), block
         self.special = re.compile("|".join(re.escape(s) for s in sorted(merges.special, key=len, reverse=True))) if merges.special else None
         self.longest = max(map(len, merges.special), default=1)
         self.raw = self.held = ""
-        self.run: tuple[int, MergeTransducer] | None = None
+        self.run: tuple[int, MergeTransducer] | None = None  # kind of the open piece, and its state
 
     def feed(self, text: str) -> bytes:
-        out = []
-        for i in range(0, len(text), CHUNK):
-            self.raw += text[i : i + CHUNK]
-            out.append(self._specials())
+        return b"".join(self.stream(text))
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        for i in range(0, len(text), self.block):
+            self.raw += text[i : i + self.block]
+            yield self._specials()
             keep = self.longest - 1
             if len(self.raw) > keep:
                 ready, self.raw = self.raw[: len(self.raw) - keep], self.raw[len(self.raw) - keep :]
-                out.append(self._text(ready, False))
-        return b"".join(out)
+                yield self._text(ready, False)
 
     def finish(self) -> bytes:
         out = self._specials() + self._text(self.raw, True)
@@ -252,13 +264,13 @@ class StreamEncoder:
             end = m.end() if m else 0
             if kind == 3 and end and (end < len(text) or not last):
                 end -= 1  # the last space may belong to the next word
-            out.append(self._pack(transducer.feed(text[:end].encode())))
+            out.append(pack(transducer.feed(text[:end].encode())))
             text = text[end:]
             open_still = not last and (not text or kind == 3 and RUNS[3].fullmatch(latin(text)))
             if open_still:
                 self.held = text
                 return b"".join(out)
-            out.append(self._pack(transducer.finish()))
+            out.append(pack(transducer.finish()))
             self.run = None
         found = pieces(text)
         if not last:
@@ -267,20 +279,16 @@ class StreamEncoder:
                 held += len(found.pop())
             if held:
                 self.held = text[len(text) - held :]
-        out.append(b"".join(map(self.memo.__getitem__, found)))
-        if len(self.held) >= CHUNK:  # one piece without end in sight
+        out.append(b"".join(map(self.transitions.__getitem__, found)))
+        if len(self.held) > HOLD:  # the last piece goes on in the next block, or ends with this one: its bytes enter the transducer now
             kind = next((k for k, r in enumerate(WORDS) if r.fullmatch(latin(self.held))), None)
             if kind is not None:
                 self.run = (kind, MergeTransducer(self.merges))
                 keep = 1 if kind == 3 else 0
                 body, self.held = self.held[: len(self.held) - keep], self.held[len(self.held) - keep :]
-                out.append(self._pack(self.run[1].feed(body.encode())))
+                out.append(pack(self.run[1].feed(body.encode())))
         return b"".join(out)
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
 
 class StreamDecoder:
     """Ids in by feed(), text out: a byte-to-text state machine that holds back an unfinished character, and replaces what can't become one."""
@@ -296,25 +304,49 @@ class StreamDecoder:
         return self.machine.decode(b"", True)
 
 
-_LOADED: dict[str, tuple[Merges, Memo]] = {}
+_LOADED: dict[str, tuple[Merges, Transitions]] = {}
 
 
-def load(path: str) -> tuple[Merges, Memo]:
-    """The vocabulary at path and its memo, once a Python worker."""
+def load(path: str) -> tuple[Merges, Transitions]:
+    """The vocabulary at path and its transitions, once a Python worker."""
     if path not in _LOADED:
         merges = Merges(path)
-        _LOADED[path] = merges, Memo(merges)
+        _LOADED[path] = merges, Transitions(merges)
     return _LOADED[path]
 
 
-def encode(text: str, merges: Merges, memo: Memo) -> bytes:
-    encoder = StreamEncoder(merges, memo)
-    return encoder.feed(text) + encoder.finish()
+def encoded(text: str, merges: Merges, transitions: Transitions, block: int = BLOCK) -> Iterator[bytes]:
+    """Packed ids of the text, block by block."""
+    encoder = StreamEncoder(merges, transitions, block)
+    yield from encoder.stream(text)
+    yield encoder.finish()
+
+
+def decoded(blocks: Iterator[bytes], merges: Merges) -> Iterator[str]:
+    """Text of packed ids, block by block."""
+    decoder = StreamDecoder(merges)
+    for packed in blocks:
+        yield decoder.feed(memoryview(packed).cast("I"))
+    yield decoder.finish()
+
+
+def encode(text: str, merges: Merges, transitions: Transitions) -> bytes:
+    return b"".join(encoded(text, merges, transitions))
 
 
 def decode(packed: bytes, merges: Merges) -> str:
-    decoder, ids = StreamDecoder(merges), memoryview(packed).cast("I")
-    return "".join(decoder.feed(ids[i : i + CHUNK]) for i in range(0, len(ids), CHUNK)) + decoder.finish()
+    return "".join(decoded((packed[i : i + 4 * BLOCK] for i in range(0, len(packed), 4 * BLOCK)), merges))
+
+
+def digests(text: str, merges: Merges, transitions: Transitions) -> tuple[int, str, str]:
+    """Number of ids, and SHA-256 of the ids and of the text that they decode to: both streams pass block by block, and neither is held."""
+    n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), StreamDecoder(merges)
+    for packed in encoded(text, merges, transitions):
+        n += len(packed) // 4
+        ids_hash.update(packed)
+        text_hash.update(decoder.feed(memoryview(packed).cast("I")).encode())
+    text_hash.update(decoder.finish().encode())
+    return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
@@ -322,9 +354,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Data
     schema = docs.drop("ids").withColumn("ids", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, memo = load(vocabulary)
+        merges, transitions = load(vocabulary)
         for b in batches:
-            ids = [list(memoryview(encode(t or "", merges, memo)).cast("I")) for t in b.column(text_col).to_pylist()]
+            ids = [list(memoryview(encode(t.as_py() or "", merges, transitions)).cast("I")) for t in b.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(ids, pa.list_(pa.int32()))], schema.names)
 
     return docs.drop("ids").mapInArrow(run, schema)
@@ -338,9 +370,9 @@ def bpe_decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids") -> Data
         merges, _ = load(vocabulary)
         for b in batches:
             texts = []
-            for ids in b.column(ids_col).to_pylist():
+            for ids in b.column(ids_col):
                 machine = StreamDecoder(merges)
-                texts.append(machine.feed(ids or []) + machine.finish())
+                texts.append(machine.feed(ids.as_py() or []) + machine.finish())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(texts, pa.string())], schema.names)
 
     return tokens.drop("decoded").mapInArrow(run, schema)
@@ -350,15 +382,11 @@ def round_trip_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document: encoded and decoded in one pass, a document at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, memo = load(vocabulary)
+        merges, transitions = load(vocabulary)
         for b in batches:
-            counts, ids_hash, text_hash = [], [], []
-            for t in b.column(1).to_pylist():
-                packed = encode(t or "", merges, memo)
-                counts.append(len(packed) // 4)
-                ids_hash.append(hashlib.sha256(packed).hexdigest())
-                text_hash.append(hashlib.sha256(decode(packed, merges).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [digests(t.as_py() or "", merges, transitions) for t in b.column(1)]
+            n, ids_hash, text_hash = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
