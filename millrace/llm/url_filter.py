@@ -3,7 +3,8 @@
 DataFrame expressions and Spark ML's DataFrame-based LogisticRegression only; no Python runs on rows.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, matches no rule and is scored on no
-n-grams (the intercept decides). Repeated rows are judged alike; extra columns stay. An empty table gives an empty result.
+n-grams (the intercept decides). Repeated rows are judged alike, very long urls whole; extra columns stay, but columns of
+the operator's own names (host, path, rule, verdict, block_probability) are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +68,13 @@ def ngrams(host: Column, path: Column, n: int, buckets: int) -> Column:
 
 
 def train(spark: SparkSession, n: int, buckets: int, blocked: list[str], allowed: list[str]) -> tuple[list[float], float]:
-    """Weights per bucket and intercept; the labelled table is small and fixed, the weights are `buckets` doubles."""
+    """Weights per bucket and intercept; the labelled table is small and fixed, the weights are `buckets` doubles. Each distinct n-gram counts once, as a sparse vector."""
     rows = [(u, 1.0) for u in blocked] + [(u, 0.0) for u in allowed]
     data = spark.createDataFrame(rows, "url string, label double").coalesce(1)
-    grams = ngrams(host_of(F.col("url")), path_of(F.col("url")), n, buckets)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.array_contains(grams, b.cast("int")).cast("double"))
-    model = LogisticRegression(maxIter=50, regParam=0.01, standardization=False).fit(data.select("label", array_to_vector(counts).alias("features")))
+    grams = F.transform(ngrams(host_of(F.col("url")), path_of(F.col("url")), n, buckets), lambda b: b.cast("string"))
+    vectors = CountVectorizerModel.from_vocabulary([str(b) for b in range(buckets)], inputCol="grams", outputCol="features").setBinary(True)
+    # fit() caches what it is given, so the n-grams are made once
+    model = LogisticRegression(maxIter=50, regParam=0.01, standardization=False).fit(vectors.transform(data.select("label", grams.alias("grams"))).select("label", "features"))
     return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
 
 
