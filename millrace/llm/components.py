@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import lookup, materialize
+from millrace.llm.common import lookup, materialize, release
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -34,7 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     before = _fingerprint(edges)
     while before[0]:
-        edges = _star(_star(edges, before[0], True), before[0], False)
+        large = _star(edges, before[0], True)
+        small = _star(large, before[0], False)
+        release(edges, large)
+        edges = small
         after = _fingerprint(edges)
         if after == before:
             break

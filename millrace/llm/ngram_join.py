@@ -4,7 +4,8 @@ A document's set holds its distinct word n-grams as 64-bit hashes. Equal sets fo
 doc_id stands for it. Small sets (light) enumerate, for each size of partner, their subsets of the least overlap that
 the threshold asks for: two sets link exactly if they share one. Large sets (heavy) post their rarest n-grams to
 inverted lists, as many as make two linked sets meet in a list, and the lists are scanned. The boundary is the size at
-which enumeration plus scanning costs least, from the sizes of all sets. Every candidate is checked on the whole texts.
+which enumeration plus scanning costs least, from the sizes of all sets. Every candidate is checked on all n-grams of the
+whole texts, as 64-bit hashes.
 
 No list is expanded into all its pairs. Each is held against its pivot, the member that meets most others. Jaccard
 distance is a metric, so a member that links with the pivot and one that doesn't can link only if their distances to the
@@ -16,8 +17,8 @@ other places a pair is left to that list.
 The result has one row a document with its class (component_id, the smallest doc_id reachable by links) and n_shingles.
 Defined cases: null, empty and blank texts have an empty set and link with nothing. A null doc_id links with nothing
 and has a null component_id. Rows that repeat a doc_id with other texts are each a member, and classes with the same
-smallest doc_id count as linked. Extra columns aren't carried by `classes`, and stay in `deduplicate`. An empty table
-gives an empty result.
+smallest doc_id count as linked. Extra columns aren't carried by `classes`, and stay in `deduplicate`, whatever their
+names. Very long texts are taken whole; memory grows with one text's n-grams. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bloom
-from millrace.llm.common import lookup, materialize, table
+from millrace.llm.common import ROW, enclosed, lookup, materialize, release, released, small_batches, table
 from millrace.llm.components import components
 
 SKETCH_MAX, SKETCH_BLOCK = 1 << 26, 1 << 14  # counters of the n-gram frequency sketch at most, and counters a block
 SMALL = 64  # sizes for which enumeration is considered
 SETS = "doc_id long, n int, key binary, tokens array<long>, subsets array<long>"
+SHARE = 2048  # rows of a list that one task pairs with the rest of it
 CHECK = 20  # cost of checking a candidate, which reads two texts, in postings
 
 
@@ -114,17 +116,19 @@ class Rule:
 
 def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], int]:
     """Frequency class of each counter (a logarithm of its count) over all n-grams of all documents, the number of sets
-    by size up to SMALL, and the n-grams of larger ones. A counter never is below the frequency of an n-gram it counts, so
-    n-grams with low counters stand in short lists. 64 counters a document, a byte each, SKETCH_MAX at most."""
+    by size up to SMALL, and the n-grams of larger ones. A counter is not below the frequency of an n-gram it counts, so
+    n-grams with low counters stand in short lists; in each task it ends at 255, which lists can only be the longer for.
+    64 counters a document, a byte each in tasks and in what is broadcast, SKETCH_MAX at most."""
     blocks = min(SKETCH_MAX // SKETCH_BLOCK, max(4, -(-64 * docs.count() // SKETCH_BLOCK)))
     cells = np.uint64(blocks * SKETCH_BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, sizes = np.zeros(blocks * SKETCH_BLOCK, np.uint32), np.zeros(SMALL + 2, np.int64)
+        counts, sizes = np.zeros(blocks * SKETCH_BLOCK, np.uint8), np.zeros(SMALL + 2, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingles(t, n)
-                counts[(s % cells).astype(np.int64)] += 1  # n-grams of a text that share a counter count once
+            for t in b.column(0):
+                s = shingles(t.as_py(), n)
+                at = (s % cells).astype(np.int64)
+                counts[at] = np.minimum(counts[at], 254) + 1  # n-grams of a text that share a counter count once
                 sizes[min(len(s), SMALL + 1)] += 1 if len(s) <= SMALL else len(s)
         zstd = zstandard.ZstdCompressor()
         rows = [zstd.compress(counts[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK]) for k in range(blocks)] + [zstd.compress(sizes)]
@@ -137,7 +141,7 @@ def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], int]:
         out = lambda: pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([(total if current == blocks else level(total)).tobytes()], pa.binary())], ["block", "counts"])
         for b in batches:
             for block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                part = np.frombuffer(zstd.decompress(data), np.int64 if block == blocks else np.uint32).astype(np.int64)
+                part = np.frombuffer(zstd.decompress(data), np.int64 if block == blocks else np.uint8).astype(np.int64)
                 if block != current:
                     if current is not None:
                         yield out()
@@ -148,7 +152,8 @@ def _sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int], int]:
             yield out()
 
     schema = "block int, counts binary"
-    merged = docs.select("text").mapInArrow(count, schema).repartition("block").sortWithinPartitions("block").mapInArrow(merge, schema).collect()
+    with small_batches(docs.sparkSession):
+        merged = docs.select("text").mapInArrow(count, schema).repartition("block").sortWithinPartitions("block").mapInArrow(merge, schema).collect()
     found = {r[0]: r[1] for r in merged}  # SKETCH_MAX bytes at most
     rank = np.concatenate([np.frombuffer(found[k], np.uint8) if k in found else np.zeros(SKETCH_BLOCK, np.uint8) for k in range(blocks)])
     sizes = np.frombuffer(found[blocks], np.int64) if blocks in found else np.zeros(SMALL + 2, np.int64)
@@ -168,8 +173,8 @@ def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 rows = []
-                for i, t in zip(b.column(0).slice(lo, 500).to_pylist(), b.column(1).slice(lo, 500).to_pylist(), strict=True):
-                    s = shingles(t, n)
+                for i, t in zip(b.column(0).slice(lo, 500).to_pylist(), b.column(1).slice(lo, 500), strict=True):
+                    s = shingles(t.as_py(), n)
                     tokens: list[int] = []
                     if len(s) >= heavy:
                         order = np.lexsort((s, ranks.value[(s % cells).astype(np.int64)]))
@@ -178,11 +183,14 @@ def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
                 types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n", "key", "tokens", "subsets"])
 
-    return materialize(docs.mapInArrow(run, SETS), "sets")
+    with small_batches(spark):
+        return materialize(docs.mapInArrow(run, SETS), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
-    """The pairs (u, v) with their distance and whether they link, by their whole texts. Only texts that a Bloom filter of the pairs' ids lets through shuffle."""
+    """The pairs (u, v) with their distance and whether they link, by the n-grams of their whole texts.
+
+    Only texts that a Bloom filter of the pairs' ids lets through are read for it; their sets meet as arrays in the JVM."""
     spark = docs.sparkSession
     pairs = materialize(pairs.distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
@@ -192,26 +200,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFram
     def maybe(s: pd.Series) -> pd.Series:
         return pd.Series(involved.value.maybe(s.to_numpy()))
 
-    @F.pandas_udf("struct<d:double,linked:boolean>")
-    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        last, kept = None, None
-        for xs, ys in batches:
-            rows = []
-            for x, y in zip(xs, ys, strict=True):
-                if x is not last:
-                    if x != last:
-                        kept = shingles(x, n)
-                    last = x
-                other = shingles(y, n)
-                common = len(np.intersect1d(kept, other, assume_unique=True))
-                union = len(kept) + len(other) - common
-                rows.append((1 - common / max(1, union), common > 0 and 100 * common >= rule.percent * union))
-            yield pd.DataFrame(rows, columns=["d", "linked"])
-
-    texts = materialize(docs.where(F.col("doc_id").isNotNull()).where(maybe(F.xxhash64("doc_id"))), "texts")
-    met = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
-    met = met.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u")
-    return materialize(met.select("u", "v", compared("x", "y").alias("c")).groupBy("u", "v").agg(F.min("c.d").alias("d"), F.max("c.linked").alias("linked")), "verified")
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                found = [shingles(t.as_py(), n).view(np.int64) for t in b.column(1).slice(lo, 100)]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 100), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["id", "grams"])
+
+    with small_batches(spark):
+        texts = docs.where(F.col("doc_id").isNotNull()).where(maybe(F.xxhash64("doc_id")))
+        sets = materialize(texts.mapInArrow(grams, "id long, grams array<long>"), "grams")
+    met = pairs.join(sets.select(F.col("id").alias("v"), F.col("grams").alias("y")), "v")
+    met = met.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("x")), "u")
+    met = met.select("u", "v", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
+    union = F.col("sizes") - F.col("common")
+    met = met.select("u", "v", (1 - F.col("common") / F.greatest(union, F.lit(1))).alias("d"), ((F.col("common") > 0) & (100 * F.col("common") >= rule.percent * union)).alias("linked"))
+    out = materialize(met.groupBy("u", "v").agg(F.min("d").alias("d"), F.max("linked").alias("linked")), "verified")
+    release(pairs, sets)
+    involved.destroy()
+    return out
 
 
 def _stars(rows: DataFrame, key: str, order: list) -> DataFrame:
@@ -231,6 +238,13 @@ def _meets(rule: Rule):
     return _fits(rule, "n", "pn") & (F.col("pos") <= F.col("n") - overlap) & (F.col("ppos") <= F.col("pn") - overlap)
 
 
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on token of rows with `members`, the rows a token has in all. The lists of one with many are dealt to several tasks: each row of the left to one, those of the right to all."""
+    parts = F.ceil(F.col("members") / SHARE).cast("int")
+    left = left.withColumn("share", F.pmod(F.xxhash64("u"), parts).cast("int")).drop("members")
+    return left.join(right.withColumn("share", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members"), ["token", "share"])
+
+
 def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     """Stars (u, v) of the components of the classes. sets: one row a class."""
     spark = docs.sparkSession
@@ -250,7 +264,9 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     lists = materialize(lookup(posted, "token", materialize(shared, "lists"), max(1, posted.count())).where("members is not null"), "shared")
     # A pivot that meets many others is likely the original of its copies: members of its lists, all told.
     degree = materialize(lists.groupBy("id").agg(F.sum("members").alias("degree")), "degrees")
-    lists = materialize(lists.join(degree, "id").select("token", "id", "n", "pos", "degree"), "ranked")
+    ranked = materialize(lists.join(degree, "id").select("token", "id", "n", "pos", "degree"), "ranked")
+    release(posted, lists, degree)
+    lists = ranked
 
     order, most = [(-F.col("degree")).alias("d")], 1 - rule.percent / 100 + 1e-9
     links = None
@@ -259,29 +275,32 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
         pairs = stars.where(_fits(rule, "n", "pn")).select("u", F.col("id").alias("v"))
         seen = _verified(pairs if links is not None else pairs.unionByName(light_stars), docs, rule, n)
         linked = seen.where("linked").select("u", "v")
-        links = linked if links is None else materialize(links.unionByName(linked), "links")
+        links = materialize(linked if links is None else links.unionByName(linked), "links")
         # Lists of three or more go on. A pair too unlike in size was not compared: its distance is at least that of the sizes.
         rows = stars.where("members > 2").join(seen.select("u", F.col("v").alias("id"), "d", "linked"), ["u", "id"], "left")
         apart = 1 - F.least("n", "pn") / F.greatest("n", "pn")
-        rows = materialize(rows.select("token", "id", "n", "pos", "degree", "u", F.coalesce("d", apart).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked")), "compared")
+        rows = materialize(rows.select("token", "members", "id", "n", "pos", "degree", "u", F.coalesce("d", apart).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked")), "compared")
         border = rows.where(~F.col("linked") & (F.col("d") <= 2 * most))
         labels = components(links) if border.limit(1).count() else None
         close = None
         if labels is not None:
             name = labels.select("u", F.col("v").alias("label"))
             border = border.join(name.withColumnRenamed("u", "id").withColumnRenamed("label", "mine"), "id", "left").join(name, "u", "left")
-            border = materialize(border.where(F.coalesce("mine", "id") != F.coalesce("label", "u")).select("token", F.col("id").alias("x"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("dx")), "border")
-            near = rows.where("linked").select("token", "id", "n", "pos", "d")
-            close = border.join(near, "token").where((F.col("d") >= F.col("dx") - most) & _meets(rule)).select(F.col("x").alias("u"), F.col("id").alias("v"))
+            border = materialize(border.where(F.coalesce("mine", "id") != F.coalesce("label", "u")).select("token", "members", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("dx")), "border")
+            near = rows.where("linked").select("token", "members", F.col("id").alias("v"), "n", "pos", "d")
+            close = _met(border, near).where((F.col("d") >= F.col("dx") - most) & _meets(rule)).select("u", "v")
         far = rows.where("not linked")
         left = materialize(far.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "left")
         postings, few = left.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum(F.col("members") * (F.col("members") - 1) / 2), F.lit(0.0))).first()
-        lists = materialize(lookup(far.select("token", "id", "n", "pos", "degree"), "token", left, max(1, rows.count())).where("members is not null").drop("members"), "far")
+        lists = materialize(lookup(far.select("token", "id", "n", "pos", "degree"), "token", left, max(1, rows.count())).where("members is not null"), "far")
+        release(stars, seen, left)
         if few <= max(4 * postings, total):
             break
         if close is not None:
             links = materialize(links.unionByName(_verified(close, docs, rule, n).where("linked").select("u", "v")), "links")
-    rest = lists.select("token", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos")).join(lists.select("token", F.col("id").alias("v"), "n", "pos"), "token").where("u < v").where(_meets(rule)).select("u", "v")
+        lists = lists.drop("members")
+    rest = _met(lists.select("token", "members", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos")), lists.select("token", "members", F.col("id").alias("v"), "n", "pos"))
+    rest = rest.where("u < v").where(_meets(rule)).select("u", "v")
     last = _verified(rest if close is None else rest.unionByName(close), docs, rule, n)
     return components(links.unionByName(last.where("linked").select("u", "v")))
 
@@ -313,9 +332,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def maybe(s: pd.Series) -> pd.Series:
         return pd.Series(named.value.maybe(s.to_numpy()))
 
-    marked = docs.withColumn("__maybe", maybe(F.xxhash64(F.col(id_col).cast("long"))) & F.col(id_col).isNotNull())
-    kept = marked.where("__maybe").join(gone.select(F.col("doc_id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
-    return marked.where("not __maybe").unionByName(kept).select(*docs.columns)
+    rows = enclosed(docs).withColumn("id", F.col(ROW)[id_col].cast("long"))
+    rows = rows.withColumn("maybe", maybe(F.xxhash64("id")) & F.col("id").isNotNull())
+    kept = rows.where("maybe").join(gone.select(F.col("doc_id").alias("gone")), F.col("id") == F.col("gone"), "left_anti")
+    return released(rows.where("not maybe").unionByName(kept))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
