@@ -6,8 +6,9 @@ against a smaller one of another bin. Every step increases the sum of squared fi
 the lower bound or no bin has a step left. The emptiest bin of each group then meets those of other groups in a second
 round.
 
-Defined cases: a null text is empty and gives the end id alone. Rows that repeat a doc_id are packed each. Extra
-columns of docs aren't carried; an empty table gives an empty result. Ties go by doc_id, then piece.
+Defined cases: a null text is empty and gives the end id alone. A null doc_id is packed like any other and stays null.
+Rows that repeat a doc_id, or all of another row, are packed each. Very long texts are cut into pieces of the capacity.
+Extra columns of docs aren't carried; an empty table gives an empty result. Ties go by doc_id, then piece.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def pack(lengths: np.ndarray, capacity: int, steps: int | None = None) -> np.nda
 
 
 def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int | None = None) -> DataFrame:
-    """pieces with sequence_id and offset. n_docs sets the number of groups."""
+    """pieces (a table that is written, as the row's place in it helps to deal it) with sequence_id and offset. n_docs sets the number of groups."""
     groups = max(1, -(-n_docs // GROUP))
 
     def run(level: int):
@@ -223,7 +224,8 @@ def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int
         return packed
 
     schema = PIECES + ", grp long, sequence_id long, offset long, loose boolean"
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # With the row's place rows that are the same in all columns spread over the groups, too.
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     first = grouped.groupBy("grp").applyInPandas(run(0), schema)
     if groups == 1:
         return first.drop("grp", "loose")
@@ -233,17 +235,16 @@ def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int
     return first.where("not loose").unionByName(second).drop("grp", "loose")
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", memo: int = 800_000) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each document's ids: doc_id, piece, start, length, ids_crc32 and ids (packed)."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenize.load(tokenizer, memo)
+        encoder = tokenize.load(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
+            for encoded in encoder.encoded(b.column(0), b.column(1)):
                 rows: list[tuple] = []
-                texts = [t or "" for t in b.column(1).slice(lo, 256).to_pylist()]
-                for i, packed in zip(b.column(0).slice(lo, 256).to_pylist(), encoder.encode(texts), strict=True):
+                for i, packed in encoded:
                     packed += end
                     for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                         ids = packed[at : at + 4 * capacity]
@@ -254,9 +255,9 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + ", ids binary")
 
 
-def plan(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, memo: int = 800_000) -> DataFrame:
+def plan(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """The packing of docs: a row a piece, with its place and the checksum of its ids."""
-    pieces = materialize(cut(docs, tokenizer, end_id, capacity, memo=memo).drop("ids"), "pieces")
+    pieces = materialize(cut(docs, tokenizer, end_id, capacity).drop("ids"), "pieces")
     return pack_pieces(pieces, docs.count(), capacity)
 
 

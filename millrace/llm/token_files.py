@@ -10,11 +10,13 @@ manifest names the files of tasks that ended well.
 
 Defined cases: a null text is empty and gives the end id alone. Null doc_ids come first. Rows that repeat a doc_id stand
 side by side in the order of a hash of the text, then of the text; `read` returns each. Extra columns aren't written.
-An empty table gives no files, an empty manifest and an empty result.
+Very long texts are one frame each, held whole by writer and reader. An empty table gives no files, an empty manifest
+and an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -36,6 +38,7 @@ from millrace.llm.common import materialize, shared_dir, table
 # Fixed values of the seekable format, and the skippable magic used for the id list.
 SEEK_MAGIC, SEEK_FOOTER, IDS_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50, 0x80
 NULL_ID = -(1 << 63)
+BATCH = 1 << 23  # bytes of ids that `read` hands on at once, or one document
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long, first_id long, last_id long"
 
 
@@ -111,10 +114,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str
         part, out, first, last, n = TaskContext.get().partitionId(), None, None, None, 0
         encoder = tokenize.load(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                ids = b.column(0).slice(lo, 256).to_pylist()
-                texts = [t or "" for t in b.column(1).slice(lo, 256).to_pylist()]
-                for i, packed in zip(ids, encoder.encode(texts), strict=True):
+            for rows in encoder.encoded(b.column(0), b.column(1)):
+                for i, packed in rows:
                     if out is None:
                         out, first = Writer(f"{folder}/part-{part:06d}.tok.zst", level), i
                     out.add(i, packed + end)
@@ -128,9 +129,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str
 
 
 def _each(manifest: DataFrame) -> DataFrame:
-    """The manifest with `base`, the ids in files before, dealt out a file a row."""
+    """The manifest with `base`, the ids in files before, dealt out a file a task. The number is given: Spark would make one task of so small a table."""
     base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return materialize(manifest.withColumn("base", base), "bases").repartition("part")
+    bases = materialize(manifest.withColumn("base", base), "bases")
+    return bases.repartition(max(1, bases.count()))
 
 
 def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
@@ -142,8 +144,9 @@ def read(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
                 file = Reader(row["path"])
                 starts = row["base"] + np.concatenate([[0], np.cumsum(file.table[:-1, 1] // 4, dtype=np.int64)])
                 wanted = range(len(file.ids)) if doc_ids is None else [k for i in doc_ids for k in file.find(i)]
-                for lo in range(0, len(wanted), 1000):
-                    ks = wanted[lo : lo + 1000]
+                ends = np.cumsum([int(file.table[k, 1]) for k in wanted]) // BATCH  # a batch of BATCH bytes, or of one document
+                for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(wanted)]) if len(wanted) else ():
+                    ks = wanted[lo:hi]
                     ids = [None if file.ids[k] == NULL_ID else int(file.ids[k]) for k in ks]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([int(starts[k]) for k in ks], pa.int64()), pa.array([file.frame(k) for k in ks], pa.binary())], ["doc_id", "start", "ids"])
 

@@ -1,104 +1,52 @@
-"""Ids from the tokenizers library, with a bounded memo of the pieces that its splitter makes.
-
-Where a text holds only characters up to U+00FF and no special token, its pieces are known: they come from one regular
-expression, and each new piece is encoded by the library once. Any other text goes to the library whole. Either way the
-ids are those of `encode(text, add_special_tokens=False)`.
-"""
+"""Ids from the tokenizers library: every whole text goes to it, in batches bounded by rows and by characters."""
 
 from __future__ import annotations
 
-import json
-import re
+import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-from millrace.llm import bpe
-
-LETTERS = bpe.LETTERS
-#: What word_bpe's splitter finds in lower-cased text: contractions, letters, single numbers, other signs.
-WORD_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{bpe.NUMBERS}]|[^{bpe.WHITE}{LETTERS}{bpe.NUMBERS}]+")
+ROWS, CHARACTERS = 256, 1 << 20  # a batch ends with the text that reaches either
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids, as `encode(text, add_special_tokens=False)` has them, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, limit: int):
-        """limit: pieces in the memo, about 200 bytes each; it is emptied when full."""
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.words = spec["normalizer"] is not None
-        special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
-        self.whole = re.compile("[^\x00-\xff]" + (f"|{special}" if special else ""))
-        self.memo: dict[str, bytes] = {}
-        self.limit = limit
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin, or with word ends that end, a piece
-        for token, i in vocabulary.items():
-            self.marks[i] = token.endswith("</w>") if self.words else token.startswith("Ġ")
 
-    def pack(self, texts: list[str]) -> list[bytes]:
-        """Straight through the library."""
+    def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Packed ids of pieces that the memo lacks.
-
-        Pieces that a space keeps apart go to the library as one text; the token that starts with a space, or that ends
-        a word, tells where each begins or ends. The rest goes as words that are split already."""
-        if self.words:
-            return self._joined(new, " ", 1)
-        apart = [p for p in new if p[0] == " " and p[1:2].strip()]
-        return self._joined(apart, "", 0) | self._presplit([p for p in new if not (p[0] == " " and p[1:2].strip())])
+    def encoded(self, ids: pa.Array, texts: pa.Array) -> Iterator[list[tuple[int | None, bytes]]]:
+        """Batches of (id, packed ids) of an Arrow batch; a null text is empty."""
+        held: list[tuple[int | None, str]] = []
+        size = 0
+        for i, t in zip(ids, texts, strict=True):
+            held.append((i.as_py(), t.as_py() or ""))
+            size += len(held[-1][1])
+            if len(held) >= ROWS or size >= CHARACTERS:
+                yield self._batch(held)
+                held, size = [], 0
+        if held:
+            yield self._batch(held)
 
-    def _joined(self, new: list[str], glue: str, ends: int) -> dict[str, bytes]:
-        if not new:
-            return {}
-        ids = np.array(self.library.encode_batch_fast([glue.join(new)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.marks[ids]) + ends
-        bounds = [0, *cuts.tolist()] if ends else [*cuts.tolist(), len(ids)]
-        if len(bounds) != len(new) + 1 or bounds[0] != 0 or bounds[-1] != len(ids):
-            return self._presplit(new)
-        packed = ids.tobytes()
-        return {p: packed[4 * i : 4 * j] for p, i, j in zip(new, bounds, bounds[1:])}
-
-    def _presplit(self, new: list[str]) -> dict[str, bytes]:
-        if not new:
-            return {}
-        found = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        bounds = np.searchsorted(words, np.arange(len(new) + 1)).tolist()
-        packed = ids.tobytes()
-        return {p: packed[4 * i : 4 * j] for p, i, j in zip(new, bounds, bounds[1:])}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        split = [None if self.whole.search(t) else WORD_SPLIT.findall(t.lower()) if self.words else bpe.SPLIT.findall(t) for t in texts]
-        new = list(set().union(*(f for f in split if f)).difference(self.memo))
-        if new:
-            self.memo.update(self.learn(new))
-        get = self.memo.__getitem__
-        out = [self.pack([t])[0] if f is None else b"".join(map(get, f)) for t, f in zip(texts, split, strict=True)]
-        for piece in new:
-            if len(piece) > 48:
-                del self.memo[piece]
-        return out
+    def _batch(self, held: list[tuple[int | None, str]]) -> list[tuple[int | None, bytes]]:
+        return list(zip((i for i, _ in held), self.encode([t for _, t in held]), strict=True))
 
 
 _LOADED: dict[str, Encoder] = {}
 
 
-def load(path: str, limit: int = 800_000) -> Encoder:
+def load(path: str) -> Encoder:
     """The encoder for a tokenizer file, once a Python worker."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path, limit)
-    _LOADED[path].limit = limit
+        _LOADED[path] = Encoder(path)
     return _LOADED[path]

@@ -6,9 +6,11 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,37 +37,55 @@ def ids_of(t, text):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=60).map("".join), st.lists(st.integers(1, 40), min_size=1, max_size=5))
 def test_streams_agree_with_the_library(text, cuts):
-    t, (merges, memo) = library(BYTES), bpe.load(BYTES)
+    t, (merges, transitions) = library(BYTES), bpe.load(BYTES)
     want = ids_of(t, text)
-    old, bpe.CHUNK = bpe.CHUNK, 32  # small chunks, so that runs stay open
-    try:
-        encoder, at, k, out = bpe.StreamEncoder(merges, memo), 0, 0, b""
-        while at < len(text):
-            out += encoder.feed(text[at : at + cuts[k % len(cuts)]])
-            at, k = at + cuts[k % len(cuts)], k + 1
-        out += encoder.finish()
-    finally:
-        bpe.CHUNK = old
+    encoder, at, k, out = bpe.StreamEncoder(merges, transitions, 32), 0, 0, b""  # small blocks leave pieces open
+    while at < len(text):
+        out += encoder.feed(text[at : at + cuts[k % len(cuts)]])
+        at, k = at + cuts[k % len(cuts)], k + 1
+    out += encoder.finish()
     assert list(memoryview(out).cast("I")) == want
     assert bpe.decode(out, merges) == t.decode(want, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, " " * 3000 + "x", "\n" * 999 + " y", "ab" * 3000, "1" * 4000, "=-" * 3000, "漢" * 4000])
 def test_endless_runs_hold_bounded_memory(text):
-    merges, memo = bpe.load(BYTES)
-    old, bpe.CHUNK = bpe.CHUNK, 64
-    try:
-        encoder, out = bpe.StreamEncoder(merges, memo), b""
-        for i in range(0, len(text), 50):
-            out += encoder.feed(text[i : i + 50])
-            held = len(encoder.held) + len(encoder.raw) + (len(encoder.run[1].pending) if encoder.run else 0)
-            assert held <= 300 + encoder_room(merges)
-        out += encoder.finish()
-    finally:
-        bpe.CHUNK = old
+    merges, transitions = bpe.load(BYTES)
+    encoder, out = bpe.StreamEncoder(merges, transitions, 64), b""
+    for i in range(0, len(text), 50):
+        out += encoder.feed(text[i : i + 50])
+        held = len(encoder.held) + len(encoder.raw) + (len(encoder.run[1].pending) if encoder.run else 0)
+        assert held <= 100 + encoder_room(merges)
+    out += encoder.finish()
     assert list(memoryview(out).cast("I")) == ids_of(library(BYTES), text)
 
 
+def test_all_ids_come_from_the_transducer(monkeypatch):
+    """On the query's path: what the transducers emit for new pieces and open ones, and nothing else, makes the ids."""
+    merges, made = bpe.load(BYTES)[0], []
+    feed, finish = bpe.MergeTransducer.feed, bpe.MergeTransducer.finish
+    monkeypatch.setattr(bpe.MergeTransducer, "feed", lambda self, data: made.append(data) or feed(self, data))
+    monkeypatch.setattr(bpe.MergeTransducer, "finish", lambda self: finish(self))
+    text = "one two three four " * 3000 + "x" * 40_000
+    n, ids_hash, _ = bpe.digests(text, merges, bpe.Transitions(merges))
+    ids = ids_of(library(BYTES), text)
+    assert n == len(ids) and ids_hash == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert {b"one", b" two", b" four"} <= set(made) and sum(len(m) for m in made if m.strip(b"x") == b"") >= 40_000 - bpe.BLOCK
+
+
+def test_a_text_of_50_mb_takes_constant_memory():
+    import tracemalloc
+
+    merges, transitions = bpe.load(BYTES)
+    part = "some words to and fro, 12 of them; " * 1500
+    text = part * (50_000_000 // len(part))
+    tracemalloc.start()
+    n = bpe.digests(text, merges, transitions)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 10_000_000 and peak < 8_000_000
+
+
 def encoder_room(merges):
     return 4 * merges.lookahead + 1024
 
@@ -95,10 +115,14 @@ def test_decoder_replaces_broken_characters():
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
-def test_memo_agrees_with_the_library(path):
-    e, rng = tokenize.load(path), random.Random(2)
-    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(60))) for _ in range(1500)] + [chr(a) + chr(b) for a in range(256) for b in range(0, 256, 15)]
-    assert e.encode(texts) == e.pack(texts)
+def test_batches_keep_order_and_bound(path, monkeypatch):
+    monkeypatch.setattr(tokenize, "CHARACTERS", 500)
+    rng, t = random.Random(2), library(path)
+    texts = [None, *("".join(rng.choice(PARTS) for _ in range(rng.randrange(60))) for _ in range(900))]
+    batches = list(tokenize.Encoder(path).encoded(pa.array(range(len(texts))), pa.array(texts)))
+    assert [i for b in batches for i, _ in b] == list(range(len(texts)))
+    assert [list(memoryview(p).cast("I")) for b in batches for _, p in b] == [ids_of(t, x) for x in texts]
+    assert all(sum(len(texts[i] or "") for i, _ in b[:-1]) < 500 and len(b) <= tokenize.ROWS for b in batches)
 
 
 def test_round_trip_digest(spark):
@@ -132,6 +156,14 @@ def test_token_files(spark, tmp_path):
     assert sorted(r.doc_id for r in some) == [7, 7, 9]
 
 
+def test_files_are_read_back_a_task_each(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    manifest = token_files.write(docs.repartition(4), BYTES, 0, f"file://{tmp_path}/tokens")
+    n, dealt = manifest.count(), token_files._each(manifest)
+    assert dealt.rdd.getNumPartitions() == n and max(map(len, dealt.rdd.glom().collect())) == 1
+    assert token_files.digest(manifest).count() == 4000
+
+
 def test_a_reader_decompresses_only_what_is_asked(spark, tmp_path):
     url = f"file://{tmp_path}/x.tok.zst"
     writer = token_files.Writer(url)
@@ -211,6 +243,15 @@ def test_groups_meet_in_a_second_round(spark, monkeypatch):
     assert check_packing(out, 400) <= 1.05 * sum(r[3] for r in rows) / 400  # small groups waste some
 
 
+def test_rows_that_are_all_the_same_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 100)
+    df = spark.createDataFrame([(None, 0, 0, 150, 7)] * 2000, packing.PIECES).repartition(4)
+    out = packing.pack_pieces(df, 2000, 400).collect()
+    groups = Counter(r.sequence_id >> 32 for r in out if r.sequence_id >> 62 == 0)
+    assert len(groups) == 20 and max(groups.values()) < 300
+    check_packing(out, 400)
+
+
 def brute_bins(lengths, capacity):
     """Least number of bins by trying all ways."""
     best = len(lengths)
