@@ -1,13 +1,14 @@
 """Quality rules: log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
-The n-grams are runs of `n` word endings (the last `tail` characters of each word), hashed into `buckets`. Both
-multinomials are counted over whole texts: the corpus over all documents, the target over the documents whose ids are
-given (a bounded sample of the labelled ones). A document's score is the mean log ratio of its n-grams; it is kept at
-or above a fixed threshold, and never if a base rule fails. Spark expressions only.
-
-Defined cases: a null text has no words, so the base rule fails; a text with fewer words than n has score 0. Repeated
-rows count as often as they come. Columns with the operator's own names are replaced, others stay. An empty table
-gives an empty result; an empty target gives score 0 to all.
+The n-grams are the single words and the pairs of neighbouring words, whole, hashed into `buckets`. Both multinomials are
+counted over whole texts: the corpus over all documents, the target over the documents whose ids are given (a bounded
+sample of the labelled ones). A document's score is the mean log ratio of its n-grams; it is kept at or above a fixed
+threshold, and never if a base rule fails. Spark expressions only.
+
+Defined cases: a null or empty text has no words, so its score is 0 and the base rule fails. A very long text is one row
+of arrays in proportion to its words. Repeated rows count as often as they come. Columns with the names of the result's
+(n_words, ..., kept) are replaced, others stay, whatever their names. An empty table gives an empty result; an empty
+target gives score 0 to all.
 """
 
 from __future__ import annotations
@@ -15,55 +16,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table, word_array
+from millrace.llm.common import ROW, enclosed, table, word_array
 
 MAX_TARGET = 16_000  # bound of the trusted sample: labelled rows in the order of a hash
 
 
-def ending_ngrams(df: DataFrame, words: str, n: int, tail: int) -> DataFrame:
-    """df with `__grams`: the hash of each run of n word endings; its bucket are the lowest bits, so buckets is a power of two.
+def hashed_words(df: DataFrame, words: str) -> DataFrame:
+    """df with `w1`, the hash of each word, and `w2`, that of the pair that begins at each; the last pair is cut short.
 
     Each step is a column of its own: an array that one expression names twice would be computed twice."""
-    df = df.withColumn("__ends", F.transform(words, lambda w: F.xxhash64(F.substring(w, -tail, tail))))
-    count = F.greatest(F.size("__ends") - (n - 1), F.lit(0))
-    grams = F.slice("__ends", F.lit(1), count)
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice("__ends", F.lit(k + 1), count), lambda a, b: F.xxhash64(a, b))
-    return df.withColumn("__grams", grams).drop("__ends")
+    df = df.withColumn("w1", F.transform(words, lambda w: F.xxhash64(w)))
+    return df.withColumn("w2", _wider("w1", 1))
 
 
-def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str, n: int, tail: int, buckets: int, alpha: float) -> DataFrame:
+def _wider(name: str, k: int) -> Column:
+    """Hashes of runs of 2k words from those of k. zip_with fills up with nulls, so the last runs are cut short."""
+    h = F.col(name)
+    return F.zip_with(h, F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+
+def _grams() -> Column:
+    """The hashes of the n-grams; a bucket are the lowest bits, so the number of buckets is a power of two."""
+    return F.concat("w1", F.slice("w2", F.lit(1), F.greatest(F.size("w1") - 1, F.lit(0))))
+
+
+def _bucket(gram: Column, buckets: int) -> Column:
+    return gram.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+
+
+def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str, buckets: int, alpha: float) -> DataFrame:
     """One row, `weights`: the log ratio of each bucket. target_ids: at most MAX_TARGET rows, so it is broadcast.
 
     Each bucket gets alpha target n-grams more, and as many corpus n-grams more as keep their ratio at one."""
-    marked = docs.join(F.broadcast(target_ids.limit(MAX_TARGET).select(F.col("doc_id").alias("__target")).distinct()), F.col(id_col) == F.col("__target"), "left")
-    marked = marked.select(F.col("__target").isNotNull().cast("long").alias("t"), word_array(F.col(text_col)).alias("__words"))
+    rows = docs.select(F.col(id_col).alias("id"), word_array(F.col(text_col)).alias("words"))
+    marked = rows.join(F.broadcast(target_ids.limit(MAX_TARGET).select(F.col("doc_id").alias("target")).distinct()), F.col("id") == F.col("target"), "left")
+    marked = hashed_words(marked.select(F.col("target").isNotNull().cast("long").alias("t"), "words"), "words")
     # The buckets are taken inside explode: for a bare column Spark infers a filter on its size, which computes all of it again.
-    bucket = F.transform("__grams", lambda g: g.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int"))
-    grams = ending_ngrams(marked, "__words", n, tail).select("t", F.explode(bucket).alias("bucket"))
+    grams = marked.select("t", F.explode(F.transform(_grams(), lambda g: _bucket(g, buckets))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("c"))
-    row = counts.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("t", "c")))).alias("m"), F.sum("t").alias("nt"), F.sum("c").alias("nc"))
+    all_ = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["t", "c"])
+    row = all_.agg(F.array_sort(F.collect_list(F.struct("bucket", "t", "c"))).alias("m"), F.sum("t").alias("nt"), F.sum("c").alias("nc"))
     share = F.greatest(F.col("nt"), F.lit(1)) / F.greatest(F.col("nc"), F.lit(1))
-    ratio = lambda b: F.coalesce(F.log((F.col("m")[b]["t"] + alpha) / (F.col("m")[b]["c"] * F.col("share") + alpha)), F.lit(0.0))
-    return row.withColumn("share", share).select(F.when(F.col("nt") > 0, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), ratio)).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
+    ratio = lambda x: F.log((x["t"] + alpha) / (x["c"] * F.col("share") + alpha))
+    return row.withColumn("share", share).select(F.when(F.col("nt") > 0, F.transform("m", ratio)).otherwise(F.array_repeat(F.lit(0.0), buckets)).alias("weights"))
 
 
-def window_hashes(df: DataFrame, words: str, window: int = 8) -> DataFrame:
-    """df with `__windows`: the 64-bit hash of the window of `window` words (a power of two) that begins at each word.
+def window_hashes(df: DataFrame, window: int = 8) -> DataFrame:
+    """df with `windows`: the 64-bit hash of the window of `window` words (a power of two, 4 at least) that begins at each word. It has w1 and w2.
 
     Windows double in width. Where no window of half the width repeats, none of the full width does, and the array is empty."""
-    df = df.withColumn("__w1", F.transform(words, lambda w: F.xxhash64(w)))
-    k = 1
-    while k < window:
-        h, n = F.col(f"__w{k}"), F.size(words)
-        # zip_with fills up with nulls: the last windows are cut short, and dropped once at the end
-        wider = F.zip_with(h, F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        if 2 * k == window:
-            whole = F.slice(h, F.lit(1), F.greatest(n - (k - 1), F.lit(0)))
-            wider = F.when(F.size(F.array_distinct(whole)) < F.size(whole), F.slice(wider, F.lit(1), F.greatest(n - (window - 1), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
-        df = df.withColumn(f"__w{2 * k}", wider).drop(f"__w{k}")
-        k *= 2
-    return df.withColumnRenamed(f"__w{window}", "__windows")
+    k, n = 2, F.size("w1")
+    while 2 * k < window:
+        df, k = df.withColumn(f"w{2 * k}", _wider(f"w{k}", k)), 2 * k
+    whole = F.slice(f"w{k}", F.lit(1), F.greatest(n - (k - 1), F.lit(0)))
+    wider = F.slice(_wider(f"w{k}", k), F.lit(1), F.greatest(n - (window - 1), F.lit(0)))
+    return df.withColumn("windows", F.when(F.size(F.array_distinct(whole)) < F.size(whole), wider).otherwise(F.array().cast("array<bigint>")))
 
 
 def covered(windows: Column, window: int = 8) -> Column:
@@ -78,33 +85,33 @@ def covered(windows: Column, window: int = 8) -> Column:
     return F.aggregate(at, start, lambda s, i: F.struct((s["words"] + window - F.greatest(s["end"] - i, F.lit(0))).alias("words"), (i + window).alias("end")), lambda s: s["words"])
 
 
-def base_features(df: DataFrame, text_col: str) -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the arrays __words and __windows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def base_features(df: DataFrame, text: Column) -> DataFrame:
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the arrays words, w1, w2 and windows."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("__words", word_array(text))
-    df = window_hashes(df, "__words")
-    repeats = F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), covered(F.col("__windows"))).otherwise(0)
+    df = window_hashes(hashed_words(df.withColumn("words", word_array(text)), "words"))
+    repeats = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), covered(F.col("windows"))).otherwise(0)
     return df.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.char_length(F.array_join("words", "")).cast("long"),
         "n_symbols": F.when(text.rlike("[#*$%&|<>]"), F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).otherwise(0).cast("long"),
         "n_dup_lines": F.when(text.contains("\n"), F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long"),
         "n_repeat_words": repeats.cast("long"),
     })
 
 
-def judge(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, tail: int = 2, buckets: int = 1 << 14, alpha: float = 4.0, threshold: float = -0.2) -> DataFrame:
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+
+
+def judge(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, alpha: float = 4.0, threshold: float = -0.1) -> DataFrame:
     """docs with the base features, base_failed, score (mean log ratio) and kept."""
-    weights = log_ratios(docs.select(id_col, text_col), target_ids, id_col, text_col, n, tail, buckets, alpha)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "__words", "__windows", "__weights", "__grams"]
-    df = base_features(docs.drop(*names), text_col)
-    df = ending_ngrams(df, "__words", n, tail)
-    df = df.withColumn("__weights", weights.scalar())  # one row of `buckets` doubles
-    total = F.aggregate("__grams", F.lit(0.0), lambda s, b: s + F.get(F.col("__weights"), b.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")))
-    df = df.withColumn("score", F.when(F.size("__words") >= n, total / (F.size("__words") - (n - 1))).otherwise(0.0))
+    weights = log_ratios(docs.select(id_col, text_col), target_ids, id_col, text_col, buckets, alpha)
+    df = base_features(enclosed(docs.drop(*FEATURES)), F.col(ROW)[text_col])
+    df = df.withColumn("weights", weights.scalar())  # one row of `buckets` doubles
+    total = F.aggregate(_grams(), F.lit(0.0), lambda s, g: s + F.get(F.col("weights"), _bucket(g, buckets)))
+    df = df.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0))
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("__words", "__windows", "__weights", "__grams")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select(f"{ROW}.*", *FEATURES)
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
