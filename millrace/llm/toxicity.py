@@ -9,9 +9,11 @@ far more frequent in toxic than in clean labelled texts, and a toxic text has gr
 texts that its number of markers falls in. fit() takes any ordered grades.
 
 Defined cases: a null or empty text has no words and gets the severity of the thresholds alone. Repeated rows are scored
-alike; extra columns stay, columns of the operator's own names are replaced. Without labels of both kinds every severity
-is 0. An empty table gives an empty result. Training reads at most MAX_TOXIC and MAX_CLEAN labelled rows, taken in the
-order of a hash of their ids, and keeps at most MAX_WORDS words.
+alike; of labelled rows that repeat a doc_id one trains, that with the least hash of its text. Very long texts are scored
+whole. Extra columns stay, columns named severity, grade or toxic are replaced. Without labels of both kinds every
+severity is 0. An empty table gives an empty result. Training reads at most MAX_TOXIC and MAX_CLEAN labelled rows, taken
+in the order of a hash of their ids, and keeps at most MAX_WORDS words, the most frequent ones: a bound of the classifier
+that is fitted, as an unbounded sample would bring unbounded words to the driver.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, table
+from millrace.llm.common import ROW, enclosed, materialize, table
 
 MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_DOCS = 3_000, 7_000, 100_000, 3
 WORD = re.compile(r"\w+")
@@ -54,6 +56,27 @@ class OrdinalModel:
 Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]  # row, column and value of each entry
 
 
+def loss(x: Sparse, grades: np.ndarray, each: np.ndarray, w: np.ndarray, first: float, gaps: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Log loss without the penalty, and its gradients in the weights, the first threshold and the logarithms of the gaps. each: weight of each row."""
+    row, col, val = x
+    n, k = len(grades), len(gaps) + 1
+    theta = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
+    margin = np.bincount(row, val * w[col], n)
+    p = 1 / (1 + np.exp(np.clip(theta[None, :] - margin[:, None], -500, 500)))
+    # P(grade = j) = p[j-1] - p[j]; gradient of its log with respect to the margin and each threshold
+    upper = np.hstack([np.ones((n, 1)), p])[np.arange(n), grades]
+    lower = np.hstack([p, np.zeros((n, 1))])[np.arange(n), grades]
+    mass = np.maximum(upper - lower, 1e-12)
+    d_upper, d_lower = upper * (1 - upper), lower * (1 - lower)
+    g_margin = -(d_upper - d_lower) / mass * each
+    g_theta = np.zeros((n, k + 2))
+    g_theta[np.arange(n), grades] += d_upper / mass * each
+    g_theta[np.arange(n), grades + 1] -= d_lower / mass * each
+    g_theta = g_theta[:, 1 : k + 1].sum(axis=0)
+    g_gaps = np.array([g_theta[j + 1 :].sum() for j in range(k - 1)]) * np.exp(gaps)
+    return float(-(np.log(mass) * each).sum()), np.bincount(col, val * g_margin[row], len(w)), float(g_theta.sum()), g_gaps
+
+
 def fit(x: Sparse, grades: np.ndarray, columns: int, l1: float = 3e-5, rounds: int = 300, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by accelerated proximal gradient descent on the cumulative-link log loss; weight: of each row, 1 on average."""
     row, col, val = x
@@ -70,32 +93,29 @@ def fit(x: Sparse, grades: np.ndarray, columns: int, l1: float = 3e-5, rounds: i
     scale = np.bincount(col, val * val * each[row], columns)  # diagonal step sizes: rare words move as fast as frequent ones
     steps = np.minimum(1.0 / np.maximum(0.25 * np.sqrt(scale * norm), 1e-4), 200 * step)
     z, z_first, z_gaps, t = w.copy(), first, gaps.copy(), 1.0
+    best, pace, momentum = (np.inf, z, z_first, z_gaps), 1.0, 0.0
     for _ in range(rounds):
-        theta = np.concatenate([[z_first], z_first + np.cumsum(np.exp(z_gaps))])
-        margin = np.bincount(row, val * z[col], n)
-        p = 1 / (1 + np.exp(np.clip(theta[None, :] - margin[:, None], -500, 500)))
-        # P(grade = j) = p[j-1] - p[j]; gradient of its log with respect to the margin and each threshold
-        upper = np.hstack([np.ones((n, 1)), p])[np.arange(n), grades]
-        lower = np.hstack([p, np.zeros((n, 1))])[np.arange(n), grades]
-        mass = np.maximum(upper - lower, 1e-12)
-        d_upper, d_lower = upper * (1 - upper), lower * (1 - lower)
-        g_margin = -(d_upper - d_lower) / mass * each
-        g_theta = np.zeros((n, k + 2))
-        g_theta[np.arange(n), grades] += d_upper / mass * each
-        g_theta[np.arange(n), grades + 1] -= d_lower / mass * each
-        g_theta = g_theta[:, 1 : k + 1].sum(axis=0)
-        g_w = np.bincount(col, val * g_margin[row], columns)
-        new = z - steps * g_w
-        new = np.sign(new) * np.maximum(np.abs(new) - steps * l1, 0)
-        new_first = z_first - 2.0 * g_theta.sum()
-        new_gaps = z_gaps - 2.0 * np.array([g_theta[j + 1 :].sum() for j in range(k - 1)]) * np.exp(z_gaps)
-        new_gaps = np.clip(new_gaps, -5, 5)
+        value, g_w, g_first, g_gaps = loss(x, grades, each, z, z_first, z_gaps)
+        value += l1 * float(np.abs(z).sum())
+        if value <= best[0]:
+            best = value, z, z_first, z_gaps
+        else:  # go on from the best point: without momentum, or with shorter steps if there was none
+            pace, t = pace if momentum else pace / 2, 1.0
+            _, z, z_first, z_gaps = best
+            w, first, gaps = z, z_first, z_gaps
+            _, g_w, g_first, g_gaps = loss(x, grades, each, z, z_first, z_gaps)
+        new = z - pace * steps * g_w
+        new = np.sign(new) * np.maximum(np.abs(new) - pace * steps * l1, 0)
+        new_first = z_first - 2.0 * pace * g_first
+        new_gaps = np.clip(z_gaps - 2.0 * pace * g_gaps, -5, 5)
         if np.dot(z - new, new - w) > 0:  # restart when the momentum points uphill
             t = 1.0
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        m = (t - 1) / t_new
-        z, z_first, z_gaps = new + m * (new - w), new_first + m * (new_first - first), new_gaps + m * (new_gaps - gaps)
+        momentum = (t - 1) / t_new
+        z, z_first, z_gaps = new + momentum * (new - w), new_first + momentum * (new_first - first), new_gaps + momentum * (new_gaps - gaps)
         w, first, gaps, t = new, new_first, new_gaps, t_new
+    if loss(x, grades, each, w, first, gaps)[0] + l1 * float(np.abs(w).sum()) > best[0]:
+        _, w, first, gaps = best
     return w, np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
 
 
@@ -126,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for s in texts:
             yield s.map(lambda t: dict(Counter(words_of(t))))
 
-    found = materialize(marked.select("doc_id", "toxic", counts("text").alias("counts")), "labelled").dropDuplicates(["doc_id"])
+    # Of rows that repeat a doc_id the one with the least hash of its text trains, whatever their order.
+    text = F.coalesce("text", F.lit(""))
+    counted = materialize(marked.select("doc_id", "toxic", F.sha2(text, 256).alias("sha"), counts(text).alias("counts")), "labelled")
+    found = counted.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("counts", "sha").alias("counts"))
     vocabulary = found.select(F.explode(F.map_keys("counts")).alias("word")).groupBy("word").count().where(F.col("count") >= MIN_DOCS)
     words = [r[0] for r in vocabulary.orderBy(F.desc("count"), "word").limit(MAX_WORDS).collect()]
     index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
@@ -161,8 +184,8 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject:
             p = [shared.value.chances(t) for t in s]
             yield pd.DataFrame({"severity": [float(sum(x)) for x in p], "grade": [sum(v > 0.5 for v in x) for x in p]})
 
-    df = docs.drop("severity", "grade", "toxic", "__s").withColumn("__s", severity(F.col(text_col)))
-    return df.withColumns({"severity": F.col("__s.severity"), "grade": F.col("__s.grade")}).withColumn("toxic", F.col("severity") >= reject).drop("__s")
+    df = enclosed(docs.drop("severity", "grade", "toxic")).withColumn("s", severity(F.col(ROW)[text_col]))
+    return df.select(f"{ROW}.*", F.col("s.severity").alias("severity"), F.col("s.grade").alias("grade"), (F.col("s.severity") >= reject).alias("toxic"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import chat_format, quality_rules, secrets, toxicity, url_filter
-from tests.llm.helpers import SCHEMA, WORD, awkward, empty
+from tests.llm.helpers import SCHEMA, WORD, awkward, empty, saved
 
 
 def corpus(spark, n=600, seed=5):
@@ -55,6 +57,72 @@ def test_ordinal_gradient_and_grades():
     assert severity == sorted(severity)
 
 
+def sample(seed=1, n=60, columns=5):
+    rng = np.random.default_rng(seed)
+    dense = rng.integers(0, 3, (n, columns)).astype(float)
+    grades = np.clip((dense @ np.array([2.0, -1.0, 0.5, 0, 0][:columns]) + rng.normal(0, 1, n) + 1).astype(int), 0, 3)
+    row, col = np.nonzero(dense)
+    return dense, (row, col, dense[row, col]), np.unique(grades, return_inverse=True)[1].reshape(-1)
+
+
+def plain_loss(dense, grades, w, theta):
+    """Cumulative-link log loss by its definition."""
+    total = 0.0
+    for x, g in zip(dense, grades, strict=True):
+        above = [1.0, *(1 / (1 + math.exp(t - float(x @ w))) for t in theta), 0.0]
+        total -= math.log(above[g] - above[g + 1])
+    return total / len(grades)
+
+
+def test_ordinal_gradient_by_finite_differences():
+    dense, x, grades = sample()
+    rng = np.random.default_rng(2)
+    w, first, gaps, each = rng.normal(0, 0.5, 5), -0.3, np.array([0.1, -0.4]), np.full(60, 1 / 60)
+    value, g_w, g_first, g_gaps = toxicity.loss(x, grades, each, w, first, gaps)
+    assert abs(value - plain_loss(dense, grades, w, [first, *(first + np.cumsum(np.exp(gaps)))])) < 1e-9
+    point, grad = np.concatenate([w, [first], gaps]), np.concatenate([g_w, [g_first], g_gaps])
+    for i in range(len(point)):
+        ends = [toxicity.loss(x, grades, each, q[:5], q[5], q[6:])[0] for q in (point + 1e-5 * np.eye(8)[i], point - 1e-5 * np.eye(8)[i])]
+        assert abs((ends[0] - ends[1]) / 2e-5 - grad[i]) < 1e-6
+
+
+def test_ordinal_fit_reaches_the_brute_force_optimum():
+    """Against a plain random search of the same loss, from many points."""
+    dense, x, grades = sample(4, 80, 2)
+    w, theta = toxicity.fit(x, grades, 2, l1=0.0, rounds=2000)
+    got, rng, best = plain_loss(dense, grades, w, theta), np.random.default_rng(0), math.inf
+    for _ in range(4):
+        point, step = np.concatenate([rng.normal(0, 2, 2), np.sort(rng.normal(0, 2, len(theta)))]), 1.0
+        value = plain_loss(dense, grades, point[:2], point[2:])
+        while step > 1e-4:
+            moves = [point + step * d * e for e in np.eye(len(point)) for d in (-1, 1)] + [point + step * rng.normal(0, 1, len(point)) for _ in range(10)]
+            moves = [m for m in moves if (np.diff(m[2:]) > 0).all()]
+            values = [plain_loss(dense, grades, m[:2], m[2:]) for m in moves]
+            if values and min(values) < value:
+                point, value = moves[int(np.argmin(values))], min(values)
+            else:
+                step /= 2
+        best = min(best, value)
+    assert got <= best + 1e-3
+
+
+def test_op3(spark, tmp_path):
+    docs, labels = corpus(spark, 400)
+    folder = saved(docs, tmp_path)
+    saved(labels.where("doc_id % 2 = 0"), tmp_path, "labels")
+    rows = toxicity.op3_toxicity(spark, folder).collect()
+    assert len(rows) == 400 and all(r.kept == (not r.toxic) == (r.severity < 0.4) for r in rows)
+    held_out = [r for r in rows if r.doc_id % 2]
+    assert sum(r.toxic == (r.doc_id % 5 == 0) for r in held_out) >= 0.98 * len(held_out)
+
+
+def test_rows_that_repeat_an_id_train_alike_in_any_order(spark):
+    docs, labels = corpus(spark, 120)
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("vile scum other "), "text")).where("doc_id % 7 = 0"))
+    models = [toxicity.train(d, labels) for d in (twice.orderBy("text").coalesce(1), twice.orderBy(F.desc("text")).coalesce(1))]
+    assert models[0] == models[1]
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs, labels = corpus(spark, 200)
     model = toxicity.train(docs.unionByName(awkward(spark)), labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema)))
@@ -79,9 +147,9 @@ def base(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit), n < 20 or 100 * len(hit) > 30 * n
 
 
-def brute_scores(texts, target, n=2, tail=2, alpha=4.0):
-    """Log ratios by word endings themselves, without hashing."""
-    grams = lambda t: [tuple(w[-tail:] for w in ws[i : i + n]) for ws in [WORD.findall(t or "")] for i in range(len(ws) - n + 1)]
+def brute_scores(texts, target, alpha=4.0):
+    """Log ratios by the words and pairs of words themselves, without hashing."""
+    grams = lambda t: [x for ws in [WORD.findall(t or "")] for x in [*ws, *zip(ws, ws[1:], strict=False)]]
     c = Counter(g for t in texts.values() for g in grams(t))
     t = Counter(g for i, x in texts.items() if i in target for g in grams(x))
     share = sum(t.values()) / sum(c.values())
@@ -102,7 +170,7 @@ def test_quality_rules(spark):
     good = [i for i in texts if i % 4]
     df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], SCHEMA)
     target = spark.createDataFrame([(i,) for i in good], "doc_id long")
-    rows = quality_rules.judge(df, target, buckets=1 << 18).collect()
+    rows = quality_rules.judge(df, target, buckets=1 << 20, threshold=-0.2).collect()
     want = brute_scores(texts, set(good))
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id])
@@ -122,6 +190,19 @@ def test_quality_of_awkward_rows(spark):
     assert quality_rules.judge(docs, none).where("score <> 0").count() == 0
 
 
+def test_op4(spark, tmp_path):
+    """The query itself, at its own number of buckets: pairs of words that share one differ by a little from brute force."""
+    rng = random.Random(8)
+    texts = {i: " ".join(f"w{rng.randrange(30 if i % 3 else 900)}" for _ in range(rng.randrange(15, 60))) for i in range(150)}
+    folder = saved(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], SCHEMA), tmp_path)
+    saved(spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 150, 2)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    want = brute_scores(texts, {i for i in range(0, 150, 2) if i % 3})
+    rows = quality_rules.op4_quality_rules(spark, folder).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    assert max(abs(r.score - want[r.doc_id]) for r in rows) < 0.1
+    assert all(r.kept == (not r.base_failed and r.score >= -0.1) for r in rows)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -183,6 +264,67 @@ def test_a_secret_joined_to_a_base_span_is_found(spark):
     assert [s.kind for s in rows[5].spans] == ["assign"]  # wholly inside a base span
 
 
+def brute_entropy(text):
+    """Candidates and their windows by plain counting, without spans and the allow list."""
+    out = []
+    for rank, (_, alphabet, pattern, window, least) in enumerate(secrets.CLASSES):
+        for m in re.finditer(pattern, text):
+            v = m[0]
+            best = max(-sum(c / window * math.log2(c / window) for c in Counter(v[i : i + window]).values()) for i in range(len(v) - window + 1))
+            assert set(v) <= set(alphabet)
+            if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and best >= least - 1e-9 and not any(re.search(p, v) for p in secrets.ALLOW):
+                out.append((m.start(), m.end(), rank + 3))
+    return out
+
+
+def test_entropy_spans_agree_with_a_plain_scan(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    word = lambda: "".join(rng.choice(letters[: rng.choice([8, 20, 66])]) for _ in range(rng.randrange(15, 50)))
+    hexes = lambda: "".join(rng.choice("0123456789abcdef"[: rng.choice([4, 16])]) for _ in range(rng.randrange(18, 31)))
+    texts = [" ".join(rng.choice([word, hexes, lambda: "é plain", lambda: "some/path-to/file-12/xyz-abc"])() for _ in range(12)) for _ in range(40)]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    found = 0
+    for r in rows:
+        assert not r.base_spans
+        got, want = {(s.start, s.stop, s.rank) for s in r.spans}, brute_entropy(r.text)
+        assert got <= set(want)
+        assert all(any(a <= s and e <= b for a, b, _ in got) for s, e, _ in want)  # what is left out lies inside another
+        found += len(got)
+    assert found > 100
+
+
+def test_long_candidates_and_many_spans_are_linear(spark):
+    rng = random.Random(1)
+    joined = "a-" * 4001 + "c1"
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    many = ("password=abcdefgh1 é " + "0123456789abcdef" * 2 + " ") * 5000
+    df = spark.createDataFrame([(1, joined), (2, "data:" + blob), (3, many), (4, "a-" * 4001 + "1")], "doc_id int, text string")
+    began = time.time()
+    rows = secrets.scan(df).withColumn("out", secrets.redact(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    assert time.time() - began < 120
+    assert [(s.start, s.stop) for s in rows[1].spans] == [(5, 200_005)] and rows[1].out == "data:[secret]"
+    assert rows[2].out == "[secret] é [secret] " * 5000 and [(s.start, s.rank, s.kind, s.stop) for s in rows[2].base_spans] == base_spans(many)
+    assert rows[3].spans == []
+
+
+def test_scan_keeps_columns_of_any_name(spark):
+    df = awkward(spark).withColumns({c: F.col("n_chars") for c in ("__assign", "__rest", "row", "rest", "assign", "base_assign", "entropy_hex")})
+    out = secrets.scan(df)
+    assert out.columns == [*df.columns, "base_spans", "spans"]
+    assert all(r.rest == r.n_chars == r.row for r in out.collect())
+
+
+def test_op6(spark, tmp_path):
+    folder = saved(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(SECRETS)], SCHEMA), tmp_path)
+    for r in secrets.op6_secret_scan(spark, folder).collect():
+        want = base_spans(SECRETS[r.doc_id])
+        text = ",".join(f"{kind}:{start}:{stop}" for start, _, kind, stop in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[1] == k for w in want) for k in range(3))
+        assert {x for x in text.split(",") if x} <= set(r.spans.split(","))
+
+
 def test_scan_of_awkward_rows(spark):
     assert secrets.scan(awkward(spark, "spans")).where("size(spans) > 0").count() == 0
     assert secrets.scan(empty(spark)).count() == 0
@@ -241,6 +383,36 @@ def test_url_filter(spark):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+def test_url_model_agrees_with_an_independent_regression(spark):
+    """Plain gradient descent on the same n-grams, counted in Python by their texts, gives the same chances."""
+    urls = [(u, 1) for u in url_filter.BLOCKED] + [(u, 0) for u in url_filter.ALLOWED]
+    grams = lambda u: {(k, ("^" + part + "$")[i : i + 4]) for k, part in enumerate(expected(u)[:2]) for i in range(len(part) - 1) if part}
+    names = {g: i for i, g in enumerate(sorted(set().union(*(grams(u) for u, _ in urls))))}
+    x, y = np.zeros((len(urls), len(names) + 1)), np.array([v for _, v in urls], float)
+    for i, (u, _) in enumerate(urls):
+        x[i, [names[g] for g in grams(u)]] = 1
+    x[:, -1], w = 1, np.zeros(len(names) + 1)
+    penalty = np.append(np.full(len(names), 0.01), 0)
+    for _ in range(20_000):
+        w -= 0.05 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + penalty * w)
+    df = spark.createDataFrame([(u,) for u, _ in urls], "url string")
+    got = {r.url: r.block_probability for r in url_filter.url_filter(df, rules=[], buckets=1 << 16).collect()}
+    assert max(abs(got[u] - p) for (u, _), p in zip(urls, 1 / (1 + np.exp(-x @ w)), strict=True)) < 0.05
+
+
+def test_op9(spark, tmp_path):
+    long = "http://h.example.org/" + "x/" * 20_000
+    rows = [(i, u, "") for i, u in enumerate([*URLS, long, *URLS])]
+    folder = saved(spark.createDataFrame(rows, "page_id long, url string, html string"), tmp_path, "pages")
+    got = {r.page_id: r for r in url_filter.op9_url_filter(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, u, _ in rows:
+        host, path, rule = expected(u)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule[0] if rule else None)
+        assert got[i].verdict == (rule[1] if rule else "block" if got[i].block_probability >= 0.5 else "allow")
+        assert i < len(URLS) + 1 or got[i].verdict == got[i - len(URLS) - 1].verdict
+
+
 def test_url_model_on_held_out_urls(spark):
     train = lambda xs: [x for i, x in enumerate(xs) if i % 4]
     rows = [(u, "block") for u in url_filter.BLOCKED[::4]] + [(u, "allow") for u in url_filter.ALLOWED[::4]]
@@ -276,6 +448,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(map(tuple, step.collect()), key=str)
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["__text_sha256", "__maybe_repeated", "__keep_id", "__maybe", "__gone", "toxic", "grade", "severity", "spans", "__assign", "row", "sha", "id", "maybe", "found"]
+    docs, labels = corpus(spark, 60)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.unionByName(awkward(spark)).withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1)).cast("string")) for c in names})
+    step = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns, name
+        step.write.parquet(f"{tmp_path}/{name}")
+        step = spark.read.parquet(f"{tmp_path}/{name}")
+    rows = step.collect()
+    assert len(rows) > 40 and all(r[c] == c + str(-1 if r.doc_id is None else r.doc_id) for r in rows for c in names)
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
