@@ -102,19 +102,26 @@ def covers(places: list[tuple[int, str]], wanted: set[str]) -> list[tuple[int, i
     return out
 
 
+def satisfied(tokens: list[str], clauses: list[tuple[bool, list[str]]]) -> bool:
+    """Whether the tokens hold every wanted phrase of an alternative and none that it negates. Phrases skip no token, stop words aside."""
+    joined = f" {' '.join(t for t in tokens if t not in STOP)} "
+    return any(w for w, _ in clauses) and all((f" {' '.join(phrase)} " in joined) == w for w, phrase in clauses)
+
+
 def cover_density(text: str | None, query: Query, stemmed: bool = True) -> float:
-    """Cover density (Clarke, Cormack and Tudhope 2000): each cover gives the number of words over its length, a tenth a word."""
-    places = list(enumerate(tokenize(text, stemmed), 1))
+    """Cover density (Clarke, Cormack and Tudhope 2000) of the alternatives that the text satisfies: each cover gives the number of words over its length, a tenth a word."""
+    tokens = tokenize(text, stemmed)
+    places = list(enumerate(tokens, 1))
     score = 0.0
     for clauses in query.alternatives:
         wanted = {t for w, phrase in clauses if w for t in phrase}
-        if wanted:
+        if satisfied(tokens, clauses):
             score += sum(0.1 * len(wanted) / max(1, b - a + 2 - len(wanted)) for a, b in covers(places, wanted))
     return score
 
 
 def ranked_by_cover(docs: DataFrame, query: str, column: str = "text", stemmed: bool = True) -> DataFrame:
-    """docs that match all wanted words of the query, with cover_rank."""
+    """docs that match the query, phrases and negations included, with cover_rank."""
     q = parse(query, stemmed)
 
     @F.pandas_udf("double")

@@ -107,11 +107,11 @@ def assign(points: DataFrame, centers: DataFrame, limit: float, label: str = "la
     return df.withColumn("__n", near).select(id_col, F.col(f"__n.{label}").alias(label), F.col("__n.distance").alias("distance"), (F.col("__n.distance") > limit).alias("emerging"))
 
 
-def map_export(points: DataFrame, order: str = "id") -> DataFrame:
-    """One row of parallel arrays in id order. For the sampled points of a map, which fit one row."""
+def map_export(points: DataFrame, order: str = "id", size: int = 1000) -> DataFrame:
+    """Parallel arrays in id order, a row for each block of `size` ids, so that no row grows with the map."""
     fields = [c for c in points.columns if c != order]
-    rows = points.agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("r"))
-    return rows.select(*(F.col(f"r.{c}").alias(c) for c in [order, *fields]))
+    rows = points.groupBy(F.floor(F.col(order) / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("r"))
+    return rows.select("block", *(F.col(f"r.{c}").alias(c) for c in [order, *fields]))
 
 
 def scaled_layout(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

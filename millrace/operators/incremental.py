@@ -21,11 +21,13 @@ def first_seen(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 def manifest_status(entries: DataFrame, order: list) -> DataFrame:
     """Fate of each download: a URL that was seen is skipped, a body that was seen is recorded without storing it again.
 
-    Policies go by URL and body together: two policies may share a text, and an amendment is a new text under an old URL."""
+    A row that is skipped is never fetched, so its body isn't seen by it. Policies go by URL and body together: two
+    policies may share a text, and an amendment is a new text under an old URL."""
     seen = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1
     policy = F.col("doc_type") == "policy"
-    both = F.when(seen("doc_type", "source_url", "sha256"), "skipped").otherwise("stored")
-    return entries.withColumn("fate", F.when(policy, both).when(seen("source_url"), "skipped").when(seen("sha256"), "recorded").otherwise("stored"))
+    df = entries.withColumn("__skipped", F.when(policy, seen("doc_type", "source_url", "sha256")).otherwise(seen("source_url")))
+    df = df.withColumn("__body", seen("sha256", "__skipped"))
+    return df.withColumn("fate", F.when(F.col("__skipped"), "skipped").when(~policy & F.col("__body"), "recorded").otherwise("stored")).drop("__skipped", "__body")
 
 
 def new_rows(found: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -256,13 +256,13 @@ def focus_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("user_id", F.coalesce(F.array_join(F.transform(clusters.focus(isolated, searched), lambda x: x.cast("string")), ","), F.lit("")).alias("in_focus"))
 
 
-@query("select string_agg(cast(vec_id as varchar), ',' order by vec_id) as ids, string_agg(cast(label as varchar), ',' order by vec_id) as labels from embeddings where vec_id < 200")
+@query("select cast(floor(vec_id / 1000) as bigint) as block, string_agg(cast(vec_id as varchar), ',' order by vec_id) as ids, string_agg(cast(label as varchar), ',' order by vec_id) as labels from embeddings group by 1")
 def map_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallel arrays in id order, for a map of a bounded number of points."""
-    e = load(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("id"), "label")
-    row = clusters.map_export(e)
+    """Parallel arrays in id order, in blocks of ids, of all points of a map."""
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    rows = clusters.map_export(e)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return row.select(joined(F.col("id")).alias("ids"), joined(F.col("label")).alias("labels"))
+    return rows.select("block", joined(F.col("id")).alias("ids"), joined(F.col("label")).alias("labels"))
 
 
 @query("select event_type as color, cast(count(*) as bigint) as n, cast(sum(event_id) as bigint) as id_sum from events group by 1")

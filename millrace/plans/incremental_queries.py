@@ -21,8 +21,10 @@ ENTRIES_SQL = "select doc_id, case when doc_id % 5 = 0 then 'policy' else 'other
 
 
 @query(f"""
-    with e as ({ENTRIES_SQL}), r as (select *, row_number() over (partition by source_url order by doc_id) as u, row_number() over (partition by sha256 order by doc_id) as h, row_number() over (partition by doc_type, source_url, sha256 order by doc_id) as b from e)
-    select doc_id, case when doc_type = 'policy' then case when b > 1 then 'skipped' else 'stored' end when u > 1 then 'skipped' when h > 1 then 'recorded' else 'stored' end as fate from r""")
+    with e as ({ENTRIES_SQL}), r as (select *, row_number() over (partition by source_url order by doc_id) as u, row_number() over (partition by doc_type, source_url, sha256 order by doc_id) as b from e),
+    k as (select *, case when doc_type = 'policy' then b > 1 else u > 1 end as skipped from r),
+    f as (select *, row_number() over (partition by sha256 order by doc_id) as h from k where not skipped)
+    select doc_id, 'skipped' as fate from k where skipped union all select doc_id, case when doc_type <> 'policy' and h > 1 then 'recorded' else 'stored' end from f""")
 def download_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplication by URL, by body, and for policies by both."""
     return incremental.manifest_status(_entries(spark, sf_dir), ["doc_id"]).select("doc_id", "fate")
@@ -34,13 +36,13 @@ def first_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with o as (select s_suppkey as k, s_name as name, s_acctbal as amount from supplier where s_suppkey % 3 <> 0), n as (select s_suppkey as k, case when s_suppkey % 2 = 0 then 'new ' || s_name end as name, cast(s_nationkey as double) as amount from supplier where s_suppkey % 5 <> 1)
+    with o as (select s_suppkey as k, s_name as name, s_acctbal as amount from supplier), n as (select case when s_suppkey % 5 = 1 then -s_suppkey else s_suppkey end as k, case when s_suppkey % 2 = 0 then 'new ' || s_name end as name, cast(s_nationkey as double) as amount from supplier)
     select coalesce(o.k, n.k) as k, coalesce(n.name, o.name) as name, coalesce(n.amount, o.amount) as amount from o full outer join n using (k)""")
 def upsert_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New values over old ones; a null keeps the old."""
+    """New values over old ones; a null keeps the old. Every fifth supplier comes back under a key that isn't stored."""
     s = load(spark, sf_dir, "supplier")
-    old = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount"))
-    new = s.where("s_suppkey % 5 <> 1").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("new "), F.col("s_name"))).alias("name"), F.col("s_nationkey").cast("double").alias("amount"))
+    old = s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount"))
+    new = s.select(F.when(F.col("s_suppkey") % 5 == 1, -F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("new "), F.col("s_name"))).alias("name"), F.col("s_nationkey").cast("double").alias("amount"))
     return incremental.upsert(old, new, ["k"])
 
 
@@ -51,12 +53,11 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.last_wins(rows, ["l_partkey", "l_suppkey"], "seq").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("select c_custkey, case when c_custkey % 4 = 0 then 'ingested' else 'pending' end as status, c_custkey % 4 <> 0 as was_new from customer where c_custkey % 3 = 0")
+@query("select c_custkey, case when c_custkey % 4 = 0 then 'ingested' else 'pending' end as status, c_custkey % 4 <> 0 as was_new from customer")
 def find_or_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer").select("c_custkey")
     stored = c.where("c_custkey % 4 = 0").withColumn("status", F.lit("ingested"))
-    found = c.where("c_custkey % 3 = 0")
-    return incremental.find_or_insert(stored, found.unionByName(found), ["c_custkey"])
+    return incremental.find_or_insert(stored, c.unionByName(c), ["c_custkey"])
 
 
 @query("select distinct o_custkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey < 12)")
@@ -113,13 +114,14 @@ def backfilled_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with o as (select doc_id, text from documents where doc_id % 6 <> 0), n as (select doc_id, case when doc_id % 5 = 0 then text || ' more' else '  ' || upper(text) end as text from documents where doc_id % 7 <> 0)
+    with o as (select doc_id, text from documents), n as (select case when doc_id % 7 = 0 then -1 - doc_id else doc_id end as doc_id, text from documents)
     select coalesce(o.doc_id, n.doc_id) as doc_id, case when o.doc_id is null then 'NEW' when n.doc_id is null then 'GONE' when n.doc_id % 5 = 0 then 'UPDATED' else 'UNCHANGED' end as change from o full outer join n on o.doc_id = n.doc_id""")
 def text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NEW, UNCHANGED, UPDATED or GONE by the normalised text's hash."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("ß"), F.lit("s")).alias("text"))
-    new = d.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.concat(F.lit("  "), F.upper("text"))))
-    return incremental.changes(d.where("doc_id % 6 <> 0"), new, "doc_id", "text")
+    new = d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.concat(F.lit("  "), F.upper("text"))))
+    new = new.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))  # gone under the old id, new under another
+    return incremental.changes(d, new, "doc_id", "text")
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_linenumber = max(l_linenumber) over (partition by l_orderkey) as is_current from lineitem")

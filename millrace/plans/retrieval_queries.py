@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fts, text
 from millrace.operators import evaluation, retrieval
-from millrace.plans.models import CHUNKS_SQL, DISTANCE_SQL, chunks, query_vector
+from millrace.plans.models import BARE_SQL, CHUNKS_SQL, DISTANCE_SQL, TOKENS_SQL, chunks, chunks_with_text, query_vector
 from millrace.plans.registry import load, query
 
 LEGS_SQL = f"""
@@ -52,14 +52,14 @@ def global_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     select chunk_id, round(sum(1.0::double / (60 + rank)), 9) as rrf from r where rank <= 50 group by 1""")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of both legs over all."""
-    rows = chunks(spark, sf_dir).where("chunk_id <> 0")
+    rows = chunks_with_text(spark, sf_dir).where("chunk_id <> 0")
     legs = [retrieval.semantic_leg(rows, query_vector(spark, sf_dir), 50), retrieval.scored_leg(rows, F.col("term_hits"), 50)]
     return retrieval.fuse(legs).select("chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
 @query(f"with {LEGS_SQL} select district, chunk_id, round(rrf, 9) as rrf, rank from (select *, row_number() over (partition by district order by round(rrf, 12) desc, chunk_id) as rank from fused) where rank <= 12")
 def rrf_fuse_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).where("chunk_id <> 0")
+    rows = chunks_with_text(spark, sf_dir).where("chunk_id <> 0")
     legs = [retrieval.semantic_leg(rows, query_vector(spark, sf_dir), 50, "district"), retrieval.scored_leg(rows, F.col("term_hits"), 50, "district")]
     return retrieval.fuse(legs, 12, "district").select("district", "chunk_id", F.round("rrf", 9).alias("rrf"), F.col("fused_rank").cast("long").alias("rank"))
 
@@ -75,19 +75,18 @@ PANEL_SQL = f"""
 
 @query(PANEL_SQL.format("district, chunk_id, document_id, rank, overflow, place").replace("pool.*", "pool.district, pool.chunk_id, pool.rank"))
 def panel_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both legs, fused, two chunks of a document at most, overflow as backfill."""
-    rows = chunks(spark, sf_dir)
+    """Vectors and full text, fused, two chunks of a document at most, overflow as backfill."""
+    rows = chunks_with_text(spark, sf_dir)
     evidence, _ = retrieval.panel(rows.where("chunk_id <> 0"), rows, query_vector(spark, sf_dir), F.col("term_hits"))
     return evidence.select("district", "chunk_id", "document_id", F.col("fused_rank").cast("long").alias("rank"), "overflow", F.col("place").cast("long").alias("place"))
 
 
-@query(PANEL_SQL.format("row_number() over (order by district, place) as n, '[' || row_number() over (order by district, place) || '] ' || district || chr(10) || 'chunk ' || chunk_id as block").replace("pool.*", "pool.district, pool.chunk_id, pool.rank"))
+@query(PANEL_SQL.format("row_number() over (order by district, place) as n, '[' || row_number() over (order by district, place) || '] ' || district || chr(10) || coalesce(case when length(content) > 1800 then content[1:1800] || ' …' else content end, '') as block").replace("pool.*", "pool.district, pool.chunk_id, pool.rank, content"))
 def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence numbered across groups, as text for a prompt."""
-    rows = chunks(spark, sf_dir)
+    rows = chunks_with_text(spark, sf_dir)
     evidence, _ = retrieval.panel(rows.where("chunk_id <> 0"), rows, query_vector(spark, sf_dir), F.col("term_hits"))
-    content = F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))
-    blocks = retrieval.evidence_text(evidence.withColumns({"content": content, "name": F.col("district").cast("string")}).withColumn("district", F.col("district")))
+    blocks = retrieval.evidence_text(evidence.withColumn("content", F.coalesce("content", F.lit(""))))
     return blocks.select(F.col("n").cast("long").alias("n"), "block")
 
 
@@ -100,7 +99,7 @@ def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     select chunk_id, row_number() over (order by score desc, fused_rank) as final_rank from s order by score desc, fused_rank limit 12""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50 + 50, fused to 20, reranked to 12; the reranker here is a declared offline substitute for a cross-encoder."""
-    rows, q = chunks(spark, sf_dir).where("chunk_id <> 0"), query_vector(spark, sf_dir)
+    rows, q = chunks_with_text(spark, sf_dir).where("chunk_id <> 0"), query_vector(spark, sf_dir)
     from millrace.functions.vectors import cosine_distance_literal
 
     score = F.col("term_hits") + 10 * (1 - F.round(cosine_distance_literal(F.col("embedding"), q), 6))
@@ -132,11 +131,6 @@ def optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("doc_type", "lang")
 
 
-FTS_STOP = "', '".join(fts.STOP)
-TOKENS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+')"
-BARE_SQL = f"list_filter({TOKENS_SQL}, lambda t: t not in ('{FTS_STOP}'))"
-
-
 @query(rf"""
     select doc_id, cast(rank as integer) as rank from (
         select doc_id, len(list_filter({TOKENS_SQL}, lambda t: t in ('thing', 'ing', 'tion'))) as rank, ' ' || array_to_string({BARE_SQL}, ' ') || ' ' as s from documents)
@@ -149,8 +143,8 @@ def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def full_text_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cover-density rank of stemmed tokens; tests hold it against worked cases."""
-    out = fts.ranked_by_cover(load(spark, sf_dir, "documents").select("doc_id", "text"), "thing tion")
+    """Cover-density rank of stemmed tokens, phrases and negations included; tests hold it against worked cases."""
+    out = fts.ranked_by_cover(load(spark, sf_dir, "documents").select("doc_id", "text"), 'thing tion -idiot or "ing of tion"')
     return out.select("doc_id", F.round("cover_rank", 6).alias("cover_rank"))
 
 

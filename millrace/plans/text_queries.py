@@ -56,17 +56,17 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("status", F.coalesce("reason", F.lit("clean")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality_score"), 6).alias("mean"))
 
 
-#: Lines of ours after the document's first 60 characters, so that every class occurs.
+#: Lines of ours after the document's text, so that every class occurs.
 LINES = ["", " FOR SALE at auction, $5 reward", " NOTICE IS HEREBY GIVEN by the SUPREME COURT in CHANCERY", " 12 34 56 78 90 11 22 33", " roll call: members present", " motion by A, seconded by B. Minutes of the last regular meeting", " call to order; adjourned", " $1,200.50 3.26% (54,430) 9,200 1621.402"]
 LINES_SQL = "['" + "', '".join(LINES) + "']"
 
 
 def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.element_at(F.lit(LINES), (F.col("doc_id") % len(LINES) + 1).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 60), line).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat("text", line).alias("text"))
 
 
-LINED_SQL = f"l as (select doc_id, text[1:60] || {LINES_SQL}[doc_id % {len(LINES)} + 1] as text from documents)"
+LINED_SQL = f"l as (select doc_id, text || {LINES_SQL}[doc_id % {len(LINES)} + 1] as text from documents)"
 SQL_LEGAL, SQL_PRICE, SQL_AD = text.LEGAL, text.PRICE, text.AD_KEYWORDS
 
 
@@ -167,14 +167,14 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with t as (select doc_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || doc_id || ' | x |' as grid from documents where doc_id % 3 = 0)
+    with t as (select doc_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || doc_id || ' | x |' as grid from documents)
     select doc_id, cast(5 + i as integer) as chunk_index, 'T' || case i when 2 then 4 else 2 end || '#' || case i when 1 then 2 else 1 end as section_path, grid as content, 'table' as kind
     from t cross join (select unnest([0, 1, 2]) as i)""")
 def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tables as chunks; their index goes on after the prose."""
     grid = F.concat(F.lit("| a | b |\n|---|---|\n| "), F.col("doc_id").cast("string"), F.lit(" | x |"))
     tables = F.array(*(F.struct(F.lit(p).alias("page"), grid.alias("markdown")) for p in (2, 2, 4)))
-    return chunking.table_chunks(_docs(spark, sf_dir).where("doc_id % 3 = 0").select("doc_id", tables.alias("tables")), after=F.lit(5))
+    return chunking.table_chunks(_docs(spark, sf_dir).select("doc_id", tables.alias("tables")), after=F.lit(5))
 
 
 @query("""

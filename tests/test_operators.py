@@ -131,3 +131,15 @@ def test_density_labels_cover_every_row(spark, tmp_path, monkeypatch):
     assert all(len(g) == 1 for g in groups) and set.union(*groups) == {0, 1, 2}
     spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/few/embeddings.parquet")
     assert [r.label for r in cluster_queries.hdbscan_labels(spark, f"{tmp_path}/few").collect()] == [clusters.NOISE] * 5
+
+
+def test_a_body_that_was_never_fetched_is_not_seen(spark):
+    rows = [(1, "other", "u1", "h1"), (2, "other", "u1", "h2"), (3, "other", "u2", "h2"), (4, "other", "u3", "h2"), (5, "policy", "u4", "h2"), (6, "policy", "u4", "h2"), (7, "policy", "u4", "h3"), (8, "other", "u5", "h3")]
+    df = spark.createDataFrame(rows, "id int, doc_type string, source_url string, sha256 string")
+    got = {r.id: r.fate for r in incremental.manifest_status(df, ["id"]).collect()}
+    assert got == {1: "stored", 2: "skipped", 3: "stored", 4: "recorded", 5: "stored", 6: "skipped", 7: "stored", 8: "recorded"}
+
+
+def test_map_export_in_blocks(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in (5, 0, 12, 7, 11)], "id long, label int")
+    assert [tuple(r) for r in clusters.map_export(df, size=10).orderBy("block").collect()] == [(0, [0, 5, 7], [0, 2, 1]), (1, [11, 12], [2, 0])]

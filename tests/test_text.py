@@ -98,3 +98,14 @@ def test_cover_density_worked_cases():
     assert fts.covers([(1, "x"), (2, "y"), (5, "x")], {"x", "y"}) == [(1, 2), (2, 5)]
     assert 0 < fts.cover_density("a1 z z b1", q) < 0.2
     assert fts.cover_density("a1 only", q) == 0
+
+
+def test_cover_rank_follows_phrases_and_negations(spark):
+    q = fts.parse('budget vote -idiot or "school board"', stemmed=True)
+    rank = lambda t: fts.cover_density(t, q)
+    assert rank("budget vote") > rank("budget of the long and slow vote") > 0
+    assert rank("budget vote idiot") == rank("budget idiots vote") == 0
+    assert rank("the school boards") > 0 and rank("school for the board") > 0  # stop words fall away
+    assert rank("board school") == rank("school lunch board") == rank(None) == 0
+    df = spark.createDataFrame([(1, "Budget votes"), (2, "budget vote, idiot"), (3, None)], "id int, text string")
+    assert [r.id for r in fts.ranked_by_cover(df, "budget vote -idiot").collect()] == [1]
