@@ -168,3 +168,12 @@ def prose_without_tables(text: Column) -> Column:
     near = lambda i: F.coalesce(F.get(flags, i - 1), F.lit(False)) | F.coalesce(F.get(flags, i + 1), F.lit(False))
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~(is_row(x) & near(i)), x)), lambda x: x.isNotNull())
     return F.trim(F.array_join(kept, "\n"))
+
+
+def section_tree(chunks: DataFrame, key: str, path: str = "section_path") -> DataFrame:
+    """Every section of each document, those that only have parts included: path, parent (null at the top) and level. Paths are numbers and letters joined by points."""
+    parts = F.split(path, r"\.")
+    ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.slice(parts, F.lit(1), n))
+    rows = chunks.where(F.col(path).isNotNull() & (F.col(path) != "")).select(key, F.explode(ways).alias("__way"))
+    parent = F.when(F.size("__way") > 1, F.array_join(F.slice("__way", F.lit(1), F.size("__way") - 1), "."))
+    return rows.select(key, F.array_join("__way", ".").alias("path"), parent.alias("parent"), F.size("__way").alias("level")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import cosine_distance, l2_distance, min_max, normalised
+from millrace.operators.series import STOPWORDS
 
 NOISE = -1
 
@@ -107,6 +108,21 @@ def assign(points: DataFrame, centers: DataFrame, limit: float, label: str = "la
     return df.withColumn("__n", near).select(id_col, F.col(f"__n.{label}").alias(label), F.col("__n.distance").alias("distance"), (F.col("__n.distance") > limit).alias("emerging"))
 
 
+def term_labels(members: DataFrame, cluster: str = "cluster", text: str = "text", terms: int = 3, least_members: int = 2, most: int = 120) -> DataFrame:
+    """A label of each cluster from its most distinctive words: count * ln(all words / count over all), joined by commas. Offline, in place of a model that names topics.
+
+    Counts come before anything is gathered, and only the first few words of a cluster are."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), lambda t: ~t.isin(STOPWORDS))
+    counts = members.select(cluster, F.explode(words).alias("term")).groupBy(cluster, "term").agg(F.count(F.lit(1)).alias("n"))
+    overall = counts.groupBy("term").agg(F.sum("n").alias("f"))
+    total = counts.agg(F.sum("n").alias("t"))
+    scored = counts.where(F.col("n") >= least_members).join(overall, "term").withColumn("__all", total.scalar())
+    scored = scored.withColumn("score", F.round(F.col("n") * F.log(F.col("__all") / F.col("f")), 6))
+    first = scored.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("score"), "term"))).where(F.col("place") <= terms)
+    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), ", ")
+    return first.groupBy(cluster).agg(F.substring(named, 1, most).alias("label"))
+
+
 def map_export(points: DataFrame, order: str = "id", size: int = 1000) -> DataFrame:
     """Parallel arrays in id order, a row for each block of `size` ids, so that no row grows with the map."""
     fields = [c for c in points.columns if c != order]

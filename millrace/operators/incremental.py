@@ -82,6 +82,49 @@ def resumable(documents: DataFrame, chunks: DataFrame, key: str, most: int | Non
     return ordered if most is None else ordered.limit(most)
 
 
+#: What names a table of salaries or extra pay, as whole words where the words are short.
+CANDIDATE = r"salary|stipend|longevity|coach|extra.?duty|co.?curricular|\b(?:ba|ma)\s*\+?\s*\d{2}\b|\bph\.?\s*d\b|\bdoctorate\b|\bstep\b"
+
+
+def extraction_candidates(chunks: DataFrame, documents: DataFrame, key: str, chunk_key: str, only_new: bool = True, group: str | None = None, most: int | None = None) -> DataFrame:
+    """Active table chunks that a keyword names in content, heading or title, by group, newest first, undated last.
+
+    chunks: chunk_key, key, kind, status, content, heading, extracted_at; documents: key, slug, title, day. What is extracted already stays out, so a stopped pass goes on where it was."""
+    tables = chunks.where("kind = 'table' and status = 'active'")
+    if only_new:
+        tables = tables.where("extracted_at is null")
+    if group is not None:
+        documents = documents.where(F.col("slug") == group.strip())
+    named = F.lit(False)
+    for c in ("content", "heading", "title"):
+        named = named | F.coalesce(F.col(c).rlike(f"(?i){CANDIDATE}"), F.lit(False))
+    ordered = tables.join(documents, key).where(named).orderBy("slug", F.col("day").desc_nulls_last(), chunk_key)
+    return ordered if most is None else ordered.limit(most)
+
+
+def reclassified(documents: DataFrame, chunks: DataFrame, key: str, kind: Column) -> tuple[DataFrame, DataFrame]:
+    """Documents of type other with the type that a rule finds, and all chunks with the type of their document."""
+    found = F.when((F.col("doc_type") == "other") & kind.isNotNull(), kind).otherwise(F.col("doc_type"))
+    new = documents.withColumn("doc_type", found)
+    types = new.select(key, F.col("doc_type").alias("__type"))
+    carried = chunks.join(types, key, "left").withColumn("doc_type", F.coalesce("__type", "doc_type")).drop("__type")
+    return new, carried.select(*chunks.columns)
+
+
+def marked(documents: DataFrame, updates: DataFrame, key: str, now: Column) -> DataFrame:
+    """documents with status and error of the updates, a null leaving the old value; ingested_at is set where an update says ingested."""
+    new = updates.select(key, F.col("status").alias("__status"), F.col("error").alias("__error"))
+    df = documents.join(new, key, "left")
+    at = F.when(F.col("__status") == "ingested", now).otherwise(F.col("ingested_at"))
+    return df.withColumns({"ingested_at": at, "status": F.coalesce("__status", "status"), "error": F.coalesce("__error", "error")}).select(*documents.columns)
+
+
+def touched(stored: DataFrame, written: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """stored with the written rows' values; updated_at is now on every row that was written, whatever the write says."""
+    new = written.drop("updated_at").withColumn("updated_at", now)
+    return replaced(stored, new, keys)
+
+
 def backfill(documents: DataFrame, chunks: DataFrame, key: str, value: Column, out: str) -> DataFrame:
     """documents with a marker where a table chunk exists."""
     has = chunks.where("kind = 'table'").select(key).distinct().withColumn("__has", F.lit(True))

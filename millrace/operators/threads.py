@@ -58,3 +58,12 @@ def coverage(claims: DataFrame, group: str) -> DataFrame:
     """Share of claims with evidence."""
     has = F.coalesce(F.size("evidence"), F.lit(0)) > 0
     return claims.groupBy(group).agg(F.count_if(has).alias("covered"), F.count(F.lit(1)).alias("claims"), (F.count_if(has) / F.count(F.lit(1))).alias("coverage"))
+
+
+def beat_candidates(chunks: DataFrame, kinds: list[str], key: str, day: str = "day", done: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Chunks of the given kinds in the order of time, undated last, without those whose events are drawn already: what an event extractor reads next."""
+    rows = chunks.where(F.col("doc_type").isin(kinds))
+    if done is not None:
+        rows = rows.join(done.select(key).distinct(), key, "left_anti")
+    ordered = rows.orderBy(F.col(day).asc_nulls_last(), key)
+    return ordered if most is None else ordered.limit(most)

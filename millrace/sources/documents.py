@@ -136,8 +136,11 @@ def docx_text(data: bytes) -> str:
 
 
 _RTF = re.compile(r"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z'])|([{}])|([^\\{}]+)", re.S)
-#: Groups whose content isn't text.
-_RTF_HIDDEN = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "generator", "themedata", "listtable", "listoverridetable", "object"}
+#: Groups whose content isn't text.
+_RTF_HIDDEN = set(
+    "fonttbl colortbl stylesheet listtable listoverridetable rsidtbl generator info pict themedata colorschememapping latentstyles datastore "
+    "xmlnstbl filetbl revtbl upr shppict nonshppict header footer footnote object".split()
+)
 
 
 def rtf_text(raw: str) -> str:
@@ -153,7 +156,7 @@ def rtf_text(raw: str) -> str:
             hidden = stack.pop() if stack else False
         elif symbol == "*" and first:
             hidden = True
-        elif word in _RTF_HIDDEN and first:
+        elif word.lower() in _RTF_HIDDEN and first:
             hidden = True
         elif not hidden:
             if word == "u" and number:

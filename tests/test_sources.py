@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import gzip
 import io
 import json
@@ -7,7 +8,7 @@ import zipfile
 
 import pytest
 
-from millrace.sources import documents, manifests
+from millrace.sources import documents, layout, manifests, portals
 
 HTML = """<html><head><title>no</title></head><body><script>x()</script><h1>Attendance</h1><p>Rules <b>apply</b>.</p>
 <table><tr><th>Grade</th><th>Allowed absences</th></tr><tr><td>K|1</td><td>18 / full year</td></tr><tr><td>only</td></tr></table><br>End</body></html>"""
@@ -99,3 +100,30 @@ def test_crosswalk_and_words(spark, tmp_path):
     assert rows == {(None, "col a"): "MA", ("north", "col a"): "BA"}
     (tmp_path / "w.txt").write_text("The\n\n of \nthe\n")
     assert {r.word for r in manifests.word_list(spark, str(tmp_path / "w.txt")).collect()} == {"the", "of"}
+
+
+def test_rtf_groups_without_text():
+    hidden = "footnote rsidtbl colorschememapping latentstyles datastore xmlnstbl filetbl revtbl upr shppict nonshppict".split()
+    raw = r"{\rtf1 before" + "".join("{\\" + w + " junk {\\b deeper}}" for w in hidden) + r" after\par {\FOOTER x}end}"
+    assert documents.rtf_text(raw) == "before after\nend"
+
+
+def test_pages_and_grids(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    blocks = spark.createDataFrame([(1, 1, 0, (0.0, 0.0, 10.0, 10.0), "prose"), (1, 1, 1, (0.0, 20.0, 10.0, 30.0), "cell"), (1, 2, 0, (0.0, 20.0, 10.0, 30.0), "next page\x00"), (1, 2, 1, (5.0, 5.0, 5.0, 5.0), None), (2, 1, 0, (0.0, 0.0, 4.0, 4.0), "cell")], f"doc int, page int, block int, box {box}, text string")
+    tables = spark.createDataFrame([(1, 1, (0.0, 15.0, 10.0, 26.0), 3, 2), (1, 2, (0.0, 20.0, 10.0, 30.0), 1, 9), (2, 1, (0.0, 0.0, 9.0, 9.0), 2, 2)], f"doc int, page int, box {box}, n_rows int, n_columns int")
+    assert {r.doc: r.text for r in layout.prose_outside_grids(blocks, tables, "doc").collect()} == {1: "prose\nnext page", 2: ""}
+    pages = spark.createDataFrame([(1, 1, "x" * 121, (0.0, 0.0, 10.0, 10.0)), (1, 2, " ", (0.0, 0.0, 10.0, 10.0)), (1, 3, None, (0.0, 0.0, 10.0, 10.0)), (1, 4, "", (0.0, 0.0, 0.0, 9.0))], f"doc int, page int, text string, box {box}")
+    images = spark.createDataFrame([(1, k, (0.0, 0.0, 10.0, 4.5 if k == 2 else 4.0)) for k in range(1, 5)], f"doc int, page int, box {box}")
+    assert [tuple(r) for r in layout.image_only_pages(pages, images, "doc").collect()] == [(1, 2)]
+    assert tuple(layout.page_text(pages, "doc").first()) == (1, "x" * 121, 4)
+
+
+def test_portal_lists(spark):
+    body = '[{"unique": "A", "name": " Regular ", "numberdate": "20240510"}, {"unique": "B", "name": "x", "numberdate": ""}, {"name": "no id"}, {"unique": "C", "numberdate": "20200101"}, {"unique": "D", "numberdate": "20249999"}]'
+    df = spark.createDataFrame([("k", body), ("none", "not json"), ("null", None)], "key string, body string")
+    rows = portals.meetings(df, ["key"], since=datetime.date(2023, 1, 1), most=2).collect()
+    assert [(r.key, r.unique, r.name, r.day) for r in rows] == [("k", "A", "Regular", datetime.date(2024, 5, 10)), ("k", "B", "x", None)]
+    assert [r.unique for r in portals.meetings(df, ["key"]).collect()] == ["A", "B", "C", "D"]
+    links = spark.createDataFrame([("https://h/x/$file/a.pdf?open", "A"), ("https://h/x/$file/a.pdf?open", "A"), ("https://h/page", "p")], "target string, link_text string")
+    assert [(r.target, r.file_name) for r in portals.agenda_files(links).collect()] == [("https://h/x/$file/a.pdf?open", "a.pdf")]
