@@ -184,7 +184,9 @@ def _sets(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n", "key", "tokens", "subsets"])
 
     with small_batches(spark):
-        return materialize(docs.mapInArrow(run, SETS), "sets")
+        out = materialize(docs.mapInArrow(run, SETS), "sets")
+    ranks.destroy()
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
@@ -260,6 +262,7 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
         return pd.Series(repeated.value.maybe(s.to_numpy()))
 
     posted = materialize(posted.where(maybe("token")), "postings")
+    repeated.destroy()
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     lists = materialize(lookup(posted, "token", materialize(shared, "lists"), max(1, posted.count())).where("members is not null"), "shared")
     # A pivot that meets many others is likely the original of its copies: members of its lists, all told.

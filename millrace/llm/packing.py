@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import tokenize
-from millrace.llm.common import materialize, table
+from millrace.llm.common import materialize, small_batches, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -235,9 +235,12 @@ def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int
     return first.where("not loose").unionByName(second).drop("grp", "loose")
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of each document's ids: doc_id, piece, start, length, ids_crc32 and ids (packed)."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """Pieces of each document's ids: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (packed)."""
     end = struct.pack("<I", end_id)
+    schema = PIECES + (", ids binary" if with_ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenize.load(tokenizer)
@@ -248,16 +251,16 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_c
                     packed += end
                     for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                         ids = packed[at : at + 4 * capacity]
-                        rows.append((i, k, at // 4, len(ids) // 4, zlib.crc32(ids), ids))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                        rows.append((i, k, at // 4, len(ids) // 4, zlib.crc32(ids), *([ids] if with_ids else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES + ", ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def plan(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """The packing of docs: a row a piece, with its place and the checksum of its ids."""
-    pieces = materialize(cut(docs, tokenizer, end_id, capacity).drop("ids"), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(cut(docs, tokenizer, end_id, capacity, with_ids=False), "pieces")
     return pack_pieces(pieces, docs.count(), capacity)
 
 

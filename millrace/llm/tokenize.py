@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-ROWS, CHARACTERS = 256, 1 << 20  # a batch ends with the text that reaches either
+ROWS, CHARACTERS = 64, 1 << 17  # a batch ends with the text that reaches either
 
 
 class Encoder:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ROW, enclosed, materialize, table
+from millrace.llm.common import ROW, enclosed, materialize, small_batches, table
 
 MAX_TOXIC, MAX_CLEAN, MAX_WORDS, MIN_DOCS = 3_000, 7_000, 100_000, 3
 WORD = re.compile(r"\w+")
@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # Of rows that repeat a doc_id the one with the least hash of its text trains, whatever their order.
     text = F.coalesce("text", F.lit(""))
-    counted = materialize(marked.select("doc_id", "toxic", F.sha2(text, 256).alias("sha"), counts(text).alias("counts")), "labelled")
+    with small_batches(spark):
+        counted = materialize(marked.select("doc_id", "toxic", F.sha2(text, 256).alias("sha"), counts(text).alias("counts")), "labelled")
     found = counted.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("counts", "sha").alias("counts"))
     vocabulary = found.select(F.explode(F.map_keys("counts")).alias("word")).groupBy("word").count().where(F.col("count") >= MIN_DOCS)
     words = [r[0] for r in vocabulary.orderBy(F.desc("count"), "word").limit(MAX_WORDS).collect()]
@@ -161,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.DataFrame({"at": pack(0), "n": pack(1)})
 
     sampled = found.select("doc_id", "toxic", encode("counts").alias("x")).select("doc_id", "toxic", "x.at", "x.n").toPandas().sort_values("doc_id")
+    index.destroy()
     toxic = (sampled["toxic"].to_numpy() > 0).astype(float)
     if not len(words) or not 0 < toxic.sum() < len(toxic):
         return OrdinalModel()
