@@ -17,8 +17,15 @@ from millrace.llm.common import ROW, enclosed, materialize, released, table
 TOKENIZER, END_ID, CAPACITY = public_tokenizers.path("word_bpe_49k.json"), 1, 4096
 
 
+def _modest(spark: SparkSession) -> None:
+    """Texts pass to Python in small Arrow batches: an executor's workers share its memory with what five stages leave."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model finds toxic go. A null or empty text has the severity of the thresholds alone and stays; repeated rows fare alike."""
+    _modest(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     rows = enclosed(docs).withColumn("text", F.col(ROW)["text"])
     return released(toxicity.score(rows, model).where("not toxic"))
