@@ -5,8 +5,10 @@ from __future__ import annotations
 from millrace.llm.bpe import op10_bpe
 from millrace.llm.chat_format import op7_chat_format
 from millrace.llm.exact_dedup import op5_exact_dedup
+from millrace.llm.lexical_search import op12_lexical_search
 from millrace.llm.ngram_join import op8_ngram_join
 from millrace.llm.packing import op2_best_fit_packing
+from millrace.llm.pii import op11_pii
 from millrace.llm.quality_rules import op4_quality_rules
 from millrace.llm.secrets import op6_secret_scan
 from millrace.llm.token_files import op1_token_files
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
+    "op11_pii": op11_pii,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLES = {
@@ -52,4 +56,19 @@ ORACLES = {
         select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id is not distinct from min(doc_id) over w as kept, text_sha256
         from n window w as (partition by text_sha256)
     """,
+    "op12_lexical_search": r"""
+        with d as (select row_number() over () as uid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+        n as (select uid, doc_id, cast(len(words) as bigint) as n from d where len(words) > 0),
+        size as (select count(*) as total, cast(sum(n) as bigint) as length from n),
+        q as (
+            select distinct qid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from (select row_number() over () as qid, item_id, text from benchmark)),
+        p as (select uid, term, count(*) as tf from (select uid, unnest(words) as term from d) where term in (select term from q) group by all),
+        w as (select term, cast(floor(1000 * ln((2 * total + 2)::double / (2 * df + 1)::double)) as bigint) as w from (select term, count(*) as df from p group by 1), size),
+        s as (
+            select qid, item_id, doc_id, uid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total) // length)))) as score
+            from q join p using (term) join w using (term) join n using (uid), size group by all),
+        r as (select item_id, cast(row_number() over (partition by qid order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from s where score > 0)
+        select item_id, rank, doc_id, cast(score as bigint) as score from r where rank <= 10
+    """,
 }
