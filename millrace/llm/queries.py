@@ -6,6 +6,7 @@ from millrace.llm.bpe import op10_bpe
 from millrace.llm.chat_format import op7_chat_format
 from millrace.llm.exact_dedup import op5_exact_dedup
 from millrace.llm.lexical_search import op12_lexical_search
+from millrace.llm.merkle import op13_merkle_manifest
 from millrace.llm.ngram_join import op8_ngram_join
 from millrace.llm.packing import op2_best_fit_packing
 from millrace.llm.pii import op11_pii
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_pii": op11_pii,
     "op12_lexical_search": op12_lexical_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
