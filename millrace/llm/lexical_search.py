@@ -36,7 +36,7 @@ from millrace.llm.common import materialize, release, table
 #: Bytes of UTF-8 to those of terms in lower case, or a space: ASCII letters and digits and all bytes beyond ASCII are of terms.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 FLUSH = 1 << 16  # postings that a task hands on at once
-SHARD = 1 << 19  # postings of a shard of documents in phase 2, in the mean
+SHARD = 1 << 18  # postings of a shard of documents in phase 2, in the mean
 BLOCK = 1 << 18  # terms of the queries that are searched, and broadcast, at once
 LOOKUPS = 1 << 18  # candidates that are broadcast in phase 3; more are joined by shuffle
 
@@ -86,14 +86,15 @@ class Index:
 def build(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Postings of the given terms (`term`, `tid`) over all documents."""
     known = terms.select("term", "tid").unionByName(docs.sparkSession.createDataFrame([("", -1)], "term string, tid long"))
-    raw = materialize(terms_of(docs, id_col, text_col).join(known, "term").select("tid", "uid", "doc_id", "n", "tf"), "raw")
+    few = F.broadcast if terms.count() <= BLOCK else (lambda rows: rows)
+    raw = materialize(terms_of(docs, id_col, text_col).join(few(known), "term").select("tid", "uid", "doc_id", "n", "tf"), "raw")
     size = raw.where("tid = -1").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("l")).first()
     total, length = size["n"], size["l"] or 1
     df = raw.where("tid >= 0").groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(total) + 2).cast("double") / (2 * F.col("df") + 1))).cast("long")
     weights = materialize(df.withColumn("w", weight), "weights")
     m = f"(10 + (90L * n * {total}L) div {length}L)"
-    scored = raw.where("tid >= 0").join(weights.select("tid", "w"), "tid").withColumn("impact", F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 8L * {m}))")).where("impact > 0")
+    scored = raw.where("tid >= 0").join(few(weights.select("tid", "w")), "tid").withColumn("impact", F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 8L * {m}))")).where("impact > 0")
     lists = scored.select("tid", "impact", "uid").repartitionByRange("tid", F.desc("impact"), "uid").sortWithinPartitions("tid", F.desc("impact"), "uid")
     postings = materialize(lists, "postings")
     documents = materialize(raw.where("tid = -1").select("uid", "doc_id"), "lengths")
@@ -162,7 +163,7 @@ def _search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     # Phase 2. Down to the least threshold of the queries that hold the term.
     schema = "qid long, tid long, threshold long"
     limits = spark.createDataFrame([(int(q), int(t), int(at)) for q, tids, _, at, _ in asked for t in tids], schema)
-    least = limits.groupBy("tid").agg(F.min("threshold").alias("least"), F.max("threshold").alias("most"))
+    least = limits.groupBy("tid").agg(F.min("threshold").alias("least"))
     read = postings.join(F.broadcast(least), "tid").where("impact >= least").select("tid", "impact", "uid")
     shards = max(1, index.postings.count() // SHARD)
     dealt = read.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
@@ -174,8 +175,7 @@ def _search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     # Phase 3. What the threshold hid of the candidates.
     few = left.count() <= LOOKUPS
     wanted = F.broadcast(left.select("qid", "uid")) if few else left.select("qid", "uid")
-    hidden = postings.join(F.broadcast(least), "tid").where("impact < most").select("tid", "impact", "uid")
-    looked = hidden.join(wanted, "uid").join(F.broadcast(limits), ["qid", "tid"]).where("impact < threshold").select("qid", "uid", "impact")
+    looked = postings.join(wanted, "uid").join(F.broadcast(limits), ["qid", "tid"]).where("impact < threshold").select("qid", "uid", "impact")
     scores = left.withColumnRenamed("partial", "impact").unionByName(looked).groupBy("qid", "uid").agg(F.sum("impact").alias("score"))
     names = index.documents.join(F.broadcast(left.select("uid").distinct()) if few else left.select("uid").distinct(), "uid")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "uid")
