@@ -57,6 +57,12 @@ def scored_leg(chunks: DataFrame, score: Column, most: int, group: str | None =
     return ranked(hits, [F.col("score").desc(), F.col(id_col)], group, most)
 
 
+def lexical_leg(chunks: DataFrame, hits: DataFrame, most: int, group: str | None = None, id_col: str = "chunk_id") -> DataFrame:
+    """Best chunks by full-text rank. hits: (id, score) of the chunks that match; only ids and groups of chunks are read."""
+    keys = [c for c in (group, id_col) if c]
+    return ranked(chunks.select(*keys).join(hits.where("score > 0"), id_col), [F.col("score").desc(), F.col(id_col)], group, most)
+
+
 def fuse(legs: Sequence[DataFrame], most: int | None = None, group: str | None = None, id_col: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (k + rank) over the legs that hold an id."""
     keys = [c for c in (group, id_col) if c]
@@ -76,9 +82,9 @@ def absent(groups: DataFrame, found: DataFrame, group: str = "district") -> Data
     return groups.select(group).distinct().join(found.select(group).distinct(), group, "left_anti")
 
 
-def panel(chunks: DataFrame, groups: DataFrame, vector: Sequence[float], lexical: Column, rerank: Callable[[DataFrame], DataFrame] | None = None, leg: int = LEG, pool: int = 12, most: int = PER_GROUP, group: str = "district", id_col: str = "chunk_id", document: str = "document_id") -> tuple[DataFrame, DataFrame]:
-    """Evidence of each group, and the groups without any. rerank: adds `rerank_score`; without it the fused rank decides."""
-    legs = [semantic_leg(chunks, vector, leg, group, id_col), scored_leg(chunks, lexical, leg, group, id_col)]
+def panel(chunks: DataFrame, groups: DataFrame, vector: Sequence[float], hits: DataFrame, rerank: Callable[[DataFrame], DataFrame] | None = None, leg: int = LEG, pool: int = 12, most: int = PER_GROUP, group: str = "district", id_col: str = "chunk_id", document: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """Evidence of each group, and the groups without any. hits: as `lexical_leg` takes them. rerank: adds `rerank_score`; without it the fused rank decides."""
+    legs = [semantic_leg(chunks, vector, leg, group, id_col), lexical_leg(chunks, hits, leg, group, id_col)]
     fused = fuse(legs, pool, group, id_col)
     rows = fused.join(chunks.drop("embedding"), [group, id_col])
     if rerank:
@@ -89,10 +95,10 @@ def panel(chunks: DataFrame, groups: DataFrame, vector: Sequence[float], lexical
     return evidence, absent(groups, evidence, group)
 
 
-def hybrid(chunks: DataFrame, vector: Sequence[float], lexical: Column, rerank: Column, leg: int = LEG, pool: int = POOL, most: int = 12, id_col: str = "chunk_id") -> DataFrame:
-    """Both legs over all, fused to a pool, reranked by a score."""
-    fused = fuse([semantic_leg(chunks, vector, leg, None, id_col), scored_leg(chunks, lexical, leg, None, id_col)], pool, None, id_col)
-    rows = chunks.join(F.broadcast(fused), id_col)  # pool rows at most
+def hybrid(chunks: DataFrame, vector: Sequence[float], hits: DataFrame, rerank: Column, leg: int = LEG, pool: int = POOL, most: int = 12, id_col: str = "chunk_id") -> DataFrame:
+    """Both legs over all, fused to a pool, reranked by a score, which may use `score` of the hits. hits: as `lexical_leg` takes them."""
+    fused = F.broadcast(fuse([semantic_leg(chunks, vector, leg, None, id_col), lexical_leg(chunks, hits, leg, None, id_col)], pool, None, id_col))  # pool rows at most
+    rows = chunks.join(fused, id_col).join(F.broadcast(hits.join(fused.select(id_col), id_col)), id_col, "left")
     return ranked(rows.withColumn("rerank_score", F.coalesce(rerank, F.lit(0.0))), [F.col("rerank_score").desc(), F.col("fused_rank")], None, most, "final_rank")
 
 

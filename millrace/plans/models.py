@@ -53,12 +53,15 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("district"), F.floor(F.col("vec_id") / 30).alias("document_id"), "embedding")
 
 
-def chunks_with_text(spark: SparkSession, sf_dir: str, question: str = QUESTION) -> DataFrame:
-    """Chunks with `content`, the text of the same id (none: null), and `term_hits`, the question's full-text rank in it (0: no match)."""
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    rows = chunks(spark, sf_dir).join(d, "chunk_id", "left").withColumn("__t", fts.token_array(F.col("content")))
-    q = fts.parse(question)
-    return rows.withColumn("term_hits", F.when(fts.matches(F.col("__t"), q), fts.frequency_rank(F.col("__t"), q)).otherwise(0)).drop("__t")
+def hits(spark: SparkSession, sf_dir: str, question: str = QUESTION) -> DataFrame:
+    """(chunk_id, score): cover-density rank of the question in the text of the same id, for those that match."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return fts.ranked_by_cover(d, question, id_col="chunk_id").select("chunk_id", F.round("cover_rank", 9).alias("score"))
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, content): the text of the same id."""
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -69,12 +72,9 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 FTS_STOP = "', '".join(fts.STOP)
 TOKENS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+')"
 BARE_SQL = f"list_filter({TOKENS_SQL}, lambda t: t not in ('{FTS_STOP}'))"
-HITS_SQL = f"""
-    select doc_id, text as content, case when contains(s, ' thing ') or (contains(s, ' tion ') and not contains(s, ' idiot ')) then n else 0 end as hits from (
-        select doc_id, text, ' ' || array_to_string({BARE_SQL}, ' ') || ' ' as s, len(list_filter({TOKENS_SQL}, lambda t: t in ('thing', 'tion'))) as n from documents)
-"""
+HITS_SQL = f"select doc_id, round(cover_rank, 9) as score from ({fts.cover_sql(fts.parse(QUESTION, True))})"
 CHUNKS_SQL = f"""
-    select vec_id as chunk_id, label as district, cast(floor(vec_id / 30.0) as bigint) as document_id, coalesce(hits, 0) as term_hits, content, embedding::double[] as v, (select embedding::double[] from embeddings where vec_id = 0) as q
+    select vec_id as chunk_id, label as district, cast(floor(vec_id / 30.0) as bigint) as document_id, score, embedding::double[] as v, (select embedding::double[] from embeddings where vec_id = 0) as q
     from embeddings left join ({HITS_SQL}) on doc_id = vec_id
 """
 DISTANCE_SQL = "1 - greatest(-1, least(1, list_cosine_similarity(v, q)))"

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fts, text
 from millrace.operators import evaluation, retrieval
-from millrace.plans.models import BARE_SQL, CHUNKS_SQL, DISTANCE_SQL, TOKENS_SQL, chunks, chunks_with_text, query_vector
+from millrace.plans.models import BARE_SQL, CHUNKS_SQL, DISTANCE_SQL, TOKENS_SQL, chunks, contents, hits, query_vector
 from millrace.plans.registry import load, query
 
 LEGS_SQL = f"""
     c as ({CHUNKS_SQL}),
     a as (select *, {DISTANCE_SQL} as distance from c where chunk_id <> 0),
     sem as (select *, row_number() over (partition by district order by distance, chunk_id) as rank from a),
-    lex as (select *, row_number() over (partition by district order by term_hits desc, chunk_id) as rank from a where term_hits > 0),
+    lex as (select *, row_number() over (partition by district order by score desc, chunk_id) as rank from a where score > 0),
     fused as (
         select district, chunk_id, sum(1.0::double / (60 + rank)) as rrf
         from (select district, chunk_id, rank from sem where rank <= 50 union all select district, chunk_id, rank from lex where rank <= 50) group by 1, 2)
@@ -48,19 +48,19 @@ def global_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     with c as ({CHUNKS_SQL}), a as (select *, {DISTANCE_SQL} as distance from c where chunk_id <> 0),
-    r as (select chunk_id, row_number() over (order by distance, chunk_id) as rank from a union all select chunk_id, row_number() over (order by term_hits desc, chunk_id) from a where term_hits > 0)
+    r as (select chunk_id, row_number() over (order by distance, chunk_id) as rank from a union all select chunk_id, row_number() over (order by score desc, chunk_id) from a where score > 0)
     select chunk_id, round(sum(1.0::double / (60 + rank)), 9) as rrf from r where rank <= 50 group by 1""")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of both legs over all."""
-    rows = chunks_with_text(spark, sf_dir).where("chunk_id <> 0")
-    legs = [retrieval.semantic_leg(rows, query_vector(spark, sf_dir), 50), retrieval.scored_leg(rows, F.col("term_hits"), 50)]
+    rows = chunks(spark, sf_dir).where("chunk_id <> 0")
+    legs = [retrieval.semantic_leg(rows, query_vector(spark, sf_dir), 50), retrieval.lexical_leg(rows, hits(spark, sf_dir), 50)]
     return retrieval.fuse(legs).select("chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
 @query(f"with {LEGS_SQL} select district, chunk_id, round(rrf, 9) as rrf, rank from (select *, row_number() over (partition by district order by round(rrf, 12) desc, chunk_id) as rank from fused) where rank <= 12")
 def rrf_fuse_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks_with_text(spark, sf_dir).where("chunk_id <> 0")
-    legs = [retrieval.semantic_leg(rows, query_vector(spark, sf_dir), 50, "district"), retrieval.scored_leg(rows, F.col("term_hits"), 50, "district")]
+    rows = chunks(spark, sf_dir).where("chunk_id <> 0")
+    legs = [retrieval.semantic_leg(rows, query_vector(spark, sf_dir), 50, "district"), retrieval.lexical_leg(rows, hits(spark, sf_dir), 50, "district")]
     return retrieval.fuse(legs, 12, "district").select("district", "chunk_id", F.round("rrf", 9).alias("rrf"), F.col("fused_rank").cast("long").alias("rank"))
 
 
@@ -76,34 +76,35 @@ PANEL_SQL = f"""
 @query(PANEL_SQL.format("district, chunk_id, document_id, rank, overflow, place").replace("pool.*", "pool.district, pool.chunk_id, pool.rank"))
 def panel_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors and full text, fused, two chunks of a document at most, overflow as backfill."""
-    rows = chunks_with_text(spark, sf_dir)
-    evidence, _ = retrieval.panel(rows.where("chunk_id <> 0"), rows, query_vector(spark, sf_dir), F.col("term_hits"))
+    rows = chunks(spark, sf_dir)
+    evidence, _ = retrieval.panel(rows.where("chunk_id <> 0"), rows, query_vector(spark, sf_dir), hits(spark, sf_dir))
     return evidence.select("district", "chunk_id", "document_id", F.col("fused_rank").cast("long").alias("rank"), "overflow", F.col("place").cast("long").alias("place"))
 
 
-@query(PANEL_SQL.format("row_number() over (order by district, place) as n, '[' || row_number() over (order by district, place) || '] ' || district || chr(10) || coalesce(case when length(content) > 1800 then content[1:1800] || ' …' else content end, '') as block").replace("pool.*", "pool.district, pool.chunk_id, pool.rank, content"))
+@query(PANEL_SQL.format("row_number() over (order by district, place) as n, '[' || row_number() over (order by district, place) || '] ' || district || chr(10) || coalesce(case when length(content) > 1800 then content[1:1800] || ' …' else content end, '') as block").replace("pool.*", "pool.district, pool.chunk_id, pool.rank, text as content").replace("join c using (chunk_id)", "join c using (chunk_id) left join documents d on d.doc_id = chunk_id"))
 def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence numbered across groups, as text for a prompt."""
-    rows = chunks_with_text(spark, sf_dir)
-    evidence, _ = retrieval.panel(rows.where("chunk_id <> 0"), rows, query_vector(spark, sf_dir), F.col("term_hits"))
-    blocks = retrieval.evidence_text(evidence.withColumn("content", F.coalesce("content", F.lit(""))))
+    rows = chunks(spark, sf_dir)
+    evidence, _ = retrieval.panel(rows.where("chunk_id <> 0"), rows, query_vector(spark, sf_dir), hits(spark, sf_dir))
+    evidence = evidence.join(contents(spark, sf_dir), "chunk_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    blocks = retrieval.evidence_text(evidence)
     return blocks.select(F.col("n").cast("long").alias("n"), "block")
 
 
 @query(f"""
     with c as ({CHUNKS_SQL}), a as (select *, {DISTANCE_SQL} as distance from c where chunk_id <> 0),
-    r as (select chunk_id, row_number() over (order by distance, chunk_id) as rank from a union all select chunk_id, row_number() over (order by term_hits desc, chunk_id) from a where term_hits > 0),
+    r as (select chunk_id, row_number() over (order by distance, chunk_id) as rank from a union all select chunk_id, row_number() over (order by score desc, chunk_id) from a where score > 0),
     f as (select chunk_id, sum(1.0::double / (60 + rank)) as rrf from r where rank <= 50 group by 1),
     p as (select chunk_id, row_number() over (order by round(rrf, 12) desc, chunk_id) as fused_rank from f),
-    s as (select p.*, term_hits + 10 * (1 - round(distance, 6)) as score from p join a using (chunk_id) where fused_rank <= 20)
-    select chunk_id, row_number() over (order by score desc, fused_rank) as final_rank from s order by score desc, fused_rank limit 12""")
+    s as (select p.*, coalesce(a.score, 0) + 10 * (1 - round(distance, 6)) as total from p join a using (chunk_id) where fused_rank <= 20)
+    select chunk_id, row_number() over (order by total desc, fused_rank) as final_rank from s order by total desc, fused_rank limit 12""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50 + 50, fused to 20, reranked to 12; the reranker here is a declared offline substitute for a cross-encoder."""
-    rows, q = chunks_with_text(spark, sf_dir).where("chunk_id <> 0"), query_vector(spark, sf_dir)
+    rows, q = chunks(spark, sf_dir).where("chunk_id <> 0"), query_vector(spark, sf_dir)
     from millrace.functions.vectors import cosine_distance_literal
 
-    score = F.col("term_hits") + 10 * (1 - F.round(cosine_distance_literal(F.col("embedding"), q), 6))
-    return retrieval.hybrid(rows, q, F.col("term_hits"), score).select("chunk_id", F.col("final_rank").cast("long").alias("final_rank"))
+    score = F.coalesce("score", F.lit(0.0)) + 10 * (1 - F.round(cosine_distance_literal(F.col("embedding"), q), 6))
+    return retrieval.hybrid(rows, q, hits(spark, sf_dir), score).select("chunk_id", F.col("final_rank").cast("long").alias("final_rank"))
 
 
 @query("""
@@ -141,10 +142,13 @@ def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts.search(load(spark, sf_dir, "documents").select("doc_id", "text"), "text", 'the thing -idiot or "ing of tion"').select("doc_id", "rank")
 
 
-@query()
+COVER = 'thing tion -idiot or "ing of tion"'
+
+
+@query(f"select doc_id, round(cover_rank, 6) as cover_rank from ({fts.cover_sql(fts.parse(COVER, True))})")
 def full_text_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cover-density rank of stemmed tokens, phrases and negations included; tests hold it against worked cases."""
-    out = fts.ranked_by_cover(load(spark, sf_dir, "documents").select("doc_id", "text"), 'thing tion -idiot or "ing of tion"')
+    """Cover-density rank of stemmed tokens, phrases and negations included, from postings."""
+    out = fts.ranked_by_cover(load(spark, sf_dir, "documents"), COVER)
     return out.select("doc_id", F.round("cover_rank", 6).alias("cover_rank"))
 
 

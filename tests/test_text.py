@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.functions import fts, scalars, taxonomy, text
@@ -108,4 +110,17 @@ def test_cover_rank_follows_phrases_and_negations(spark):
     assert rank("the school boards") > 0 and rank("school for the board") > 0  # stop words fall away
     assert rank("board school") == rank("school lunch board") == rank(None) == 0
     df = spark.createDataFrame([(1, "Budget votes"), (2, "budget vote, idiot"), (3, None)], "id int, text string")
-    assert [r.id for r in fts.ranked_by_cover(df, "budget vote -idiot").collect()] == [1]
+    assert [r.id for r in fts.ranked_by_cover(df, "budget vote -idiot", id_col="id").collect()] == [1]
+
+
+def test_native_cover_ranks_by_brute_force(spark):
+    """Postings and windows against the walk through each text."""
+    rng = random.Random(3)
+    words = ["thing", "things", "the", "this", "wills", "budget", "budgets", "policies", "policy", "vote", "idiot", "x", "école"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 8, 30, 80])))) for i in range(120)] + [(900, None), (901, "Budget-Vote, budget's VOTE")]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    for stemmed in (True, False):
+        for q in ["budget", "budget vote", "thing vote policy", 'thing or "budget of vote" -idiot', '-idiot', "the", "policies école -x or vote vote", '"budget vote policy" -"thing thing"']:
+            want = {i: fts.cover_density(t, fts.parse(q, stemmed), stemmed) for i, t in texts}
+            got = {r.doc_id: r.cover_rank for r in fts.ranked_by_cover(df, q, stemmed=stemmed).collect()}
+            assert got.keys() == {i for i, v in want.items() if v > 0} and all(abs(v - want[i]) < 1e-9 for i, v in got.items()), (q, stemmed)
