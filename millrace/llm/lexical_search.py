@@ -4,14 +4,16 @@
 order of impact (the share of a term in a document's score). The lists lie in range partitions by term and impact, so a
 long list is spread over several. `search` then takes three phases:
 
-1. The head of every list gives partial scores; the k-th best of a query is a lower bound of its k-th score.
+1. The head of every list gives partial scores; the k-th best of a query is a lower bound of its k-th score. The heads'
+   documents are looked up as well: the k-th best of what they really score is a second bound, closer, to prune by.
 2. Every list of a query is read down to one threshold, bound / number of its lists: a document that no list shows above
    it can't reach the bound. Postings are dealt out by document, and a shard keeps, for each query, those documents whose
    upper bound (what was read, plus the least of threshold and list head for each list that didn't show it) reaches the
-   better of phase 1's bound and the k-th partial score of the shard. The k-th partial score of all then prunes again.
+   better of phase 1's second bound and the k-th partial score of the shard. The k-th partial score of all then prunes again.
 3. What the lists hold of these candidates below the threshold is looked up, which makes their scores exact.
 
-Every bound is one of scores of all documents, so no document that belongs to the result is ever left out, ties included.
+The threshold comes from the first bound: with the second it would be higher, and what it hides would make upper bounds
+loose. Every bound is one of scores of all documents, so no document that belongs to the result is ever left out, ties included.
 
 Defined cases: a null text has no terms; a document without terms isn't counted. Repeated rows are documents of their own,
 as are repeated items. A null doc_id stands after all others among equal scores. Items without a term that occurs have no
@@ -109,14 +111,14 @@ def _kth(scores: DataFrame, value: str, k: int, name: str) -> DataFrame:
 
 
 def _shard(queries: list[tuple[int, np.ndarray, np.ndarray, int, int]], k: int):
-    """Phase 2 in a shard: queries are (qid, tids, heads, threshold, bound)."""
+    """Phase 2 in a shard: queries are (qid, tids, heads, threshold, floor)."""
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group["tid"].to_numpy(), kind="stable")
         tid, impact = group["tid"].to_numpy()[order], group["impact"].to_numpy()[order]
         uids, place = np.unique(group["uid"].to_numpy()[order], return_inverse=True)
         out = []
-        for qid, tids, heads, threshold, bound in queries:
+        for qid, tids, heads, threshold, floor in queries:
             starts, stops = np.searchsorted(tid, tids), np.searchsorted(tid, tids, "right")
             partial, missing = np.zeros(len(uids), np.int64), np.full(len(uids), np.minimum(heads, threshold - 1).sum(), np.int64)
             for lo, hi, head in zip(starts, stops, heads, strict=True):
@@ -124,7 +126,7 @@ def _shard(queries: list[tuple[int, np.ndarray, np.ndarray, int, int]], k: int):
                 partial[place[shown]] += impact[shown]  # a list shows a document once
                 missing[place[shown]] -= min(head, threshold - 1)
             best = int(np.partition(partial, -k)[-k]) if len(partial) >= k else 0
-            kept = np.flatnonzero((partial > 0) & (partial + missing >= max(bound, best)))
+            kept = np.flatnonzero((partial > 0) & (partial + missing >= max(floor, best)))
             out.append((np.full(len(kept), qid, np.int64), uids[kept], partial[kept], partial[kept] + missing[kept]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.table(dict(zip(["qid", "uid", "partial", "upper"], columns, strict=True)))
@@ -149,15 +151,18 @@ def _search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     mine = F.broadcast(queries.select("tid").distinct())  # a block's
     heads = materialize(postings.join(mine, "tid").withColumn("at", F.row_number().over(head)).where(F.col("at") <= k), "heads")
     lists = queries.join(heads.groupBy("tid").agg(F.max("impact").alias("head")), "tid")
-    partial = queries.join(heads, "tid").groupBy("qid", "uid").agg(F.sum("impact").alias("partial"))
-    bounds = _kth(partial, "partial", k, "bound")
+    partial = materialize(queries.join(heads, "tid").groupBy("qid", "uid").agg(F.sum("impact").alias("partial")), "partial")
+    # The documents at the heads, k * BLOCK at most, are also looked up: what they really score is a better bound to prune by.
+    owners = postings.join(F.broadcast(partial.select("qid", "uid")), "uid").join(F.broadcast(queries), ["qid", "tid"])
+    real = owners.groupBy("qid", "uid").agg(F.sum("impact").alias("score"))
+    bounds = _kth(partial, "partial", k, "bound").join(_kth(real, "score", k, "floor"), "qid")
     # Lists of a query in one row: as many as its terms. Queries of a block have BLOCK terms at most.
     known = lists.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("tid", "head"))).alias("lists")).join(bounds, "qid", "left")
     asked = []
     for row in known.collect():
         tids, tops = (np.array([x[c] for x in row["lists"]], np.int64) for c in ("tid", "head"))
         bound = row["bound"] or 0
-        asked.append((row["qid"], tids, tops, max(1, -(-bound // len(tids))), bound))
+        asked.append((row["qid"], tids, tops, max(1, -(-bound // len(tids))), row["floor"] or 0))
     if not asked:
         return spark.createDataFrame([], "qid long, rank int, doc_id long, score long")
     # Phase 2. Down to the least threshold of the queries that hold the term.
