@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.rounds import written
+
 
 def first_seen(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
@@ -169,23 +172,55 @@ def rate_limited(calls: DataFrame, window: float, most: int, key: str = "key", a
 
 
 def packed(texts: DataFrame, order: str, text: str = "text", most_inputs: int = 128, most_tokens: int = 250_000, per_token: float = 1.5, cap: int = 32_000) -> DataFrame:
-    """texts with the request (`batch`) they go to: filled in order up to a number of inputs and of estimated tokens.
-    Blank texts get no request. Requests are numbered in each partition, so they fill wherever the texts are."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, inputs, tokens = 0, 0, 0
-        for pdf in batches:
-            out = []
-            for t in pdf[text]:
-                if t is None or not t.strip():
-                    out.append(None)
-                    continue
-                n = min(int(len(t) / per_token) + 1, cap)
-                if inputs and (inputs >= most_inputs or tokens + n > most_tokens):
-                    batch, inputs, tokens = batch + 1, 0, 0
-                inputs, tokens = inputs + 1, tokens + n
-                out.append(batch)
-            yield pdf.assign(batch=pd.array(out, dtype="Int32"))
-
-    schema = texts.withColumn("batch", F.lit(None).cast("int")).schema
-    return texts.sortWithinPartitions(order).mapInPandas(run, schema)
+    """texts with the request (`batch`) they go to: filled in the order of a column that tells rows apart, up to a number of inputs and of estimated tokens, as one walk over all would. Blank texts get no request.
+
+    A range-sorted partition is a function of what is open before it: the rows that still go there, at most `most_inputs`, decide all later cuts. Each partition tabulates its function, the tables are composed in order, and each partition then numbers its own rows. Only row ids and token counts reach Python."""
+    spoken = F.coalesce(F.col(text).rlike(r"(?U)\S"), F.lit(False))
+    tokens = F.least(F.floor(F.char_length(text) / per_token).cast("int") + 1, F.lit(cap))
+    rows = texts.where(spoken).select(F.col(order).alias("key"), tokens.alias("n"))
+    dealt = written(rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()), "packed")
+
+    def nexts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a request that begins at each row, the row that begins the next; and the sums before each row."""
+        sums = np.concatenate([[0], np.cumsum(n)])
+        full = np.searchsorted(sums, sums[:-1] + most_tokens, "right") - 1
+        return np.minimum(np.maximum(full, np.arange(len(n)) + 1), np.arange(len(n)) + most_inputs), sums
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each number of rows that go to what is open before: the requests begun after them, and what the last leaves open."""
+        n = pdf.sort_values("key")["n"].to_numpy()
+        after, sums = nexts(n)
+        size, entries = len(n), min(most_inputs, len(n))
+        begun, last = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for i in range(size - 1, -1, -1):
+            j = after[i]
+            begun[i], last[i] = (1, i) if j >= size else (begun[j] + 1, last[j])
+        e = np.arange(entries + 1)
+        at = np.where(begun[e] > 0, last[e], 0)
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "entry": e, "before": sums[e], "begun": begun[e], "inputs": np.where(begun[e] > 0, size - at, size), "tokens": np.where(begun[e] > 0, sums[size] - sums[at], sums[size])})
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        inputs, total, batch, out = 0, 0, -1, []
+        for part, t in pdf.groupby("part", sort=True):
+            t = t.sort_values("entry")
+            fits = (t["before"].to_numpy() + total <= most_tokens) & (t["entry"].to_numpy() + inputs <= most_inputs)
+            entry = int(np.flatnonzero(fits).max(initial=0)) if inputs else 0
+            row = t.iloc[entry]
+            out.append((part, entry, batch))
+            batch += int(row["begun"])
+            inputs, total = (int(row["inputs"]), int(row["tokens"])) if row["begun"] else (inputs + int(row["inputs"]), total + int(row["tokens"]))
+        return pd.DataFrame(out, columns=["part", "entry", "open"])
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        after, _ = nexts(pdf["n"].to_numpy())
+        begins, at = np.zeros(len(pdf), np.int64), int(pdf["entry"].iloc[0])
+        while at < len(pdf):
+            begins[at] = 1
+            at = int(after[at])
+        return pd.DataFrame({"key": pdf["key"], "batch": pdf["open"] + np.cumsum(begins)})
+
+    tables = dealt.groupBy("part").applyInPandas(table, "part int, entry int, before long, begun long, inputs long, tokens long")
+    starts = tables.groupBy().applyInPandas(compose, "part int, entry int, open int")  # most_inputs rows a partition
+    numbered = dealt.join(F.broadcast(starts), "part").groupBy("part").applyInPandas(number, f"key {dict(rows.dtypes)['key']}, batch int")
+    return texts.join(numbered.withColumnRenamed("key", order), order, "left")

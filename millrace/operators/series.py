@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import school_year, week_start
 from millrace.functions.vectors import capped_ratio, cosine_distance
+from millrace.operators.rounds import indexed
 
 # The stop list of distinctive terms.
 STOPWORDS = (
@@ -95,8 +96,13 @@ def shares(counts: DataFrame, group: str, n: str = "n") -> DataFrame:
 
 
 def moving_centroid(members: DataFrame, thread: str, order: str, embedding: str, weight: float = 0.3) -> DataFrame:
-    """Exponential moving mean of a thread's vectors in order, beside its first vector and the distance between both."""
-    ordered = members.groupBy(thread).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, embedding))), lambda s: s[embedding].cast("array<double>")).alias("v"))
-    step = lambda acc, x: F.zip_with(acc, x, lambda a, b: (1 - weight) * a + weight * b)
-    out = ordered.withColumn("first", F.get("v", F.lit(0))).withColumn("ema", F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), F.col("first"), step))
-    return out.select(thread, "first", "ema", cosine_distance(F.col("first"), F.col("ema")).alias("drift"))
+    """Exponential moving mean of a thread's vectors in order, beside its first vector and the distance between both.
+
+    The mean is a sum with weights that fall with the distance from the end, so it is added up dimension by dimension, and no thread is gathered or ordered in one task. Rows without a vector or thread take no part; order tells a thread's rows apart."""
+    rows = members.where(F.col(embedding).isNotNull() & F.col(thread).isNotNull()).select(thread, order, F.col(embedding).cast("array<double>").alias("__v"))
+    placed = indexed(rows, [thread], [order], "threads")
+    share = F.when(F.col("idx") == 0, 1.0).otherwise(weight) * F.pow(F.lit(1 - weight), F.col("size") - 1 - F.col("idx"))
+    each = placed.select(thread, "idx", share.alias("share"), F.posexplode("__v").alias("i", "x"))
+    sums = each.groupBy(thread, "i").agg(F.sum(F.col("share") * F.col("x")).alias("ema"), F.max(F.when(F.col("idx") == 0, F.col("x"))).alias("first"))
+    whole = sums.groupBy(thread).agg(F.array_sort(F.collect_list(F.struct("i", "first", "ema"))).alias("d"))  # a vector's dimensions
+    return whole.select(thread, F.col("d.first").alias("first"), F.col("d.ema").alias("ema")).withColumn("drift", cosine_distance(F.col("first"), F.col("ema")))

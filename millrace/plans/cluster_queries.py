@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import clusters, series
+from millrace.operators import clusters, density, nearest, series
 from millrace.plans.models import MEMBERS_SQL, members
 from millrace.plans.registry import load, query
 
@@ -296,23 +296,53 @@ def _blobs(n: int = 40, dims: int = 8) -> pd.DataFrame:
     return pd.DataFrame({"id": range(len(points)), "embedding": [[float(v) for v in p] for p in points]})
 
 
-SAMPLE = 1000  # points that HDBSCAN is fitted on
+@query()
+def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of all vectors by a mutual reachability tree that is grown in rounds; rows without a vector are noise."""
+    points = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    tree = density.spanning_tree(points)
+    found = density.clusters(tree, 15) if tree else spark.createDataFrame([], "id long, label int")
+    return density.labelled(points, found)
 
 
-def _density_labels(spark: SparkSession, points: DataFrame) -> DataFrame:
-    """Every point (id, embedding) at its nearest density cluster of a sample, the SAMPLE points first by the hash of their id.
-    Noise is what is farther than 0.8 from all centroids, has no vector, or finds no cluster in the sample."""
-    rows = points.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    labels = clusters.hdbscan(np.array([r.embedding for r in rows], np.float64), 15, 5).tolist()
-    fitted = spark.createDataFrame([(label, [float(v) for v in r.embedding]) for label, r in zip(labels, rows, strict=True)], "label int, embedding array<double>")
-    assigned = clusters.assign(points, clusters.centroids(fitted), 0.8)
-    return assigned.select("id", F.when(F.col("distance") <= 0.8, F.col("label")).otherwise(clusters.NOISE).cast("int").alias("label"))
+@query()
+def density_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusterings of all vectors by least cluster size, ranked by density validity, NaN last."""
+    points = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    runs = list(density.sweep(spark, points, [5, 15, 30, 60], density.spanning_tree(points)))
+    rows = spark.createDataFrame([tuple(r.values()) for r in runs], "min_cluster_size int, n_clusters long, noise double, median_size double, dbcv double")
+    worth = F.when(~F.isnan("dbcv"), F.col("dbcv")).desc_nulls_last()
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(worth, "min_cluster_size")))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest chunks by cosine distance of each vector whose id is divisible by 50: by the inverted file, and exactly."""
+    index = nearest.build(nearest.unit(load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")))
+    asked = index.rows.where("id % 50 = 0").select("id", "v")
+    return nearest.search(index, asked, 10, nearest.tuned(index, 10)), nearest.search(index, asked, 10, len(index.centers))
 
 
 @query()
-def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density clusters of a bounded sample of the vectors, and every vector's label by the sample's frozen centroids."""
-    return _density_labels(spark, load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours from an inverted-file index; `neighbour_recall` measures them."""
+    found, _ = _neighbours(spark, sf_dir)
+    return found.select("query", "id", F.round(F.col("distance") ** 2 / 2, 6).alias("distance"), "rank")
+
+
+@query("""
+    with q as (select vec_id as query, embedding::double[] as qv from embeddings where vec_id % 50 = 0)
+    select query, vec_id as id, round(1 - list_cosine_similarity(qv, embedding::double[]), 6) as distance, cast(row_number() over (partition by query order by list_cosine_similarity(qv, embedding::double[]) desc, vec_id) as integer) as rank
+    from q, embeddings where embedding is not null qualify rank <= 10""")
+def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact leg: all cells are probed."""
+    _, exact = _neighbours(spark, sf_dir)
+    return exact.select("query", "id", F.round(F.col("distance") ** 2 / 2, 6).alias("distance"), "rank")
+
+
+@query("select cast(sum(least(10, (select count(*) from embeddings where embedding is not null))) as bigint) as wanted, true as enough from embeddings where vec_id % 50 = 0 and embedding is not null")
+def neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many neighbours there are to find, and whether the index finds nine in ten or more."""
+    return nearest.recall(*_neighbours(spark, sf_dir)).select("wanted", (F.col("hit") >= 0.9 * F.col("wanted")).alias("enough"))
 
 
 @query()
@@ -334,7 +364,11 @@ def principal_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *(F.round(F.abs(c), 6).alias(c) for c in ("p0", "p1")))
 
 
-@query()
+@query("""
+    with m as (select vec_id % 25 as thread, vec_id, embedding::double[] as v, row_number() over (partition by vec_id % 25 order by vec_id) as pos, count(*) over (partition by vec_id % 25) as n from embeddings where embedding is not null),
+    d as (select thread, pos, (case when pos = 1 then 1 else 0.3 end) * power(0.7::double, n - pos) as w, unnest(v) as x, generate_subscripts(v, 1) as i from m),
+    e as (select thread, list(s order by i) as ema, list(f order by i) as first from (select thread, i, sum(w * x) as s, max(x) filter (pos = 1) as f from d group by 1, 2) group by 1)
+    select thread, round(1 - list_cosine_similarity(ema, first), 6) as drift from e""")
 def moving_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential moving centroid of each thread and its distance to the first vector."""
     m = load(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("thread"), "vec_id", "embedding")

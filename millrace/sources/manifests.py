@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.rounds import written
+
 MANIFEST = "district string, doc_type string, title string, source_url string, local_path string, sha256 string, size_bytes long, content_type string, date date, meeting_id string, committee string, fetched_at timestamp"
 SNAPSHOT = "district string, title string, source_url string, fetched_at string, html string"
 DOC_TYPES = ["minutes", "transcript", "agenda", "policy", "handbook", "contract", "budget", "other"]
@@ -86,11 +88,19 @@ def sampled(rows: DataFrame, most: int, seed: int, key: str) -> DataFrame:
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, depth: int, most: int, host: str) -> DataFrame:
-    """Breadth-first frontier over known links (url, target) from seeds (url): each page with its depth, bound to a host, `most` pages at last."""
+    """Breadth-first frontier over known links (url, target) from seeds (url): each page with its depth, bound to a host.
+
+    Each round is written and reads the one before it. The walk stops at the depth, where nothing new is found, or with the round that reaches `most` pages, of which the first by url are taken."""
     inside = lambda c: F.regexp_extract(c, r"://([^/?#]*)", 1) == host
-    seen = seeds.select("url").distinct().where(inside(F.col("url"))).withColumn("depth", F.lit(0))
-    front = seen
+    front = written(seeds.select("url").distinct().where(inside(F.col("url"))).withColumn("depth", F.lit(0)), "frontier")
+    seen, n = front, front.count()
     for d in range(1, depth + 1):
-        front = front.join(edges, "url").select(F.col("target").alias("url")).distinct().where(inside(F.col("url"))).join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
+        if n >= most:
+            break
+        found = front.join(edges, "url").select(F.col("target").alias("url")).distinct().where(inside(F.col("url")))
+        front = written(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        more = front.count()
+        if not more:
+            break
+        seen, n = seen.unionByName(front), n + more
     return seen.orderBy("depth", "url").limit(most)

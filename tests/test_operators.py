@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import analytics, clusters, incremental, retrieval, series
+from millrace.operators import analytics, clusters, density, incremental, nearest, retrieval, series
 from millrace.plans import cluster_queries
+from millrace.sources import manifests
 
 
 def schedule(spark, rows):
@@ -120,8 +121,7 @@ def test_changes_and_merges(spark):
     assert sorted(map(tuple, incremental.replaced(old, new, ["id"]).collect())) == [(1, "a B"), (2, "z"), (3, "y")]
 
 
-def test_density_labels_cover_every_row(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(cluster_queries, "SAMPLE", 100)
+def test_density_labels_cover_every_row(spark, tmp_path):
     blobs = cluster_queries._blobs()
     rows = [(int(i), [float(v) for v in e]) for i, e in zip(blobs["id"], blobs["embedding"], strict=True)]
     spark.createDataFrame([*rows, (1000, None)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
@@ -143,3 +143,105 @@ def test_a_body_that_was_never_fetched_is_not_seen(spark):
 def test_map_export_in_blocks(spark):
     df = spark.createDataFrame([(i, i % 3) for i in (5, 0, 12, 7, 11)], "id long, label int")
     assert [tuple(r) for r in clusters.map_export(df, size=10).orderBy("block").collect()] == [(0, [0, 5, 7], [0, 2, 1]), (1, [11, 12], [2, 0])]
+
+
+def test_packed_requests_as_one_walk(spark):
+    """Against a single pass, with texts larger than a request and partitions smaller than one."""
+    rng = np.random.default_rng(5)
+    for most_inputs, most_tokens, high in ((7, 60, 30), (200, 1000, 90), (3, 20, 40)):
+        texts = [(i * 3, None if i % 17 == 0 else " " * (i % 3) if i % 11 == 0 else "x" * int(rng.integers(1, high))) for i in range(400)]
+        want, batch, inputs, tokens = {}, 0, 0, 0
+        for i, t in texts:
+            if t is None or not t.strip():
+                want[i] = None
+                continue
+            n = int(len(t) / 1.5) + 1
+            if inputs and (inputs >= most_inputs or tokens + n > most_tokens):
+                batch, inputs, tokens = batch + 1, 0, 0
+            inputs, tokens, want[i] = inputs + 1, tokens + n, batch
+        df = spark.createDataFrame(texts, "id long, text string").repartition(5)
+        assert {r.id: r.batch for r in incremental.packed(df, "id", most_inputs=most_inputs, most_tokens=most_tokens).collect()} == want
+
+
+def test_moving_centroid_by_fold(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(t), i, [float(x) for x in rng.normal(size=3)]) for i, t in enumerate([1] * 40 + [2] + [3] * 5)] + [(1, 100, None), (None, 101, [1.0, 2.0, 3.0])]
+    want = {}
+    for t, _, v in rows:
+        if t and v:
+            want[t] = np.array(v) if t not in want else 0.7 * want[t] + 0.3 * np.array(v)
+    got = {r.thread: r for r in series.moving_centroid(spark.createDataFrame(rows, "thread long, at long, v array<double>"), "thread", "at", "v").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[t].ema, want[t]) for t in want)
+    assert abs(got[2].drift) < 1e-12
+
+
+def test_crawl_stops_at_its_limit(spark):
+    edges = spark.createDataFrame([(f"http://h/{i}", f"http://h/{2 * i + k}") for i in range(64) for k in (1, 2)] + [("http://h/0", "http://other/1")], "url string, target string")
+    seeds = spark.createDataFrame([("http://h/0",), ("http://other/0",)], "url string")
+    walk = lambda depth, most: [(r.url, r.depth) for r in manifests.crawl(edges, seeds, depth, most, "h").collect()]
+    assert len(walk(3, 1000)) == 15 and max(d for _, d in walk(3, 1000)) == 3
+    assert walk(9, 4) == [("http://h/0", 0), ("http://h/1", 1), ("http://h/2", 1), ("http://h/3", 2)]
+
+
+def partition(labels):
+    groups = {}
+    for i, label in labels.items():
+        groups.setdefault(label, set()).add(i)
+    return sorted(sorted(g) for label, g in groups.items() if label != clusters.NOISE)
+
+
+def scattered(seed):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(rng.normal(0, 3, 4), rng.uniform(0.1, 1), (rng.integers(20, 60), 4)) for _ in range(5)] + [rng.uniform(-6, 6, (40, 4))])
+
+
+def test_density_clusters_equal_a_single_machine(spark, monkeypatch):
+    """With lists of all rows the tree is exact: the same clusters as the plain algorithm, in one batch and in many, and the tree's own validity."""
+    points = scattered(1)
+    n = len(points)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "id long, embedding array<double>")
+    tree = density.spanning_tree(df, 5, n, probes=n)
+    assert tree.edges.count() == n - 1
+    found = density.clusters(tree, 15)
+    labels = {r.id: r.label for r in density.labelled(df, found).collect()}
+    assert partition(labels) == partition(dict(enumerate(clusters.hdbscan(points, 15, 5).tolist())))
+    monkeypatch.setattr(density, "BATCH", 60)
+    assert partition({r.id: r.label for r in density.clusters(tree, 15).collect()}) == partition(labels)
+    assert density.clusters(tree, 200).count() == 0
+    # Relative validity by its definition
+    edges = [tuple(r) for r in tree.edges.collect()]
+    heaviest, score = max(w for *_, w in edges), 0.0
+    for c in set(labels.values()) - {clusters.NOISE}:
+        sparse = max([w for a, b, w in edges if labels[a] == labels[b] == c], default=0.0)
+        apart = min([w for a, b, w in edges if (labels[a] == c) != (labels[b] == c) and clusters.NOISE not in (labels[a], labels[b])], default=2 * heaviest)
+        score += sum(v == c for v in labels.values()) * (apart - sparse) / max(apart, sparse) / n
+    assert abs(density.validity(tree, found).first().dbcv - score) < 1e-9
+    assert np.isnan(density.validity(tree, density.clusters(tree, 200)).first().dbcv)
+
+
+def test_density_clusters_join_what_the_lists_leave_apart(spark):
+    """Short lists leave components; they find each other by more and more probes."""
+    blobs = cluster_queries._blobs()
+    df = spark.createDataFrame([(int(i), [float(v) for v in e]) for i, e in zip(blobs["id"], blobs["embedding"], strict=True)], "id long, embedding array<double>")
+    tree = density.spanning_tree(df, 3, 3, probes=1, cells=6)
+    assert tree.edges.count() == 139
+    assert len(partition({r.id: r.label for r in density.clusters(tree, 15).collect()})) == 3
+
+
+def test_inverted_file(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 40)
+    points = scattered(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)] + [(900, None), (901, [1.0])]
+    index = nearest.build(spark.createDataFrame(rows, "id long, embedding array<double>"), cells=9)
+    assert index.n == len(points) and len(index.centers) == 9
+    asked = index.rows.where("id % 10 = 0").select("id", "v")
+    exact = {}
+    for r in nearest.search(index, asked, 5, 9, others_only=True).collect():
+        exact.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    for q, found in exact.items():
+        d = ((points - points[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert [i for _, i in sorted(found)] == np.argsort(d, kind="stable")[:5].tolist()
+    few = nearest.recall(nearest.search(index, asked, 5, 3), nearest.search(index, asked, 5, 9)).first()
+    assert few.wanted == 5 * len(exact) and 0.5 * few.wanted < few.hit <= few.wanted
+    assert 1 <= nearest.tuned(index, 5) <= 9 and nearest.build(spark.createDataFrame(rows[-2:-1], "id long, embedding array<double>")) is None
