@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import clusters, density, nearest, series
-from millrace.plans.models import MEMBERS_SQL, members
+from millrace.operators import clusters, continuity, density, nearest, series
+from millrace.plans.models import HITS_SQL, MEMBERS_SQL, hits, members, query_vector
 from millrace.plans.registry import load, query
 
 WEEK = "cast(date_trunc('week', day) as date)"
@@ -373,3 +373,31 @@ def moving_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential moving centroid of each thread and its distance to the first vector."""
     m = load(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("thread"), "vec_id", "embedding")
     return series.moving_centroid(m, "thread", "vec_id", "embedding").select("thread", F.round("drift", 6).alias("drift"))
+
+
+@query(f"""
+    with m as (select label, i, avg(x) as x from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from embeddings where embedding is not null) group by 1, 2),
+    c as (select label, list(x order by i) as c from m group by 1), q as (select embedding::double[] as q from embeddings where vec_id = 0),
+    h as (select label, count(*) as hits from embeddings join ({HITS_SQL}) on doc_id = vec_id group by 1),
+    s as (select label, round(list_cosine_similarity(c, q), 9) as similarity, coalesce(hits, 0) as hits from c cross join q left join h using (label)),
+    r as (select *, round(0.7 * greatest(similarity, 0) + 0.3 * coalesce(ln(1 + hits) / nullif(ln(1 + max(hits) over ()), 0), 0), 9) as score from s)
+    select label, round(similarity, 6) as similarity, cast(hits as bigint) as hits, round(score, 6) as score, cast(row_number() over (order by score desc, label) as integer) as rank,
+           round(score - lead(score) over (order by score desc, label), 6) as margin, first_value(score) over (order by score desc, label) < 0.5 as weak
+    from r qualify row_number() over (order by score desc, label) <= 8""")
+def question_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics for a question: centroids and full-text hits, blended."""
+    e = load(spark, sf_dir, "embeddings").where("embedding is not null")
+    centers = clusters.centroids(e.select("label", "embedding"))
+    found = e.select(F.col("vec_id").alias("chunk_id"), "label").join(hits(spark, sf_dir), "chunk_id").groupBy("label").agg(F.count(F.lit(1)).alias("hits"))
+    out = continuity.question_clusters(centers, query_vector(spark, sf_dir), found)
+    return out.withColumns({c: F.round(c, 6) for c in ("similarity", "score", "margin")})
+
+
+@query()
+def cluster_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of one half of the vectors matched to those of the other half, a label of which falls into two and two of which are one."""
+    e = load(spark, sf_dir, "embeddings").where("embedding is not null")
+    old = clusters.centroids(e.where("vec_id % 2 = 0").select("label", "embedding"))
+    fresh = F.when((F.col("label") == 3) & (F.col("vec_id") % 4 == 1), 100).when(F.col("label") == 5, 4).otherwise(F.col("label"))
+    new = clusters.centroids(e.where("vec_id % 2 = 1").select(fresh.cast("int").alias("label"), "embedding"))
+    return continuity.continuity(old, new, 0.5).withColumn("similarity", F.round("similarity", 6))
