@@ -16,6 +16,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import let
+
 #: The rules of the contract as (verdict, host, path).
 RULES = [
     ("block", "com", "/en/"),
@@ -33,6 +35,12 @@ BLOCKED = [
     "http://win-prizes.example.org/claim?id=3", "https://fast-loans.example.net/apply-now", "http://replica-watches.example.com/sale",
     "https://blog.spam-farm.example.net/de/72", "https://m.cheap-pills.example.org/fr/8", "http://spam-links.example.com/es/33",
     "https://discount-pills.example.net/en/17", "http://poker-casino.example.org/es/4", "https://link-farm.example.net/fr/61",
+    "http://ads-click.example.org/banner/3", "https://ad-track.example.net/pixel?id=9", "http://tracker-ads.example.com/px/22",
+    "https://ads-server.example.org/en/4", "http://ads-popunder.example.net/de/31", "https://m.ad-tracking.example.com/fr/6",
+    "https://adult-chat.example.com/en/17", "http://adult-dating.example.net/fr/90", "https://www.adult-movies.example.org/es/5",
+    "http://blog.adult-video.example.com/de/40", "https://casino-royal.example.net/de/77", "http://www.online-casino.example.com/fr/12",
+    "http://casino-slots.example.org/en/3", "https://win-jackpot.example.net/es/8", "http://m.spam-mail.example.org/de/5",
+    "https://pills-shop.example.com/es/41", "http://generic-pills.example.net/de/2", "https://www.spam-seo.example.com/en/610",
 ]
 ALLOWED = [
     "https://thther.example.org/en/762", "http://www.ththan.example.net/en/960", "https://blog.thertion.example.org/fr/978",
@@ -41,6 +49,12 @@ ALLOWED = [
     "https://blog.garden.example.com/en/roses", "http://recipes.example.net/fr/soupe", "https://museum.example.org/es/12",
     "https://wiki.example.net/en/Rivers", "http://www.weather.example.com/de/berlin", "https://m.tionsh.example.net/fr/51",
     "https://theatre.example.org/en/season/3", "http://ththble.example.net/es/797", "https://school.example.com/fr/9",
+    "http://address-book.example.com/en/14", "https://adventure.example.net/fr/8", "http://www.winter-sports.example.org/de/3",
+    "https://window-shop.example.com/es/70", "http://farmers.example.org/en/55", "https://tracks.example.net/de/music/4",
+    "http://www.academy.example.com/fr/61", "https://m.roads.example.org/en/2", "http://adults-education.example.net/en/course/7",
+    "https://casper.example.com/de/19", "http://mail.example.org/es/inbox", "https://blog.spark.example.net/en/808",
+    "http://www.therith.example.com/fr/33", "https://therest.example.org/es/417", "http://m.ionther.example.net/en/91",
+    "https://heron.example.com/de/608", "http://blog.andthe.example.org/en/5", "https://hats.example.net/fr/72",
 ]
 
 
@@ -58,10 +72,13 @@ def ngrams(host: Column, path: Column, n: int, buckets: int) -> Column:
     """Buckets of the character n-grams of `^host/path$`, separately for host and path."""
 
     def of(part: Column, salt: int) -> Column:
-        padded = F.concat(F.lit("^"), part, F.lit("$"))
-        count = F.char_length(padded) - (n - 1)
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-        hashed = F.transform(grams, lambda g: F.pmod(F.xxhash64(g, F.lit(salt)), F.lit(buckets)).cast("int"))
+        def grams(chars: Column) -> Column:
+            """Each n characters in a row, or all of fewer; the text is cut once, so a long one costs in proportion to its length."""
+            gram = lambda i: F.concat_ws("", *(F.get(chars, i + k) for k in range(n)))
+            return F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), gram)
+
+        padded = F.split(F.concat(F.lit("^"), part, F.lit("$")), "", -1)
+        hashed = F.transform(let(F.filter(padded, lambda c: c != ""), grams), lambda g: F.pmod(F.xxhash64(g, F.lit(salt)), F.lit(buckets)).cast("int"))
         return F.when(F.char_length(part) > 0, hashed).otherwise(F.array().cast("array<int>"))
 
     return F.concat(of(host, 1), of(path, 2))

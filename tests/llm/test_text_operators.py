@@ -469,3 +469,24 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+
+
+def test_unseen_hosts_are_judged_by_their_names(spark):
+    """Hosts that the labelled table doesn't hold."""
+    bad = ["adult-x", "ads-track", "casino-win", "spam-offers", "pills-now", "free-casino-spins", "adult-pics", "track-ads", "cheap-pills-online", "spam-news"]
+    good = ["garden-tools", "river-news", "history-of-art", "tables", "trackside-cafe", "mountain-hats", "therapy", "physics-notes", "wind-farm-guide", "adelaide-school"]
+    pages = spark.createDataFrame([(f"https://{h}.example.{d}/fr/{i}",) for i, h in enumerate(bad + good) for d in ("org", "com")], "url string")
+    verdicts = {r.host.split(".")[0]: r.verdict for r in url_filter.url_filter(pages, rules=[]).select("host", "verdict").collect()}
+    assert not {h for h in bad + good if url_filter_listed(h)}
+    assert sum(verdicts[h] == "block" for h in bad) >= 9 and sum(verdicts[h] == "allow" for h in good) >= 9
+
+
+def url_filter_listed(name):
+    return any(f"/{name}." in u or f".{name}." in u for u in url_filter.BLOCKED + url_filter.ALLOWED)
+
+
+def test_a_megabyte_url_in_seconds(spark):
+    began = time.time()
+    rows = spark.createDataFrame([("http://host/" + "ab/c" * 250_000,), ("x",)], "url string")
+    assert url_filter.url_filter(rows).select("verdict").count() == 2 and [r.n for r in rows.select(F.size(url_filter.ngrams(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), 4, 4096)).alias("n")).collect()] == [3 + 1_000_000, 0]
+    assert time.time() - began < 60
