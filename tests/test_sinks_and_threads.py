@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from millrace.operators import continuity, threads
@@ -97,7 +96,7 @@ def test_a_long_chain_of_merges_has_no_cycle(spark):
 
 
 def test_shapes(spark):
-    rows = [(1, 5, 1, 1, 0.9, 0.0, 0.0), (2, 50, 10, 10, 9.0, 0.1, 0.1), (3, 50, 5, 10, 1.0, 0.9, 0.9), (4, 50, 5, 10, 1.1, 0.8, 0.05), (5, 50, 10, 10, 0.5, 0.05, 0.2), (6, 50, 2, 10, 1.05, 0.06, 0.3)]
+    rows = [(1, 5, 1, 1, 5.0, 0.0, 0.0), (2, 50, 10, 10, 9.0, 0.1, 0.1), (3, 50, 5, 10, 1.0, 0.9, 0.9), (4, 50, 5, 10, 1.1, 0.8, 0.05), (5, 50, 10, 10, 0.5, 0.05, 0.2), (6, 50, 2, 10, 1.05, 0.06, 0.3)]
     df = spark.createDataFrame(rows, "label int, n int, weeks int, span_weeks int, burstiness double, drift double, directionality double")
     assert {r.label: r["shape"] for r in continuity.shape_tags(df).collect()} == {1: "brief mention", 2: "spike and decay", 3: "directional", 4: "churn", 5: "heartbeat", 6: "topical thread"}
 
