@@ -10,8 +10,8 @@ whole texts, as 64-bit hashes.
 No list is expanded into all its pairs. Each is held against its pivot, the member that meets most others. Jaccard
 distance is a metric, so a member that links with the pivot and one that doesn't can link only if their distances to the
 pivot differ by no more than the threshold's: those few pairs are checked unless they are in one component already, and
-the members that link are done with. The others make a shorter list with a pivot of its own, until no more pairs are left
-than there are postings. Two linked sets first meet at a place in both prefixes that leaves room for their overlap; at
+the members that link are done with. The others make a shorter list with pivots of its own, four times as many each round (up
+to PIVOTS), until no more pairs are left than there are postings: rounds grow with the logarithm of the longest list. Two linked sets first meet at a place in both prefixes that leaves room for their overlap; at
 other places a pair is left to that list.
 
 The result has one row a document with its class (component_id, the smallest doc_id reachable by links) and n_shingles.
@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import bloom
@@ -43,6 +43,7 @@ from millrace.llm.components import components
 SKETCH_MAX, SKETCH_BLOCK = 1 << 26, 1 << 14  # counters of the n-gram frequency sketch at most, and counters a block
 SMALL = 64  # sizes for which enumeration is considered
 SETS = "doc_id long, n int, key binary, tokens array<long>, subsets array<long>"
+PIVOTS = 1024  # pivots of a list in one round, at most
 SHARE = 2048  # rows of a list that one task pairs with the rest of it
 CHECK = 20  # cost of checking a candidate, which reads two texts, in postings
 
@@ -223,11 +224,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFram
     return out
 
 
-def _stars(rows: DataFrame, key: str, order: list) -> DataFrame:
-    """(u, v): the pivot of each key, first by `order`, with each other member of partner size."""
-    pivots = rows.groupBy(key).agg(F.min(F.struct(*order, F.col("n").alias("pn"), F.col("id").alias("u"))).alias("p"), F.count(F.lit(1)).alias("members"))
-    pivots = materialize(pivots.where("members > 1").select(key, "members", F.col("p.pn").alias("pn"), F.col("p.u").alias("u")), "pivots")
-    return lookup(rows, key, pivots, max(1, rows.count())).where("u is not null and u <> id")
+def _stars(rows: DataFrame, key: str, order: list, most: int = 1) -> DataFrame:
+    """(u, v): pivots of each key, the first `most` by `order`, with each other member. `pivot` tells members that are pivots themselves; a pair of them stands once."""
+    first = F.struct(*order, F.col("n").alias("pn"), F.col("id").alias("u"))
+    if most == 1:
+        pivots = rows.groupBy(key).agg(F.array(F.min(first)).alias("p"), F.count(F.lit(1)).alias("members"))
+    else:
+        ahead = rows.select(key, first.alias("x")).withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("x"))).where(F.col("at") <= most)
+        pivots = ahead.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("p")).join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")), key)  # `most` at most
+    pivots = materialize(pivots.where("members > 1").select(key, "members", F.transform("p", lambda x: F.struct(x["pn"].alias("pn"), x["u"].alias("u"))).alias("p")), "pivots")
+    met = lookup(rows, key, pivots, max(1, rows.count())).where("members is not null").withColumn("pivot", F.exists("p", lambda x: x["u"] == F.col("id")))
+    met = met.withColumn("p", F.explode("p")).select(*(c for c in met.columns if c != "p"), F.col("p.pn").alias("pn"), F.col("p.u").alias("u"))
+    return met.where("u <> id and (not pivot or u < id)")
 
 
 def _fits(rule: Rule, a: str, b: str):
@@ -240,11 +248,11 @@ def _meets(rule: Rule):
     return _fits(rule, "n", "pn") & (F.col("pos") <= F.col("n") - overlap) & (F.col("ppos") <= F.col("pn") - overlap)
 
 
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on token of rows with `members`, the rows a token has in all. The lists of one with many are dealt to several tasks: each row of the left to one, those of the right to all."""
+def _met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Join on token, and further keys, of rows with `members`, the rows a token has in all. The lists of one with many are dealt to several tasks: each row of the left to one, those of the right to all."""
     parts = F.ceil(F.col("members") / SHARE).cast("int")
     left = left.withColumn("share", F.pmod(F.xxhash64("u"), parts).cast("int")).drop("members")
-    return left.join(right.withColumn("share", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members"), ["token", "share"])
+    return left.join(right.withColumn("share", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members"), ["token", "share", *keys])
 
 
 def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
@@ -272,15 +280,15 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     lists = ranked
 
     order, most = [(-F.col("degree")).alias("d")], 1 - rule.percent / 100 + 1e-9
-    links = None
+    links, pivots = None, 1
     while True:
-        stars = materialize(_stars(lists, "token", order), "stars")
+        stars = materialize(_stars(lists, "token", order, pivots), "stars")
         pairs = stars.where(_fits(rule, "n", "pn")).select("u", F.col("id").alias("v"))
         seen = _verified(pairs if links is not None else pairs.unionByName(light_stars), docs, rule, n)
         linked = seen.where("linked").select("u", "v")
         links = materialize(linked if links is None else links.unionByName(linked), "links")
-        # Lists of three or more go on. A pair too unlike in size was not compared: its distance is at least that of the sizes.
-        rows = stars.where("members > 2").join(seen.select("u", F.col("v").alias("id"), "d", "linked"), ["u", "id"], "left")
+        # Lists of three or more go on. A pair too unlike in size was not compared: its distance is at least that of the sizes. Pivots are done with: they have met all members.
+        rows = stars.where("members > 2 and not pivot").join(seen.select("u", F.col("v").alias("id"), "d", "linked"), ["u", "id"], "left")
         apart = 1 - F.least("n", "pn") / F.greatest("n", "pn")
         rows = materialize(rows.select("token", "members", "id", "n", "pos", "degree", "u", F.coalesce("d", apart).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked")), "compared")
         border = rows.where(~F.col("linked") & (F.col("d") <= 2 * most))
@@ -289,10 +297,15 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
         if labels is not None:
             name = labels.select("u", F.col("v").alias("label"))
             border = border.join(name.withColumnRenamed("u", "id").withColumnRenamed("label", "mine"), "id", "left").join(name, "u", "left")
-            border = materialize(border.where(F.coalesce("mine", "id") != F.coalesce("label", "u")).select("token", "members", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("dx")), "border")
-            near = rows.where("linked").select("token", "members", F.col("id").alias("v"), "n", "pos", "d")
-            close = _met(border, near).where((F.col("d") >= F.col("dx") - most) & _meets(rule)).select("u", "v")
-        far = rows.where("not linked")
+            border = materialize(border.where(F.coalesce("mine", "id") != F.coalesce("label", "u")).select("token", "members", F.col("u").alias("star"), F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("d").alias("dx")), "border")
+            near = rows.where("linked").select("token", "members", F.col("u").alias("star"), F.col("id").alias("v"), "n", "pos", "d")
+            if pivots > 1:  # a member is held against the border of its nearest pivot
+                near = near.groupBy("token", "v").agg(F.min(F.struct("d", "star", "members", "n", "pos")).alias("x")).select("token", "v", "x.*")
+            close = _met(border, near, "star").where((F.col("d") >= F.col("dx") - most) & _meets(rule)).select("u", "v")
+        if pivots > 1:
+            far = rows.groupBy("token", "id").agg(F.max("linked").alias("linked"), *(F.first(c).alias(c) for c in ("n", "pos", "degree"))).where("not linked")
+        else:
+            far = rows.where("not linked")
         left = materialize(far.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "left")
         postings, few = left.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum(F.col("members") * (F.col("members") - 1) / 2), F.lit(0.0))).first()
         lists = materialize(lookup(far.select("token", "id", "n", "pos", "degree"), "token", left, max(1, rows.count())).where("members is not null"), "far")
@@ -301,7 +314,7 @@ def _links(sets: DataFrame, docs: DataFrame, rule: Rule, n: int) -> DataFrame:
             break
         if close is not None:
             links = materialize(links.unionByName(_verified(close, docs, rule, n).where("linked").select("u", "v")), "links")
-        lists = lists.drop("members")
+        lists, pivots = lists.drop("members"), min(4 * pivots, PIVOTS)
     rest = _met(lists.select("token", "members", F.col("id").alias("u"), F.col("n").alias("pn"), F.col("pos").alias("ppos")), lists.select("token", "members", F.col("id").alias("v"), "n", "pos"))
     rest = rest.where("u < v").where(_meets(rule)).select("u", "v")
     last = _verified(rest if close is None else rest.unionByName(close), docs, rule, n)

@@ -175,3 +175,30 @@ def test_a_light_boundary_is_used(spark):
     sets = ngram_join._sets(df, ngram_join.Rule(90), 3).collect()
     assert any(r.subsets for r in sets)
     assert sorted((tuple(r) for r in ngram_join.classes(df, percent=90).collect()), key=str) == brute_classes(rows, 90, 3)
+
+
+def test_templated_texts_end_in_few_rounds(spark, monkeypatch):
+    """Texts of eight out of twelve sentences in random order: lists are long and few pairs link."""
+    rng = random.Random(4)
+    sentences = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(10)) for _ in range(12)]
+    docs = [(i, " ".join(rng.sample(sentences, 8))) for i in range(500)] + [(1000 + i, " ".join(sentences[:8])) for i in range(3)]
+    rounds, stars = [], ngram_join._stars
+    monkeypatch.setattr(ngram_join, "_stars", lambda *a: rounds.append(a) or stars(*a))
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string"), percent=60, n=5).collect()}
+    sets = {i: set(ngram_join.shingles(t, 5).tolist()) for i, t in docs}
+    least = {i: i for i in sets}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 60 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    assert got == {i: root(i) for i in ids} and len(set(got.values())) < len(ids) - 3
+    assert 3 <= len(rounds) <= 8
