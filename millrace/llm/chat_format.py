@@ -71,8 +71,22 @@ def joined(segments: DataFrame) -> DataFrame:
     return df.select("pair_id", text(F.col("prompt")).alias("prompt"), *(text(F.col(n)).alias(n) for n in ("chosen", "rejected")), *(spans(n).alias(f"{n}_train") for n in ("chosen", "rejected")))
 
 
+def answered_twice(turns: DataFrame) -> DataFrame:
+    """Preference pairs from plain conversations (conv_id, turn, role, text): each is chosen; rejected is the same conversation up to its last assistant turn, answered as its neighbour (conv_id with the last bit turned) last answered. pair_id is conv_id.
+
+    Both sides share all turns before that answer. A conversation without an assistant turn is common to both sides; one whose neighbour has no answer has an empty rejected completion."""
+    rows = turns.where("conv_id is not null").select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text")))
+    lasts = materialize(rows.groupBy("conv_id").agg(last.alias("last"), F.count(F.lit(1)).alias("members")), "lasts")
+    other = lasts.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
+    lasts = materialize(lasts.join(other, "conv_id", "left").select("conv_id", "members", F.col("last.turn").alias("last_turn"), "other"), "answers")
+    total = lasts.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    before = lookup(rows, "conv_id", lasts, total).where("last_turn is null or turn < last_turn")
+    answer = lasts.where("last_turn is not null and other is not null").select("conv_id", F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    side = lambda df, name: df.select(F.col("conv_id").alias("pair_id"), F.lit(name).alias("side"), "turn", "role", "text")
+    return side(rows, "chosen").unionByName(side(before, "rejected")).unionByName(side(answer, "rejected"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table names no preferences, so conversations 2k and 2k+1 make pair k: the even one is chosen."""
-    turns = table(spark, sf_dir, "conversations")
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return preference_segments(turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    """The table names no preferences, so pairs are made of its conversations by `answered_twice`."""
+    return preference_segments(answered_twice(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))

@@ -34,10 +34,13 @@ QUERIES = {
 
 ORACLES = {
     "op7_chat_format": r"""
-        with r as (
-            select cast(floor(conv_id / 2.0) as bigint) as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side,
-                   coalesce(turn, -1) as turn, coalesce(role, 'user') as role, coalesce(text, '') as text
-            from conversations where conv_id is not null),
+        with t as (select conv_id, coalesce(turn, -1) as turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        l as (select conv_id, max(struct_pack(turn := turn, text := text)) filter (role = 'assistant') as last from t group by 1),
+        k as (select a.conv_id, a.last.turn as last_turn, b.last.text as other from l a left join l b on b.conv_id = xor(a.conv_id, 1)),
+        r as (
+            select conv_id as pair_id, 'chosen' as side, turn, role, text from t
+            union all select t.conv_id, 'rejected', turn, role, text from t join k using (conv_id) where last_turn is null or turn < last_turn
+            union all select conv_id, 'rejected', last_turn, 'assistant', other from k where last_turn is not null and other is not null),
         e as (
             select pair_id, turn,
                    coalesce(list_sort(list(role || chr(1) || text) filter (side = 'chosen')), [])

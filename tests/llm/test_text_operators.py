@@ -353,6 +353,17 @@ def test_preference_of_awkward_turns(spark):
     assert chat_format.preference_segments(turns(spark, [])).count() == 0
 
 
+def test_conversations_answered_twice(spark):
+    rows = [(4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (4, 3, "assistant", "d"), (4, 4, "user", "e"), (5, 0, "user", "f"), (5, 1, "assistant", "g" * 50_000), (6, 0, "user", "h"), (7, 0, "assistant", "i"), (8, 0, "assistant", "j"), (None, 0, "user", "k"), (9, None, None, None)]
+    pairs = chat_format.answered_twice(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.pair_id, r.segment, r.turn): r.rendered[r.train_start : r.train_stop] for r in chat_format.preference_segments(pairs).collect()}
+    end, long = "\n<|end|>\n", "g" * 50_000
+    assert got == {
+        (4, "prompt", 0): "", (4, "prompt", 1): "", (4, "prompt", 2): "", (4, "chosen", 3): "d" + end, (4, "chosen", 4): "", (4, "rejected", 3): long + end,
+        (5, "prompt", 0): "", (5, "chosen", 1): long + end, (5, "rejected", 1): "d" + end, (6, "prompt", 0): "", (7, "chosen", 0): "i" + end, (8, "chosen", 0): "j" + end, (9, "prompt", -1): "",
+    }
+
+
 def expected(url):
     """Host, path and rule by the words of the contract."""
     rest = (url or "").split("://", 1)
