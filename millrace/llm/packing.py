@@ -1,6 +1,7 @@
 """Best-fit packing with swap-based local search.
 
-Pieces of at most `capacity` tokens are dealt into groups by a hash. In each group best-fit decreasing gives the first
+A piece of `capacity` tokens is a sequence of its own. The others are dealt into groups by a hash, as many as their number
+asks for. In each group best-fit decreasing gives the first
 bins; then the emptiest bin is taken apart: its pieces move to bins with room, or one piece or any two are exchanged
 against a smaller one of another bin. Every step increases the sum of squared fill. The search ends when the bins meet
 the lower bound or no bin has a step left. The emptiest bin of each group then meets those of other groups in a second
@@ -29,7 +30,7 @@ from millrace.llm.common import materialize, small_batches, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-GROUP = 16_384  # documents a group, about
+GROUP = 16_384  # pieces a group, in the mean
 MEET = 256  # groups whose emptiest bins meet
 
 
@@ -200,9 +201,11 @@ def pack(lengths: np.ndarray, capacity: int, steps: int | None = None) -> np.nda
     return np.unique(bin_of, return_inverse=True)[1].reshape(-1)
 
 
-def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int | None = None) -> DataFrame:
-    """pieces (a table that is written, as the row's place in it helps to deal it) with sequence_id and offset. n_docs sets the number of groups."""
-    groups = max(1, -(-n_docs // GROUP))
+def pack_pieces(pieces: DataFrame, n_pieces: int, capacity: int = 4096, steps: int | None = None) -> DataFrame:
+    """pieces (a table that is written, as the row's place in it helps to deal it) with sequence_id and offset. n_pieces, of those that aren't full, sets the number of groups; sequence_id of full ones is negative."""
+    groups = max(1, -(-n_pieces // GROUP))
+    place = F.monotonically_increasing_id()
+    full = pieces.withColumns({"sequence_id": -1 - place, "offset": F.lit(0).cast("long")}).where(F.col("length") >= capacity)
 
     def run(level: int):
         def packed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,14 +228,14 @@ def pack_pieces(pieces: DataFrame, n_docs: int, capacity: int = 4096, steps: int
 
     schema = PIECES + ", grp long, sequence_id long, offset long, loose boolean"
     # With the row's place rows that are the same in all columns spread over the groups, too.
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", place), F.lit(groups))).where(F.col("length") < capacity)
     first = grouped.groupBy("grp").applyInPandas(run(0), schema)
     if groups == 1:
-        return first.drop("grp", "loose")
+        return full.unionByName(first.drop("grp", "loose"))
     first = materialize(first, "packed")
     loose = first.where("loose").select(*(c.split()[0] for c in PIECES.split(", ")), (F.col("grp") / MEET).cast("long").alias("grp"))
     second = loose.groupBy("grp").applyInPandas(run(1), schema)
-    return first.where("not loose").unionByName(second).drop("grp", "loose")
+    return full.unionByName(first.where("not loose").unionByName(second).drop("grp", "loose"))
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -261,7 +264,7 @@ def plan(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) ->
     """The packing of docs: a row a piece, with its place and the checksum of its ids."""
     with small_batches(docs.sparkSession):
         pieces = materialize(cut(docs, tokenizer, end_id, capacity, with_ids=False), "pieces")
-    return pack_pieces(pieces, docs.count(), capacity)
+    return pack_pieces(pieces, pieces.where(F.col("length") < capacity).count(), capacity)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
