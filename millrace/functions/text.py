@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -30,7 +31,7 @@ SPANISH = (
     "matemáticas ciencias seguridad edificios votación papeleta comunidad familias maestros programa servicios reflejan mantener excelencia"
 ).split()
 CONTROLS = r"[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff\x00-\x08\x0b\x0c\x0e-\x1f]"
-DATA_TOKEN = r"^[($]?-?[\d,]+(?:\.\d+)*\)?%?$"
+CLEAN_NUMBER = r"(?<!\S)[($]?-?[\d,]+(?:\.\d+)*\)?%?(?!\S)"
 MONEY = r"\$\s?\d"
 WORD_EDGES, TOKEN_EDGES = ".,;:!?\"'()-", ".,;:!?\"'()[]{}*/&%$#=+–—•"
 CONTENT, AD, LEGAL_NOTICE, BAD_OCR = 0, 1, 2, 3
@@ -82,9 +83,20 @@ def _known(word_list: list[str]) -> Column:
     return F.lit(sorted(set(word_list)))
 
 
-def _share_known(tokens: Column, word_list: list[str], edges: str) -> Column:
-    bare = F.transform(tokens, lambda w: F.btrim(F.lower(w), F.lit(edges)))
-    return F.try_divide(F.size(F.filter(bare, lambda w: w.isin(word_list))), F.size(tokens))
+def known_words(text: Column, word_list: list[str], edges: str) -> Column:
+    """How many tokens are words of the list, in lower case and without the edge characters around them. The text is cleared as a whole and cut once."""
+    edge = "[" + re.sub(r"([\[\]\\^&-])", r"\\\1", edges) + "]"
+    bare = F.regexp_replace(F.lower(text), rf"(?<!\S){edge}++|(?<!{edge}){edge}++(?!\S)", "")
+    return F.size(F.filter(F.split(bare, r"\s+"), lambda w: w.isin(word_list)))
+
+
+def token_count(text: Column) -> Column:
+    """As many as `words` has."""
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def token_characters(text: Column) -> Column:
+    return F.char_length(F.regexp_replace(text, r"\s+", ""))
 
 
 def letters(text: Column) -> Column:
@@ -94,17 +106,14 @@ def letters(text: Column) -> Column:
 def with_quality(df: DataFrame, text: str = "text", word_list: list[str] = ENGLISH) -> DataFrame:
     """df with non_alpha_ratio, avg_word_len, dict_word_ratio, word_count and quality_score; a blank text has 1, 0, 0, 0."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__tokens", words(t))
-    tokens = F.col("__tokens")
-    n, bare = F.size(tokens), F.regexp_replace(t, r"[ \t\n]", "")
-    chars = F.aggregate(tokens, F.lit(0), lambda s, w: s + F.char_length(w))
+    df = df.withColumns({"word_count": token_count(t), "__chars": token_characters(t), "__known": known_words(t, word_list, WORD_EDGES), "__letters": letters(t), "__bare": F.char_length(F.regexp_replace(t, r"[ \t\n]", ""))})
+    n, bare = F.col("word_count"), F.col("__bare")
     df = df.withColumns({
-        "word_count": n,
-        "non_alpha_ratio": F.when((n > 0) & (F.char_length(bare) > 0), 1 - F.try_divide(letters(t), F.char_length(bare))).otherwise(1.0),
-        "avg_word_len": F.when(n > 0, F.try_divide(chars, n)).otherwise(0.0),
-        "dict_word_ratio": F.when(n > 0, _share_known(tokens, word_list, WORD_EDGES)).otherwise(0.0),
+        "non_alpha_ratio": F.when((n > 0) & (bare > 0), 1 - F.try_divide("__letters", bare)).otherwise(1.0),
+        "avg_word_len": F.when(n > 0, F.try_divide("__chars", n)).otherwise(0.0),
+        "dict_word_ratio": F.when(n > 0, F.try_divide("__known", n)).otherwise(0.0),
     })
-    return df.withColumn("quality_score", composite()).drop("__tokens")
+    return df.withColumn("quality_score", composite()).drop("__chars", "__known", "__letters", "__bare")
 
 
 def weak() -> Column:
@@ -128,25 +137,37 @@ def with_verdict(df: DataFrame, old_reason: str | None = None) -> DataFrame:
     return df.withColumns({"status": status, "reason": reason})
 
 
-def content_class(text: Column, word_list: list[str] = ENGLISH) -> Column:
-    """0 content, 1 ad, 2 legal, 3 bad OCR; the first that holds of bad OCR, legal, ad."""
-    t = F.coalesce(text, F.lit(""))
-    tokens = words(t)
-    n = F.size(tokens)
+def _class(t: Column, n: Column, chars: Column, known: Column) -> Column:
     bare = F.char_length(F.replace(t, F.lit(" "), F.lit("")))
-    mean = F.try_divide(F.aggregate(tokens, F.lit(0), lambda s, w: s + F.char_length(w)), n)
-    bad = (n == 0) | ((n >= 5) & ((F.try_divide(letters(t), bare) < 0.6) | (mean < 2) | (mean > 15) | (_share_known(tokens, word_list, WORD_EDGES) < 0.3)))
+    mean, share = F.try_divide(chars, n), F.try_divide(known, n)
+    bad = (n == 0) | ((n >= 5) & ((F.try_divide(letters(t), bare) < 0.6) | (mean < 2) | (mean > 15) | (share < 0.3)))
     ad = ((n < 80) & t.rlike(PRICE)) | t.rlike(AD_KEYWORDS)
     return F.when(bad, BAD_OCR).when(F.regexp_count(t, F.lit(LEGAL)) >= 2, LEGAL_NOTICE).when(ad, AD).otherwise(CONTENT)
 
 
+def content_class(text: Column, word_list: list[str] = ENGLISH) -> Column:
+    """0 content, 1 ad, 2 legal, 3 bad OCR; the first that holds of bad OCR, legal, ad."""
+    t = F.coalesce(text, F.lit(""))
+    return _class(t, token_count(t), token_characters(t), known_words(t, word_list, WORD_EDGES))
+
+
+def with_content_class(df: DataFrame, text: str = "text", out: str = "class", word_list: list[str] = ENGLISH) -> DataFrame:
+    """df with `content_class`; what several conditions ask for is a column and computed once."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"__n": token_count(t), "__chars": token_characters(t), "__known": known_words(t, word_list, WORD_EDGES)})
+    return df.withColumn(out, _class(t, F.col("__n"), F.col("__chars"), F.col("__known"))).drop("__n", "__chars", "__known")
+
+
+def _meaningful(t: Column, n: Column, word_list: list[str] | None) -> Column:
+    known = sorted({w for w in (word_list if word_list is not None else ENGLISH + SPANISH) if len(w) >= 2})
+    good = known_words(t, known, TOKEN_EDGES) + F.regexp_count(t, F.lit(CLEAN_NUMBER))
+    return F.when(n >= 5, F.try_divide(good, n))
+
+
 def meaningful_fraction(text: Column, word_list: list[str] | None = None) -> Column:
     """Share of tokens that are known words or clean numbers; null below five tokens."""
-    known = sorted(set(word_list if word_list is not None else ENGLISH + SPANISH))
-    tokens = words(F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, ""))
-    bare = lambda w: F.btrim(F.lower(w), F.lit(TOKEN_EDGES))
-    good = F.filter(tokens, lambda w: w.rlike(DATA_TOKEN) | ((F.char_length(bare(w)) >= 2) & bare(w).isin(known)))
-    return F.when(F.size(tokens) >= 5, F.try_divide(F.size(good), F.size(tokens)))
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, "")
+    return _meaningful(t, token_count(t), word_list)
 
 
 def families(text: Column) -> Column:
@@ -157,13 +178,14 @@ def families(text: Column) -> Column:
 def with_chunk_verdict(df: DataFrame, text: str = "text", word_list: list[str] | None = None) -> DataFrame:
     """df with meaningful, families, status, reason and quality_score: garbled, then too short, then procedural."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"meaningful": meaningful_fraction(t, word_list), "families": families(t), "__n": word_count(F.regexp_replace(t, CONTROLS, ""))})
+    df = df.withColumn("__clean", F.regexp_replace(t, CONTROLS, "")).withColumns({"families": families(t), "__n": token_count(F.col("__clean"))})
+    df = df.withColumn("meaningful", _meaningful(F.col("__clean"), F.col("__n"), word_list))
     share, hits, n = F.col("meaningful"), F.col("families"), F.col("__n")
     reason = F.when(share < 0.25, "garbled").when((n < 8) & ~t.rlike(MONEY), "too_short").when((n <= 180) & (hits >= 2), "procedural")
     base = F.least(F.lit(1.0), F.coalesce(share, F.lit(0.6))) * F.when((hits == 1) & (n <= 180), 0.85).otherwise(1.0)
     df = df.withColumn("reason", reason)
     score = F.when(F.col("reason") == "garbled", F.round(share, 3)).when(F.col("reason").isNotNull(), 0.2).otherwise(F.round(base, 3))
-    return df.withColumns({"status": F.when(F.col("reason").isNull(), "active").otherwise("quarantined"), "quality_score": score}).drop("__n")
+    return df.withColumns({"status": F.when(F.col("reason").isNull(), "active").otherwise("quarantined"), "quality_score": score}).drop("__n", "__clean")
 
 
 def slug(text: Column, most: int = 120) -> Column:

@@ -78,7 +78,7 @@ SQL_LEGAL, SQL_PRICE, SQL_AD = text.LEGAL, text.PRICE, text.AD_KEYWORDS
         when len(regexp_extract_all(text, '{SQL_LEGAL}')) >= 2 then 2
         when (n < 80 and regexp_matches(text, '{SQL_PRICE}')) or regexp_matches(text, '{SQL_AD}') then 1 else 0 end as integer) as class from m""")
 def content_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lined(spark, sf_dir).select("doc_id", text.content_class(F.col("text"), WORD_LIST).alias("class"))
+    return text.with_content_class(_lined(spark, sf_dir), word_list=WORD_LIST).select("doc_id", "class")
 
 
 TOKEN_EDGES = text.TOKEN_EDGES.replace("'", "''")
