@@ -37,13 +37,13 @@ class Tree:
     n: int
 
 
-def spanning_tree(points: DataFrame, min_samples: int = 5, neighbours: int = 15, probes: int | None = None, id_col: str = "id", embedding: str = "embedding", cells: int | None = None) -> Tree | None:
-    """The mutual reachability tree. probes: cells that a row visits for its neighbours, by default as many as `nearest.tuned` finds."""
+def spanning_tree(points: DataFrame, min_samples: int = 5, neighbours: int = 15, probes: int = 16, id_col: str = "id", embedding: str = "embedding", cells: int | None = None) -> Tree | None:
+    """The mutual reachability tree. probes: cells that a row visits for its neighbours; `nearest.tuned` tells how many a recall takes."""
     index = nearest.build(points, id_col, embedding, cells)
     if index is None:
         return None
     k = max(min_samples, neighbours)
-    lists = written(nearest.search(index, index.rows.select("id", "v"), k, probes or nearest.tuned(index, k), others_only=True), "neighbours")
+    lists = written(nearest.search(index, index.rows.select("id", "v"), k, probes, others_only=True), "neighbours")
     # The last known neighbour stands in where a row found fewer.
     core = written(lists.where(F.col("rank") <= min_samples).groupBy("query").agg(F.max("distance").alias("core")).withColumnRenamed("query", "id"), "core")
     a, b = core.select(F.col("id").alias("query"), F.col("core").alias("ca")), core.select("id", F.col("core").alias("cb"))

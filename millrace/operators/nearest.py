@@ -22,7 +22,8 @@ from millrace.operators.rounds import written
 
 SAMPLE = 8192  # rows that the centroids are fitted on, the first by the hash of their id
 MOST_CELLS = 1024
-BLOCK = 2048  # rows, and queries, that meet in a task at once, in the mean
+BLOCK = 2048  # rows of a cell that a task holds, in the mean, and queries that meet them at once
+ASKED = 1 << 25  # bytes of query vectors that a task holds, in the mean
 
 
 def unit(points: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -98,13 +99,18 @@ def meet(index: Index, queries: DataFrame, probes: int, run, schema: str) -> Dat
     """run(queries, rows), Arrow tables, for every group of queries and every block of the cells that they probe. queries: (id, v, ...)."""
     queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # they may be rows of the index
     near = queries.withColumn("cell", F.explode(nearest_cells(F.col("v"), index.centers, min(probes, len(index.centers)))))
-    groups = near.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups"))
+    size = 8 * index.centers.shape[1]
+    groups = near.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * size / ASKED).cast("int").alias("groups"))
     both = written(index.cells.join(groups, "cell"), "meetings")  # a row a cell
     asked = near.join(F.broadcast(both), "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "groups")
     rows = index.rows.join(F.broadcast(both.select("cell", "groups")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     keys = ["cell", "block", "part"]
-    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(run, schema)
+
+    def pieces(q: pa.Table, r: pa.Table) -> pa.Table:
+        return pa.concat_tables([run(q.slice(at, BLOCK), r) for at in range(0, max(1, len(q)), BLOCK)])
+
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(pieces, schema)
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, others_only: bool = False) -> DataFrame:
