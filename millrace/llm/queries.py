@@ -76,4 +76,41 @@ ORACLES = {
         r as (select item_id, cast(row_number() over (partition by qid order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from s where score > 0)
         select item_id, rank, doc_id, cast(score as bigint) as score from r where rank <= 10
     """,
+    "op13_merkle_manifest": r"""
+        with recursive t as (
+            select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crcs),
+        f as (
+            select doc_id, lang, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+                   coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as n, coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') as more, coalesce(strlen(text) || ':' || text, '-') as tail,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) as crc
+            from documents, t),
+        d as (select doc_id, lang, sha256(head || n || tail) as leaf, case when crc % 7 = 0 then sha256(head || more || tail) else sha256(head || n || tail) end as shown from f),
+        g as (select lang, row_number() over (order by lang nulls first) - 1 as gid, count(*) as size from documents group by lang),
+        l as (select d.*, gid, size, row_number() over (partition by d.lang order by doc_id nulls first, leaf) - 1 as idx from d join g on d.lang is not distinct from g.lang),
+        n as (
+            select gid, 0 as level, idx, size, leaf as digest from l
+            union all
+            select gid, level + 1, idx // 2, size, sha256(string_agg(digest, '' order by idx)) from n where size > (1 << level) group by gid, level, idx // 2, size),
+        s as (select gid, size, arg_max(digest, level) as subroot from n group by 1, 2),
+        m as (
+            select 0 as level, gid as idx, (select count(*) from g) as size, subroot as digest from s
+            union all
+            select level + 1, idx // 2, size, sha256(string_agg(digest, '' order by idx)) from m where size > (1 << level) group by level, idx // 2, size),
+        r as (select arg_max(digest, level) as root from m),
+        p as (
+            select l.gid, l.idx, k.level, (l.idx >> k.level) % 2 as odd, b.digest as beside
+            from l join (select distinct gid, level from n) k on k.gid = l.gid and l.size > (1 << k.level) left join n b on b.gid = l.gid and b.level = k.level and b.idx = xor(l.idx >> k.level, 1)
+            union all
+            select l.gid, l.idx, 64 + k.level, (l.gid >> k.level) % 2, b.digest
+            from l join (select distinct level, size from m) k on k.size > (1 << k.level) left join m b on b.level = k.level and b.idx = xor(l.gid >> k.level, 1)),
+        o as (select *, row_number() over (partition by gid, idx order by level) as step from p),
+        w as (
+            select gid, idx, 0 as step, shown as digest from l
+            union all
+            select w.gid, w.idx, o.step, sha256(case when beside is null then digest when odd = 1 then beside || digest else digest || beside end) from w join o on o.gid = w.gid and o.idx = w.idx and o.step = w.step + 1),
+        z as (select gid, idx, arg_max(digest, step) as folded_root from w group by 1, 2),
+        q as (select gid, idx, sha256(coalesce(string_agg(beside, '' order by step), '')) as proof_sha256 from o group by 1, 2)
+        select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+        from l join s using (gid) join z using (gid, idx) left join q using (gid, idx), r
+    """,
 }
