@@ -54,10 +54,10 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def find_or_insert(stored: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Every found key with the stored status, and whether it was new."""
-    old = stored.select(*keys, F.col("status").alias("__status"))
+    """Every found key with the stored status, and whether it was new. A stored row without a status is known and pending."""
+    old = stored.select(*keys, F.col("status").alias("__status"), F.lit(True).alias("__known"))
     df = found.dropDuplicates(keys).join(old, keys, "left")
-    return df.withColumn("was_new", F.col("__status").isNull()).withColumn("status", F.coalesce("__status", F.lit("pending"))).drop("__status")
+    return df.withColumn("was_new", F.col("__known").isNull()).withColumn("status", F.coalesce("__status", F.lit("pending"))).drop("__status", "__known")
 
 
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ def weekly_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.burstiness(members(spark, sf_dir)).select("cluster", F.round("burstiness", 6).alias("burstiness"), "n_weeks", "members")
 
 
-TEXTS_SQL = "select doc_id, cast(doc_id % 6 as integer) as cluster, date '2024-01-01' + cast(doc_id % 28 as integer) as day, text from documents where lang = 'en'"
+TEXTS_SQL = "select doc_id, cast(doc_id % 6 as integer) as cluster, date '2024-01-01' + cast(doc_id % 28 as integer) as day, text from documents"
 
 
 @query(f"""
@@ -44,7 +44,7 @@ TEXTS_SQL = "select doc_id, cast(doc_id % 6 as integer) as cluster, date '2024-0
     select cluster, week_start, place, term, n, round(score, 5) as score from r where place <= 5""")
 def weekly_distinctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c-TF-IDF within each cluster."""
-    d = load(spark, sf_dir, "documents").where("lang = 'en'")
+    d = load(spark, sf_dir, "documents")
     rows = d.select(F.pmod("doc_id", F.lit(6)).cast("int").alias("cluster"), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(28)).cast("int")).alias("day"), "text")
     return series.distinctive_terms(rows).select("cluster", "week_start", F.col("place").cast("long").alias("place"), "term", "n", F.round("score", 5).alias("score"))
 

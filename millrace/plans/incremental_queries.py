@@ -182,10 +182,10 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.with_links(load(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "target", "link_text")
 
 
-@query(r"select page_id, unnest(regexp_extract_all('<urlset><url><loc> ' || url || ' </loc></url><LOC>http://b/' || page_id || '</LOC></urlset>', '(?i)<loc>\s*([^<\s]+)\s*</loc>', 1)) as loc from pages where not contains(url, ' ')")
+@query(r"select page_id, unnest(regexp_extract_all('<urlset><url><loc> ' || url || ' </loc></url><LOC>http://b/' || page_id || '</LOC></urlset>', '(?i)<loc>\s*([^<\s]+)\s*</loc>', 1)) as loc from pages")
 def sitemap_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = F.concat(F.lit("<urlset><url><loc> "), F.col("url"), F.lit(" </loc></url><LOC>http://b/"), F.col("page_id").cast("string"), F.lit("</LOC></urlset>"))
-    return load(spark, sf_dir, "pages").where("not contains(url, ' ')").select("page_id", F.explode(documents.sitemap_urls(xml)).alias("loc"))
+    return load(spark, sf_dir, "pages").select("page_id", F.explode(documents.sitemap_urls(xml)).alias("loc"))
 
 
 @query("""
@@ -211,7 +211,7 @@ def gathered_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.gathered([e.where("doc_id % 2 = 0"), e], doc_type="other").select("source_url", "sha256")
 
 
-@query()
+@query("select doc_id, lang from documents order by md5('7:' || doc_id), doc_id limit 100")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random sample that the seed alone decides."""
     return manifests.sampled(load(spark, sf_dir, "documents").select("doc_id", "lang"), 100, 7, "doc_id")

@@ -84,7 +84,7 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
 
 def sampled(rows: DataFrame, most: int, seed: int, key: str) -> DataFrame:
     """A seeded random sample that doesn't depend on partitions: the first rows in the order of a hash of the key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(most)
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, depth: int, most: int, host: str) -> DataFrame:

@@ -245,3 +245,9 @@ def test_inverted_file(spark, monkeypatch):
     few = nearest.recall(nearest.search(index, asked, 5, 3), nearest.search(index, asked, 5, 9)).first()
     assert few.wanted == 5 * len(exact) and 0.5 * few.wanted < few.hit <= few.wanted
     assert 1 <= nearest.tuned(index, 5) <= 9 and nearest.build(spark.createDataFrame(rows[-2:-1], "id long, embedding array<double>")) is None
+
+
+def test_a_stored_row_without_status_is_known(spark):
+    stored = spark.createDataFrame([(1, "ingested"), (2, None)], "k int, status string")
+    found = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k int")
+    assert sorted(tuple(r) for r in incremental.find_or_insert(stored, found, ["k"]).select("k", "status", "was_new").collect()) == [(1, "ingested", False), (2, "pending", False), (3, "pending", True)]
