@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import clusters, continuity, density, nearest, series
+from millrace.operators import clusters, continuity, density, layout, nearest, series
 from millrace.plans.models import HITS_SQL, MEMBERS_SQL, hits, members, query_vector
 from millrace.plans.registry import load, query
 
@@ -401,3 +401,10 @@ def cluster_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = F.when((F.col("label") == 3) & (F.col("vec_id") % 4 == 1), 100).when(F.col("label") == 5, 4).otherwise(F.col("label"))
     new = clusters.centroids(e.where("vec_id % 2 = 1").select(fresh.cast("int").alias("label"), "embedding"))
     return continuity.continuity(old, new, 0.5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of all vectors that keeps more of their neighbours than principal components do; a test measures it."""
+    points = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return layout.neighbour_layout(points).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import analytics, clusters, density, incremental, nearest, retrieval, series
+from millrace.operators import analytics, clusters, density, incremental, layout, nearest, retrieval, series
 from millrace.plans import cluster_queries
 from millrace.sources import manifests
 
@@ -251,3 +251,20 @@ def test_a_stored_row_without_status_is_known(spark):
     stored = spark.createDataFrame([(1, "ingested"), (2, None)], "k int, status string")
     found = spark.createDataFrame([(1,), (2,), (3,), (3,)], "k int")
     assert sorted(tuple(r) for r in incremental.find_or_insert(stored, found, ["k"]).select("k", "status", "was_new").collect()) == [(1, "ingested", False), (2, "pending", False), (3, "pending", True)]
+
+
+def test_layout_keeps_neighbours(spark):
+    """Nine groups in nine dimensions, which two principal components fold over each other. New points land in their group."""
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(4 * np.eye(9)[k], 0.4, (20, 9)) for k in range(9)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)] + [(999, None)], "id long, embedding array<double>")
+    at = layout.neighbour_layout(df, rounds=12)
+    flat = clusters.principal_layout(df).select("id", F.col("p0").alias("x"), F.col("p1").alias("y"))
+    shares = [r.hit / r.wanted for r in (layout.kept(df, where, F.col("id") % 3 == 0).first() for where in (at, flat))]
+    assert at.count() == len(points) and shares[0] > 0.3 and shares[0] > 1.5 * shares[1]
+    index = nearest.build(df)
+    fresh = spark.createDataFrame([(1000 + k, [float(x) for x in 4 * np.eye(9)[k]]) for k in range(9)], "id long, v array<double>")
+    where = {r.id: np.array([r.x, r.y]) for r in at.collect()}
+    centers = np.array([np.mean([where[i] for i in range(20 * k, 20 * k + 20)], 0) for k in range(9)])
+    for r in layout.placed(index, at, fresh).collect():
+        assert np.argmin(((centers - [r.x, r.y]) ** 2).sum(1)) == r.id - 1000
