@@ -25,15 +25,22 @@ def shortlist(events: DataFrame, threads: DataFrame, days: int, most: int = 3, l
     """Up to `most` threads of each event's group that were active within `days` before it, by nearness of centroid and entities.
 
     events: id, grp, day, embedding, entities; threads: grp, thread, last_day, centroid, entities. Both sides are cut to
-    periods of `days`, so the range becomes an equality on two neighbouring periods."""
+    periods of `days`, so the range becomes an equality on two neighbouring periods. Nearness depends on the profile alone:
+    of threads that share group, day, centroid and entities only the first `most` can be listed, and events of one profile
+    share their list. So profiles meet, not rows, and rows take their profile's list."""
     period = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
-    a = events.withColumn("period", period(F.col("day")))
-    b = threads.select("grp", "thread", "last_day", "centroid", F.col("entities").alias("known"), F.explode(F.array(period(F.col("last_day")), period(F.col("last_day")) + 1)).alias("period"))
+    alike = Window.partitionBy("grp", "last_day", "centroid", "entities").orderBy("thread")
+    first = threads.select("grp", "thread", "last_day", "centroid", "entities").withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= most)
+    b = first.select("grp", "thread", "last_day", "centroid", F.col("entities").alias("known"), F.explode(F.array(period(F.col("last_day")), period(F.col("last_day")) + 1)).alias("period"))
+    a = events.select("grp", "day", "embedding", "entities").distinct().withColumn("period", period(F.col("day")))
     met = a.join(b, ["grp", "period"]).where((F.col("last_day") <= F.col("day")) & (F.datediff("day", "last_day") <= days))
     score = 0.5 * (1 - cosine_distance(F.col("embedding"), F.col("centroid"))) + 0.5 * jaccard(F.col("entities"), F.col("known"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "thread")
+    best = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("score"), "thread")
     scored = met.withColumn("score", F.round(score, 9)).where(F.col("score") >= least)
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("id", "grp", "thread", "score", "place")
+    lists = scored.withColumn("__n", F.row_number().over(best("grp", "day", "embedding", "entities"))).where(F.col("__n") <= most)
+    lists = lists.select("grp", "day", "embedding", F.col("entities").alias("__of"), "thread", "score")
+    listed = events.join(lists, ["grp", "day", "embedding"]).where(F.col("entities").eqNullSafe(F.col("__of")))
+    return listed.withColumn("place", F.row_number().over(best("id"))).where(F.col("place") <= most).select("id", "grp", "thread", "score", "place")
 
 
 def edges_without_evidence(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.operators import continuity, threads
@@ -49,6 +50,24 @@ def test_shortlist_stays_in_group_and_time(spark):
     assert [(r.thread, r.score) for r in rows] == [("t1", 0.75), ("t2", 0.0)]
 
 
+def test_shortlist_scores_profiles_not_rows(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(T.DoubleType())
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return pd.Series([0.5] * len(a))
+
+    monkeypatch.setattr(threads, "jaccard", counted)
+    events = spark.createDataFrame([(i, "g", day(40), [1.0], ["x"] if i % 2 else None) for i in range(300)], "id int, grp string, day date, embedding array<double>, entities array<string>")
+    known = spark.createDataFrame([("g", i, day(35 + i % 2), [1.0], ["x"]) for i in range(300)], "grp string, thread int, last_day date, centroid array<double>, entities array<string>")
+    rows = threads.shortlist(events, known, 30).collect()
+    assert sorted((r.id, r.thread, r.place) for r in rows) == [(i, p, p + 1) for i in range(300) for p in range(3)]
+    assert scored.value < 100
+
+
 def test_thread_audits(spark):
     events = spark.createDataFrame([(1, "t", day(0), "open"), (2, "t", day(1), "vote"), (3, "t", day(2), "open"), (4, "u", day(90), "closed")], "id int, thread string, day date, stage string")
     assert [r.id for r in threads.out_of_order(events, ["open", "vote", "closed"]).collect()] == [3]
