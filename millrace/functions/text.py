@@ -14,12 +14,20 @@ from pyspark.sql import types as T
 PRICE = r"(?i)\$\s?\d|cents?\b|per\s+annum|dollars?\b|shillings?\b"
 AD_KEYWORDS = r"(?i)\bFOR\s+SALE\b|\bWANTED\b|\bTO\s+LET\b|\bAUCTION\b|\bREWARD\b|\bAPPLY\s+(TO|AT)\b|\bPRICE\b|\bDISSO(LU|LV)TION\b"
 LEGAL = r"(?i)NOTICE\s+IS\s+HEREBY\s+GIVEN|IN\s+PURSUANCE\s+OF|BY\s+ORDER\s+OF|SUPREME\s+COURT|CHANCERY|CHANCELLOR|\bMORTGAGE\b|\bFORECLOSURE\b|\bPURSUANT\s+TO\s+STATUTE\b|\bSURROGATE\b"
-FAMILIES = {
-    "rollcall": r"(?i)\broll\s*call\b|\bmembers?\s+present\b|\b(present|absent)\s*[:\-—]",
-    "motion": r"(?i)\bmotion\s+(by|to|was|made|carried)\b|\bseconded\s+by\b|\bmoved\s+by\b|\bupon\s+a\s+motion\b|\ball\s+in\s+favor\b|\bcarried\s+unanimously\b|\bayes?\s*[:\-—]|\bnays?\s*[:\-—]|\babstentions?\b",
-    "minutes": r"(?i)\bapproval\s+of\s+(the\s+)?minutes\b|\bminutes\s+of\s+the\b[^.]{0,40}\bmeeting\b|\bconsent\s+agenda\b",
-    "logistics": r"(?i)\bcall\s+to\s+order\b|\badjourn(ed|ment|s)?\b|\bpledge\s+of\s+allegiance\b|\bexecutive\s+session\b|\bpublic\s+(comment|participation)\b|\bnext\s+(regular\s+)?(meeting|board\s+meeting)\b|\bpoint\s+of\s+(order|information)\b",
-}
+#: Per family its patterns, each with words in lower case without one of which it can't match: they are looked for first.
+FAMILY_PARTS = {
+    "rollcall": [(["roll"], r"\broll\s*call\b"), (["member"], r"\bmembers?\s+present\b"), (["present", "absent"], r"\b(present|absent)\s*[:\-—]")],
+    "motion": [
+        (["motion"], r"\bmotion\s+(by|to|was|made|carried)\b"), (["seconded"], r"\bseconded\s+by\b"), (["moved"], r"\bmoved\s+by\b"), (["motion"], r"\bupon\s+a\s+motion\b"), (["favor"], r"\ball\s+in\s+favor\b"),
+        (["unanimously"], r"\bcarried\s+unanimously\b"), (["aye"], r"\bayes?\s*[:\-—]"), (["nay"], r"\bnays?\s*[:\-—]"), (["abstention"], r"\babstentions?\b"),
+    ],
+    "minutes": [(["minutes"], r"\bapproval\s+of\s+(the\s+)?minutes\b"), (["minutes"], r"\bminutes\s+of\s+the\b[^.]{0,40}\bmeeting\b"), (["agenda"], r"\bconsent\s+agenda\b")],
+    "logistics": [
+        (["order"], r"\bcall\s+to\s+order\b"), (["adjourn"], r"\badjourn(ed|ment|s)?\b"), (["allegiance"], r"\bpledge\s+of\s+allegiance\b"), (["executive"], r"\bexecutive\s+session\b"),
+        (["public"], r"\bpublic\s+(comment|participation)\b"), (["meeting"], r"\bnext\s+(regular\s+)?(meeting|board\s+meeting)\b"), (["order", "information"], r"\bpoint\s+of\s+(order|information)\b"),
+    ],
+}
+FAMILIES = {k: "(?i)" + "|".join(p for _, p in parts) for k, parts in FAMILY_PARTS.items()}
 REFUSALS = [
     r"^i cannot\b", r"^i'?m unable\b", r"^unable to\b", r"^the passages\b.*\b(do not|don't)\b", r"\bocr[- ]?(damaged|corrupted|errors?)\b",
     r"\bseverely corrupted\b", r"\bcannot reliably\b", r"\bunintelligible\b", r"\bno (clear|shared|coherent)\b", r"^unclear\b",
@@ -84,10 +92,10 @@ def _known(word_list: list[str]) -> Column:
 
 
 def known_words(text: Column, word_list: list[str], edges: str) -> Column:
-    """How many tokens are words of the list, in lower case and without the edge characters around them. The text is cleared as a whole and cut once."""
+    """How many tokens are words of the list, in lower case and without the edge characters around them. The text is cut once, edges and white space together."""
     edge = "[" + re.sub(r"([\[\]\\^&-])", r"\\\1", edges) + "]"
-    bare = F.regexp_replace(F.lower(text), rf"(?<!\S){edge}++|(?<!{edge}){edge}++(?!\S)", "")
-    return F.size(F.filter(F.split(bare, r"\s+"), lambda w: w.isin(word_list)))
+    cut = rf"(?![a-z0-9])(?:\s++{edge}*+|(?={edge})(?:(?<!{edge}){edge}++(?:\s++{edge}*+|\z)|\A{edge}++))"  # most characters are passed over at once
+    return F.size(F.filter(F.split(F.lower(text), cut), lambda w: w.isin(word_list)))
 
 
 def token_count(text: Column) -> Column:
@@ -160,32 +168,44 @@ def with_content_class(df: DataFrame, text: str = "text", out: str = "class", wo
 
 def _meaningful(t: Column, n: Column, word_list: list[str] | None) -> Column:
     known = sorted({w for w in (word_list if word_list is not None else ENGLISH + SPANISH) if len(w) >= 2})
-    good = known_words(t, known, TOKEN_EDGES) + F.regexp_count(t, F.lit(CLEAN_NUMBER))
+    good = known_words(t, known, TOKEN_EDGES) + F.regexp_count(t, F.lit(r"(?=[($\d,-])" + CLEAN_NUMBER))
     return F.when(n >= 5, F.try_divide(good, n))
 
 
 def meaningful_fraction(text: Column, word_list: list[str] | None = None) -> Column:
     """Share of tokens that are known words or clean numbers; null below five tokens."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS, "")
+    t = without_controls(F.coalesce(text, F.lit("")))
     return _meaningful(t, token_count(t), word_list)
 
 
+def without_controls(text: Column) -> Column:
+    """Printable ASCII is passed over before the controls are compared."""
+    return F.regexp_replace(text, r"(?![ -~])" + CONTROLS, "")
+
+
+def _families(t: Column, lower: Column) -> Column:
+    either = lambda columns: reduce(lambda a, b: a | b, columns)
+    shows = (either(either(lower.contains(w) for w in words) & t.rlike(f"(?i){p}") for words, p in parts) for parts in FAMILY_PARTS.values())
+    return reduce(lambda a, b: a + b, (x.cast("int") for x in shows))
+
+
 def families(text: Column) -> Column:
     """How many procedural families a text shows."""
-    return reduce(lambda a, b: a + b, (F.coalesce(text, F.lit("")).rlike(p).cast("int") for p in FAMILIES.values()))
+    t = F.coalesce(text, F.lit(""))
+    return _families(t, F.lower(t))
 
 
 def with_chunk_verdict(df: DataFrame, text: str = "text", word_list: list[str] | None = None) -> DataFrame:
     """df with meaningful, families, status, reason and quality_score: garbled, then too short, then procedural."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__clean", F.regexp_replace(t, CONTROLS, "")).withColumns({"families": families(t), "__n": token_count(F.col("__clean"))})
+    df = df.withColumns({"__clean": without_controls(t), "__lower": F.lower(t)}).withColumns({"families": _families(t, F.col("__lower")), "__n": token_count(F.col("__clean"))})
     df = df.withColumn("meaningful", _meaningful(F.col("__clean"), F.col("__n"), word_list))
     share, hits, n = F.col("meaningful"), F.col("families"), F.col("__n")
     reason = F.when(share < 0.25, "garbled").when((n < 8) & ~t.rlike(MONEY), "too_short").when((n <= 180) & (hits >= 2), "procedural")
     base = F.least(F.lit(1.0), F.coalesce(share, F.lit(0.6))) * F.when((hits == 1) & (n <= 180), 0.85).otherwise(1.0)
     df = df.withColumn("reason", reason)
     score = F.when(F.col("reason") == "garbled", F.round(share, 3)).when(F.col("reason").isNotNull(), 0.2).otherwise(F.round(base, 3))
-    return df.withColumns({"status": F.when(F.col("reason").isNull(), "active").otherwise("quarantined"), "quality_score": score}).drop("__n", "__clean")
+    return df.withColumns({"status": F.when(F.col("reason").isNull(), "active").otherwise("quarantined"), "quality_score": score}).drop("__n", "__clean", "__lower")
 
 
 def slug(text: Column, most: int = 120) -> Column:

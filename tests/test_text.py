@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,31 @@ def test_content_classes(spark):
     assert got == [text.BAD_OCR, text.LEGAL_NOTICE, text.AD, text.CONTENT, text.BAD_OCR]
 
 
+def test_words_of_the_list_are_found_in_one_cut(spark):
+    rng = random.Random(3)
+    parts = ["the", "The", "and", "don't", "-", "--", ".", "(", "\u2014", "\u2022", "\u00e9", "x", "'the'", " ", " ", "  ", "\n", "\t", "\u00a0", "\U0001f600"]
+    samples = ["", " ", "-", "--the", "the--", "-- the -- and --", "the-and", " (the) ", "the.\n", *("".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000))]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    for edges in (text.WORD_EDGES, text.TOKEN_EDGES):
+        known = text.known_words(F.col("t"), ["the", "and", "don't"], edges)
+        want = [sum(w.strip(edges) in ("the", "and", "don't") for w in re.split(r"[ \t\n\f\r\x0b]+", s.lower())) for s in samples]
+        assert [r.n for r in df.select(known.alias("n")).collect()] == want
+        assert "regexp_replace" not in str(known)
+
+
+def test_families_look_for_words_before_patterns(spark):
+    shown = [[s] for s in ("ROLL\tCALL", "Members present", "absent:", "motion by", "Seconded by", "moved by", "all in favor", "carried unanimously", "AYES: 3", "nay -", "abstention", "approval of minutes", "minutes of the last MEETING", "consent agenda", "call to ORDER", "adjourns", "pledge of allegiance", "executive session", "public comment", "next board meeting", "point of information")]
+    assert [r.n for r in spark.createDataFrame([*shown, ["rolling"], [None]], "t string").select(text.families(F.col("t")).alias("n")).collect()] == [1] * len(shown) + [0, 0]
+    plan = spark.createDataFrame([("a",)], "t string").select(F.lower("t"), text.families(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"{w})" in plan for parts in text.FAMILY_PARTS.values() for words, _ in parts for w in words)
+
+
+def test_controls_go_wherever_they_stand(spark):
+    samples = [chr(c) + "a" + chr(c) for c in [*range(0x300), *range(0x2000, 0x2070), 0xFEFE, 0xFEFF, 0xFF00]]
+    got = [r.t for r in spark.createDataFrame([(s,) for s in samples], "t string").select(text.without_controls(F.col("t")).alias("t")).collect()]
+    assert got == [re.sub(text.CONTROLS, "", s) for s in samples]
+
+
 def test_clean_ocr(spark):
     df = spark.createDataFrame([("  a\x00b \t c\n \n \n\nd  ",), ("é",), (None,)], "t string")
     assert [r.c for r in df.select(text.clean_ocr(F.col("t")).alias("c")).collect()] == ["ab c\n\nd", "é", ""]
