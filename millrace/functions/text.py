@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,15 +66,34 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no built-in."""
-    return s.str.normalize("NFC")
+SLICE = 64  # texts that a task holds as Python strings
 
 
-@F.pandas_udf(T.StringType())
-def nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC").str.casefold()
+def _each_text(texts: Iterator[pa.Array], form: Callable[[str], str]) -> Iterator[pa.Array]:
+    """Texts one by one, a few at once as Python strings: beside Arrow's buffers nothing grows with the batch."""
+    for batch in texts:
+        done = [pa.array([None if t is None else form(t) for t in batch.slice(at, SLICE).to_pylist()], pa.string()) for at in range(0, len(batch), SLICE)]
+        yield pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _nfc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _each_text(texts, lambda t: unicodedata.normalize("NFC", t))
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc_casefold(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _each_text(texts, lambda t: unicodedata.normalize("NFKC", t).casefold())
+
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC; Spark has no built-in. Characters before U+0300 neither compose nor decompose: only texts with others leave the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\u02ff]"), text)), text)
+
+
+def nfkc_casefold(text: Column) -> Column:
+    """NFKC, case folded; of ASCII that is the lower case."""
+    return F.coalesce(_nfkc_casefold(F.when(text.rlike(r"[^\x00-\x7f]"), text)), F.lower(text))
 
 
 def clean_ocr(text: Column) -> Column:

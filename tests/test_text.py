@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -60,6 +61,17 @@ def test_controls_go_wherever_they_stand(spark):
     assert got == [re.sub(text.CONTROLS, "", s) for s in samples]
 
 
+def test_only_texts_that_may_change_leave_for_normal_forms(spark):
+    rng = random.Random(5)
+    parts = ["a", "E", "\u00e9", "\u00c5", "\u02ff", "e\u0301", "\u0301", "\u0323", "\u212b", "\u1100\u1161", "\uac00\u11a8", "\ufb01", "\u00df", "\u00b5", "\u03a3", "\U0001d15e", " ", "\n", "\x00"]
+    samples = ["", None, *(chr(c) for c in range(0x400)), *("".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(2000))]
+    df = spark.createDataFrame([(s,) for s in samples], "t string").coalesce(1).select(text.nfc(F.col("t")).alias("a"), text.nfkc_casefold(F.col("t")).alias("b"))
+    want = [(None, None) if s is None else (unicodedata.normalize("NFC", s), unicodedata.normalize("NFKC", s).casefold()) for s in samples]
+    assert [tuple(r) for r in df.collect()] == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.count("CASE WHEN RLIKE(t#") >= 2
+
+
 def test_clean_ocr(spark):
     df = spark.createDataFrame([("  a\x00b \t c\n \n \n\nd  ",), ("é",), (None,)], "t string")
     assert [r.c for r in df.select(text.clean_ocr(F.col("t")).alias("c")).collect()] == ["ab c\n\nd", "é", ""]
