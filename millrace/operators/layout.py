@@ -1,7 +1,7 @@
 """A two-dimensional layout that keeps neighbours: points are drawn to their nearest rows and pushed from all others.
 
 The neighbour graph comes from an inverted-file index, the first positions from principal components. Each round reads the
-positions that the round before wrote: a join with the graph adds up what draws a point, and a grid of GRID x GRID cells,
+positions that the round before wrote: a row hands its place to those that it draws, in lists that are made once, and a grid of GRID x GRID cells,
 whose counts and centres are all that leaves the tasks, stands for what pushes it. Positions are the same on every run.
 """
 
@@ -20,6 +20,8 @@ from millrace.operators.clusters import principal_layout
 from millrace.operators.rounds import written
 
 GRID = 48  # cells a side: a few thousand rows at most reach the driver
+LIST = 4096  # rows of a neighbour list, in the mean: a row that draws more has several
+ROWS = 64  # points that meet the grid at once: their distances stay in a core's cache
 
 
 def _started(points: DataFrame, id_col: str, embedding: str) -> DataFrame:
@@ -39,16 +41,23 @@ def _push(cells: np.ndarray, x: Column, y: Column, rate: float) -> Column:
         for xs, ys in batches:
             out = np.zeros((len(xs), 2))
             px, py = xs.to_numpy(zero_copy_only=False), ys.to_numpy(zero_copy_only=False)
-            for at in range(0, len(px), 1024):  # blocks bound the memory
-                dx, dy = px[at : at + 1024, None] - cx, py[at : at + 1024, None] - cy
+            for at in range(0, len(px), ROWS):
+                dx, dy = px[at : at + ROWS, None] - cx, py[at : at + ROWS, None] - cy
                 d2 = dx * dx + dy * dy
                 force = rate * n / ((0.1 + d2) * (1 + d2))
-                out[at : at + 1024] = np.stack([(force * dx).sum(1), (force * dy).sum(1)], 1)
+                out[at : at + ROWS] = np.stack([(force * dx).sum(1), (force * dy).sum(1)], 1)
             yield pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["x", "y"])
 
     return push(x, y)
 
 
+def _lists(graph: DataFrame) -> DataFrame:
+    """(b, near) of a graph (a, b): the rows that b draws, so that a round joins a row a point and shuffles edges once."""
+    drawn = F.ceil(F.count(F.lit(1)) / LIST).alias("parts")
+    dealt = graph.join(graph.groupBy("b").agg(drawn), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+    return dealt.groupBy("b", "part").agg(F.array_sort(F.collect_list("a")).alias("near")).select("b", "near")
+
+
 def neighbour_layout(points: DataFrame, id_col: str = "id", embedding: str = "embedding", neighbours: int = 10, rounds: int = 24, probes: int = 16, push: float = 5.0) -> DataFrame:
     """(id, x, y) of every point with a vector."""
     points = points.where(F.col(embedding).isNotNull())
@@ -58,6 +67,7 @@ def neighbour_layout(points: DataFrame, id_col: str = "id", embedding: str = "em
     near = nearest.search(index, index.rows.select("id", "v"), neighbours, probes, others_only=True)
     one = near.select(F.col("query").alias("a"), F.col("id").alias("b"))
     graph = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph")
+    lists = written(_lists(graph), "lists")
     at = written(_started(points, id_col, embedding), "layout")
     for k in range(rounds):
         rate = 1.0 - k / rounds
@@ -66,7 +76,7 @@ def neighbour_layout(points: DataFrame, id_col: str = "id", embedding: str = "em
         cells = at.groupBy(cell("x", bounds[0], bounds[1]), cell("y", bounds[2], bounds[3])).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")).select("n", "x", "y")
         table = np.array(sorted(tuple(map(float, r)) for r in cells.collect())).reshape(-1, 3)
         other, own = at.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), at.select(F.col("id").alias("a"), "x", "y")
-        pairs = graph.join(other, "b").join(own, "a")
+        pairs = lists.join(other, "b").select(F.explode("near").alias("a"), "bx", "by").join(own, "a")
         dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
         pull = 1 / (1 + dx * dx + dy * dy)
         drawn = pairs.groupBy("a").agg(F.sum(pull * dx).alias("px"), F.sum(pull * dy).alias("py")).withColumnRenamed("a", "id")

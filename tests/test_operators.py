@@ -253,6 +253,14 @@ def test_a_stored_row_without_status_is_known(spark):
     assert sorted(tuple(r) for r in incremental.find_or_insert(stored, found, ["k"]).select("k", "status", "was_new").collect()) == [(1, "ingested", False), (2, "pending", False), (3, "pending", True)]
 
 
+def test_neighbour_lists_hold_each_edge_once(spark, monkeypatch):
+    monkeypatch.setattr(layout, "LIST", 8)
+    edges = [(a, b) for a in range(40) for b in (a + 1, 0)]
+    lists = layout._lists(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((a, r.b) for r in lists for a in r.near) == sorted(edges)
+    assert max(len(r.near) for r in lists) < 20 and sum(r.b == 0 for r in lists) > 1
+
+
 def test_layout_keeps_neighbours(spark):
     """Nine groups in nine dimensions, which two principal components fold over each other. New points land in their group."""
     rng = np.random.default_rng(9)
