@@ -125,6 +125,25 @@ def test_batches_keep_order_and_bound(path, monkeypatch):
     assert all(sum(len(texts[i] or "") for i, _ in b[:-1]) < 500 and len(b) <= tokenize.ROWS for b in batches)
 
 
+#: Characters around those that the shorter ways know.
+LATIN = st.text(st.one_of(st.characters(max_codepoint=0x7F), st.characters(max_codepoint=0x17F), st.sampled_from(list("  '''\n\nstrevldmaàé©ª1²!"))), max_size=40)
+
+
+@given(st.one_of(LATIN, st.lists(st.sampled_from(["it's", "'s", "'st", " ", "  ", "\n", "\n\n", "word", "à ", "\u00a0", "1a", "!?", "<|endoftext|>", "漢"]), max_size=9).map("".join)))
+@settings(max_examples=400, deadline=None)
+def test_without_the_split_ids_are_the_same(text):
+    encoder = tokenize.load(BYTES)
+    assert encoder.encode([text]) == [np.array(ids_of(encoder.library, text), "<u4").tobytes()]
+
+
+def test_the_split_is_left_out_where_no_token_reaches_over_a_cut():
+    encoder = tokenize.load(BYTES)
+    plain = ["", "a", "Plain words, and 12 numbers.\nA line; it's  à la carte.", "l'été, d'avoir"]
+    assert all(encoder.way(t)[0] is not encoder.library for t in plain)
+    assert all(encoder.way(t) == (encoder.library, t) for t in ["a\n\nb", "'st", "''s", "漢字", "ſ"])
+    assert encoder.encode(plain) == [np.array(ids_of(library(BYTES), t), "<u4").tobytes() for t in plain]
+
+
 def test_round_trip_digest(spark):
     t = library(BYTES)
     rows = bpe.round_trip_digest(awkward(spark, "ids"), BYTES).collect()
