@@ -4,6 +4,12 @@ The library spends most of its time on cutting a text into words. Where no token
 no merge does either, and the same file without its split gives the same ids. `crossings` derives from the vocabulary
 which neighbouring characters a token can join across a cut; a text with such a pair, or with a character past U+00FF,
 goes to the library as the file has it.
+
+A file that lower-cases words before a split into words without white space composes characters, rewrites white space
+and keeps an alignment at each step. Up to U+00FF nothing composes, white space isn't in any word, and lower case is
+the same in Python: such a text goes to the library in lower case, without these steps; one of printable ASCII and
+white space also without the step to bytes, which changes none of its words. A text that holds a special token in any
+case goes as it is.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ ROWS, CHARACTERS = 64, 1 << 17  # a batch ends with the text that reaches either
 # The settings of a byte-level file, and contractions that the split keeps whole.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 MERGES_ONLY = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
+LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+PRINTABLE = re.compile(r"[\t-\r -~]*")
+BEYOND = re.compile("[^\x00-\xff]")
 CONTRACTION = re.compile(f"(?<=[{LETTERS}{NUMBERS}])'(?:s|t|re|ve|m|ll|d)(?![{LETTERS}])")
 KINDS = [re.compile(f"[{x}]") for x in (WHITE, LETTERS, NUMBERS)]
 
@@ -75,6 +85,22 @@ def _unsplit(form: dict) -> Callable[[str], str | None] | None:
     return fits
 
 
+def _lowered(form: dict) -> Callable[[str], str | None] | None:
+    """For a file that lower-cases words: a function that gives a text in lower case whose ids need no normalizer, else None."""
+    split = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if form["normalizer"] != LOWERED or len(split) != 2 or split[0] != WORDS or any(split[1].get(k) != v for k, v in (BYTE_LEVEL | {"use_regex": False}).items()):
+        return None
+    special = [t["content"].lower() for t in form["added_tokens"]]
+
+    def fits(text: str) -> str | None:
+        if not text.isascii() and BEYOND.search(text):
+            return None
+        low = text.lower()
+        return None if any(t in low for t in special) else low
+
+    return fits
+
+
 def _from_file(path: str) -> Tokenizer:
     from tokenizers import Tokenizer
 
@@ -98,6 +124,14 @@ class Encoder:
 
             self.ways.append((fits, _from_file(path)))
             self.ways[-1][1].pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        if lowered := _lowered(form):
+            from tokenizers import Regex, Tokenizer
+            from tokenizers.pre_tokenizers import Split
+
+            latin, ascii_only = Tokenizer(self.library.model), Tokenizer(self.library.model)  # one model in memory; special tokens don't come here
+            latin.pre_tokenizer = self.library.pre_tokenizer
+            ascii_only.pre_tokenizer = Split(Regex(WORDS["pattern"]["Regex"]), "removed", invert=True)
+            self.ways += [(lambda t: lowered(t) if t.isascii() and PRINTABLE.fullmatch(t) else None, ascii_only), (lowered, latin)]
 
     def way(self, text: str) -> tuple[Tokenizer, str]:
         """The library, and the whole text as it goes there."""

@@ -144,6 +144,24 @@ def test_the_split_is_left_out_where_no_token_reaches_over_a_cut():
     assert encoder.encode(plain) == [np.array(ids_of(library(BYTES), t), "<u4").tobytes() for t in plain]
 
 
+CASES = ["It's", "'S", "'ST", " ", "\t\n", "\u0085", "\u00a0", "\x1c", "WORD", "ÀÉ", "Þß", "µª", "1½", "!?", "\x00", "\x7f", "<|ENDOFTEXT|>", "<|endoftext|>", "İ", "Σ", "e\u0301", "漢"]
+
+
+@given(st.one_of(LATIN, st.lists(st.sampled_from(CASES), max_size=9).map("".join)))
+@settings(max_examples=400, deadline=None)
+def test_in_lower_case_ids_are_the_same(text):
+    encoder = tokenize.load(WORDS)
+    assert encoder.encode([text]) == [np.array(ids_of(encoder.library, text), "<u4").tobytes()]
+
+
+def test_the_normalizer_is_left_out_up_to_latin():
+    encoder = tokenize.load(WORDS)
+    assert encoder.way("Plain WORDS,\nand it's 12!") == (encoder.ways[0][1], "plain words,\nand it's 12!")
+    assert encoder.way("L'ÉTÉ") == (encoder.ways[1][1], "l'été")
+    assert encoder.way("a\x7f")[0] is encoder.ways[1][1]
+    assert all(encoder.way(t) == (encoder.library, t) for t in ["e\u0301", "İ", "ΑΣ", "a <|EndOfText|>"])
+
+
 def test_round_trip_digest(spark):
     t = library(BYTES)
     rows = bpe.round_trip_digest(awkward(spark, "ids"), BYTES).collect()
